@@ -16,6 +16,91 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def _rest(column: str, modulus: int):
+    return F.crc32(F.col(column).cast("string")) % modulus
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = _table(spark, sf_dir, "documents")
+    held = F.coalesce(_rest("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    dictionaries = langid.learn(docs.filter(_rest("doc_id", 5) != 0))
+    found = langid.identify(docs.select("doc_id", held, "text"), dictionaries, keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import packing
+
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").filter(_rest("doc_id", 3) != 1).select("doc_id", "toxic")
+    learned = docs.select("doc_id", "text").join(labels, "doc_id")
+    model = toxicity.fit(toxicity.sample(learned, "text", "toxic"))
+    held = F.coalesce(_rest("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return toxicity.score(docs.select("doc_id", held, "text"), model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    events = turns.unionByName(extra).withColumn("seq", F.col("turn")).withColumn("kind", F.lit("message"))
+    return chat.read_back(chat.format_chats(events))
+
+
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import descending_pairs, fingerprints
+    from .workspace import Workspace
+
+    space = Workspace(spark, "fingerprints")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lengths = docs.select("doc_id", F.length("text").cast("long").alias("n_chars"))
+    order = space.write(descending_pairs(lengths, space, "doc_id"), "order")
+    wanted = order.join(lengths, "doc_id").select("doc_id", F.col("next"), F.floor(F.col("n_chars") / 3).alias("cut"))
+    heads = docs.join(wanted.select(F.col("doc_id").alias("owner"), F.col("next").alias("doc_id"), "cut"), "doc_id").select(F.col("owner").alias("doc_id"), F.expr("substring(text, 1, cast(cut as int))").alias("head"))
+    whole = docs.join(heads, "doc_id").select("doc_id", "text", "head", F.length("text").cast("long").alias("n_chars"))
+    edited = F.expr("concat(substring(text, 1, cast(n_chars - floor(n_chars / 3) as int)), head)")
+    both = whole.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), edited.alias("text")))).alias("v")).select("doc_id", "v.side", "v.text")
+    prints = fingerprints(both, space, ["doc_id", "side"])
+    shas = space.write(whole.select("doc_id", "n_chars", F.sha2(edited, 256).alias("edited_sha256")), "shas")
+    own = prints.filter("side = 0").select("doc_id", "fingerprint")
+    other = prints.filter("side = 1").select("doc_id", F.col("fingerprint").alias("edited_fingerprint"))
+    near = own.withColumnRenamed("doc_id", "next").withColumnRenamed("fingerprint", "next_fingerprint")
+    same = lambda a, b: (F.col(a) == F.col(b)).cast("double")
+    return shas.join(own, "doc_id").join(other, "doc_id").join(order, "doc_id").join(near, "next").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", same("fingerprint", "edited_fingerprint").alias("near_edited"), same("fingerprint", "next_fingerprint").alias("near_next"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import ShardStore
+    from .workspace import Workspace
+
+    store = ShardStore(spark, Workspace(spark, "shards").path("store"))
+    docs = _table(spark, sf_dir, "documents")
+    for arrival in range(2):
+        store.append(docs.filter(F.coalesce(_rest("doc_id", 2), F.lit(0)) == arrival))
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "lang", "source", "n_chars")
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import matches
+
+    return matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 WORDS_SQL = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 FOLD_SQL = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -37,9 +122,31 @@ r AS (
 SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2
 """
 
+OP6_SQL = r"""
+WITH m AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+e AS (SELECT *, regexp_replace(text, '([\\#<])', '\\\1', 'g') AS body, regexp_replace(role, '([\\#<:])', '\\\1', 'g') AS head FROM m)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('### ' || head || ': ' || body || ' </turn>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_toxicity": op5_toxicity,
+    "op6_chat_formatting": op6_chat_formatting,
+    "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_sharding": op8_sharding,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 SQL = {
     "op4_ngram_jaccard_join": OP4_SQL,
+    "op6_chat_formatting": OP6_SQL,
+    "op8_sharding": "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, lang, source, n_chars FROM documents",
 }
