@@ -3,7 +3,7 @@
 1. How many documents hold each n-gram of the test items is counted over the corpus.
    An item's seeds are its rarer half, and any n-gram in no more than RARE documents.
 2. A document with a seed of an item is aligned with it, word by word, on the passages
-   around the seeds. The score is the best local alignment's share of a perfect one,
+   around the seeds, case and punctuation aside. The score is the best local alignment's share of a perfect one,
    so copies with words changed, dropped or put in are found.
 
 Items are taken in blocks of bounded size, each broadcast and held against all rows.
@@ -18,17 +18,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import FOLDED, U64, Texts
+from .textkit import EXACT, U64, Texts
 from .workspace import Workspace
 
 SEED_WORDS = 3
 RARE = 8
-THRESHOLD = 0.45
+THRESHOLD = 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
 ITEM_BLOCK_BYTES = 16 << 20
+#: ASCII punctuation parts words, so that marks put to a word do not hide it.
+PLAIN = bytes(32 if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in range(256))
 HIT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
 
 
+def plain(text: str | None) -> bytes:
+    return (text or "").lower().encode("utf-8", "replace").translate(PLAIN)
+
+
 def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Best local alignment score of two word-key arrays and the word of ``text`` after its end."""
     width = len(text)
@@ -52,7 +58,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, bytes]]):
         self.ids = [i for i, _ in rows]
-        t = Texts([b for _, b in rows], FOLDED)
+        t = Texts([b for _, b in rows], EXACT)
         self.words = [t.key[t.first[d] : t.first[d] + t.n_words[d]] for d in range(len(rows))]
         keys, _ = t.grams(SEED_WORDS)
         self.grams = [np.unique(keys[t.first[d] : t.first[d] + max(0, t.n_words[d] - SEED_WORDS + 1)]) for d in range(len(rows))]
@@ -73,14 +79,14 @@ class Items:
 
 def _text_blocks(batches) -> Iterator[tuple[list, Texts]]:
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()]
+        ids, texts = batch.column(0).to_pylist(), [plain(t) for t in batch.column(1).to_pylist()]
         i = 0
         while i < len(texts):
             j, size = i, 0
             while j < len(texts) and (j == i or size + len(texts[j]) <= 1 << 20):
                 size += len(texts[j])
                 j += 1
-            yield ids[i:j], Texts(texts[i:j], FOLDED)
+            yield ids[i:j], Texts(texts[i:j], EXACT)
             i = j
 
 
@@ -127,8 +133,8 @@ def _align(items: Items, ids: list, t: Texts, threshold: float) -> Iterator[dict
 
 def _item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
     rows, size = [], 0
-    for r in items.select(F.col(id_col).cast("long"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")).orderBy(id_col).toLocalIterator():
-        rows.append((r[0], bytes(r[1])))
+    for r in items.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).orderBy(id_col).toLocalIterator():
+        rows.append((r[0], plain(r[1])))
         size += len(r[1])
         if size >= ITEM_BLOCK_BYTES:
             yield Items(rows)
@@ -142,11 +148,11 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_
 
     Null or empty texts and items match nothing, as do items of fewer than SEED_WORDS words.
     Repeated rows and ids are reported for each row. Empty tables give no rows. Extra columns
-    are not read. start_word and end_word bound the best passage in the document.
+    are not read. start_word and end_word bound the best passage, in words parted by space or punctuation.
     """
     spark = docs.sparkSession
     space = space or Workspace(spark, "decontam")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
     for items_now in _item_blocks(items, item_col, text_col):
         shared = spark.sparkContext.broadcast(items_now)
