@@ -9,8 +9,8 @@ shingles reaches ``num / den``. The join is exact (64-bit shingle keys).
    documents share a prefix shingle. Only prefix shingles of two documents or
    more leave the block, and with them the shingle set of that document.
 3. Documents of equal sets are one class. Classes are partitioned into groups of
-   similar ones: they follow the least class that shares their rarest prefix
-   shingle, and large groups are cut into parts.
+   similar ones: they follow the least class that shares a prefix shingle
+   with them, and large groups are cut into parts.
 4. Classes are first compared with the hub (the least class) of each prefix
    shingle; what links is merged, so that a crowd of near copies is one component
    after one comparison each.
@@ -162,18 +162,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 75, den: int = 1
     open_tokens = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
     left = placed.join(open_tokens, "token").select("token", "class", "n", "comp", "hub", "f")
     left = space.write(left, "left")
-    members = left.groupBy("class", "n", "comp").agg(F.min(F.struct("f", "token", "hub")).alias("rare")).withColumn("home", F.col("rare.hub"))
+    members = left.groupBy("class", "n", "comp").agg(F.min("hub").alias("home"))
     crowd = members.groupBy("home").agg(F.count("*").alias("size"))
     members = members.join(crowd, "home").withColumn("part", F.expr(f"cast(pmod(xxhash64(class), ceil(size / {GROUP})) as long)"))
     members = space.write(members.select("class", "n", "comp", "home", "part"), "members")
     weight = members.groupBy("comp").agg(F.count("*").alias("weight"))
-    # the matrix: a shingle and the groups it occurs in, with what can be told from the row alone
-    inside = left.join(members.select("class", "home", "part"), "class")
-    matrix = inside.groupBy("token", "home", "part").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    # the matrix: a shingle and the groups it occurs in; parts of a group are told apart by size and component
+    matrix = left.join(members.select("class", "home"), "class").select("token", "home").distinct()
+    parts = members.groupBy("home", "part").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     comps = left.join(weight, "comp").groupBy("token", "comp", "weight").count().select("token", "comp", "weight")
     first = comps.groupBy("token").agg(F.max(F.struct("weight", "comp")).alias("top")).select("token", F.col("top.comp").alias("top"))
     queries = left.join(first, "token").filter("comp <> top").select("token", F.col("class").alias("q"), F.col("n").alias("nq"), F.col("comp").alias("cq"))
-    asked = queries.join(matrix, "token").filter(f"nq * {den} >= n0 * {num} and n1 * {den} >= nq * {num} and not (c0 = cq and c1 = cq)").select("q", "cq", "home", "part").distinct()
+    asked = queries.join(matrix, "token").select("q", "nq", "cq", "home").distinct()
+    asked = asked.join(parts, "home").filter(f"nq * {den} >= n0 * {num} and n1 * {den} >= nq * {num} and not (c0 = cq and c1 = cq)").select("q", "cq", "home", "part")
     many = asked.groupBy("home", "part").agg(F.count("*").alias("asked"))
     asked = asked.join(many, ["home", "part"]).withColumn("turn", F.expr(f"cast(pmod(xxhash64(q), ceil(asked / {QUERIES})) as long)"))
     turns = many.select("home", "part", F.explode(F.expr(f"sequence(0L, cast(ceil(asked / {QUERIES}) as long) - 1)")).alias("turn"))

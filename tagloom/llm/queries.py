@@ -101,6 +101,12 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substr import repeats
+
+    return repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 WORDS_SQL = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 FOLD_SQL = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -135,6 +141,22 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+OP10_SQL = f"""
+WITH w AS (SELECT doc_id, {WORDS_SQL.format(text="text")} AS ws FROM documents),
+p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+g AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i,
+    unnest(list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i:i+12], ' '))) AS win FROM w WHERE len(ws) >= 13),
+f AS (SELECT win, min(doc_id) AS first FROM g GROUP BY win HAVING count(*) > 1),
+h AS (SELECT g.doc_id, g.i FROM g JOIN f ON g.win = f.win WHERE g.doc_id > f.first),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM h),
+k AS (
+  SELECT p.doc_id, count(*) FILTER (c.i IS NOT NULL) AS gone, string_agg(word, ' ' ORDER BY p.i) FILTER (c.i IS NULL) AS kept
+  FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.i = p.i GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(k.gone, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
@@ -144,9 +166,11 @@ QUERIES = {
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_sharding": op8_sharding,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 SQL = {
     "op4_ngram_jaccard_join": OP4_SQL,
     "op6_chat_formatting": OP6_SQL,
+    "op10_substring_dedup": OP10_SQL,
     "op8_sharding": "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, lang, source, n_chars FROM documents",
 }
