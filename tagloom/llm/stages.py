@@ -1,3 +1,79 @@
-"""The stages of corpus_pipeline: (spark, docs, sf_dir) -> DataFrame each."""
+"""The stages of corpus_pipeline: (spark, docs, sf_dir) -> DataFrame each.
 
-STAGES = []
+All but the last return the columns of ``docs``, whatever they are besides doc_id and text.
+Rows with a null doc_id are never dropped by an id, and repeated rows never multiplied.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose language compression cannot tell: without a letter, or with a narrow margin."""
+    from . import langid
+
+    dictionaries = langid.learn(docs)
+    names = docs.columns
+    own = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    text = f"c{names.index('text')}"
+    found = langid.identify(own, dictionaries, text_col=text, keep=own.columns)
+    return found.filter("accepted").select(*own.columns).toDF(*names)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates, that of least doc_id."""
+    from .ngramjoin import near_duplicates
+    from .workspace import Workspace
+
+    found = Workspace(spark, "stage4").write(near_duplicates(docs).select("doc_id", "component_id"), "found")
+    others = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    # several rows of one doc_id: of those with equal text one stays
+    twice = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, "doc_id", "left_anti")
+    return once.select(*docs.columns).union(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take out words of repeated passages; documents without any stay as they are, to the byte."""
+    from .substr import repeats
+
+    changed = repeats(docs).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("kept_text").alias("_kept")).dropDuplicates(["_id", "_crc"])
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.crc32(docs["text"]) == F.col("_crc"))
+    out = docs.join(changed, same, "left")
+    text = F.coalesce(F.col("_kept"), docs["text"])
+    columns = {c: docs[c] for c in docs.columns} | {"text": text.alias("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("_kept").isNull(), docs["n_chars"]).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*columns.values())
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a copy of a test item, edited or not."""
+    from .decontam import matches
+
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = matches(docs, items).select("doc_id").filter("doc_id is not null").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences of 2048 tokens."""
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("substring_dedup", substring_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]

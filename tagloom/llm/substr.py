@@ -11,17 +11,20 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .blocks import Block, answer_keys, least, send_keys, total, with_answers, write_blocks
-from .textkit import EXACT, U64, Texts
+from .blocks import KEYS_ARROW, KEYS_SCHEMA, Block, answer_keys, blocks_of, buckets, deal, least, send_keys, total, with_answers, write_blocks
+from .textkit import EXACT, U64, Texts, unpack_ints
 from .workspace import Workspace
 
 ANCHOR = 5
 LARGE = np.iinfo(np.int64).max
-OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed", pa.list_(pa.int64()))])
+OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed", pa.list_(pa.int64())), ("text_crc32", pa.int64())])
 
 
 def _least_of(keys: np.ndarray, span: int) -> np.ndarray:
@@ -86,7 +89,7 @@ def _candidate_keys(block: Block, w: Windows, window: int, held: np.ndarray) ->
 
 
 def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", space: Workspace | None = None) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept_text, removed.
+    """One row per input row: doc_id, n_words, n_removed, kept_text, removed, text_crc32 (of the input text).
 
     kept_text is the kept words joined by one space; ``removed`` lists the maximal removed
     runs as start, length, start, length... in words. Windows are judged on the input. Null,
@@ -97,8 +100,6 @@ def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
     space = space or Workspace(docs.sparkSession, "substr")
     blocks = write_blocks(docs, space, id_col, text_col)
     held = space.write(answer_keys(send_keys(blocks, lambda b: Windows(b, window).anchors(_order_ids(b))), total), "seeds", "uncompressed")
-    from .blocks import KEYS_ARROW, KEYS_SCHEMA, buckets, deal
-
     n = buckets(docs.sparkSession)
 
     def extend(block: Block, got: np.ndarray) -> list[dict]:
@@ -129,7 +130,7 @@ def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
                 words = [x for x, g in zip(words, mask.tolist()) if not g]
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
                 runs = np.stack([edges[0::2], edges[1::2] - edges[0::2]], 1).ravel().tolist()
-            out.append({"doc_id": doc_id, "n_words": b - a, "n_removed": int(mask.sum()), "kept_text": b" ".join(words).decode("utf-8", "replace"), "removed": runs})
+            out.append({"doc_id": doc_id, "n_words": b - a, "n_removed": int(mask.sum()), "kept_text": b" ".join(words).decode("utf-8", "replace"), "removed": runs, "text_crc32": None if block.null[d] else zlib.crc32(block.texts[d])})
         return out
 
     return _with_two(blocks, held, firsts, strip)
@@ -137,11 +138,6 @@ def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
 
 def _with_two(blocks: DataFrame, first: DataFrame, second: DataFrame, use) -> DataFrame:
     """Each block with the answers of two exchanges, told apart by an offset of the bucket number."""
-    from pyspark.sql import functions as F
-
-    from .blocks import blocks_of
-    from .textkit import unpack_ints
-
     shift = 1 << 30
     both = first.unionByName(second.withColumn("bucket", (F.col("bucket") + shift).cast("int")))
 
@@ -155,4 +151,4 @@ def _with_two(blocks: DataFrame, first: DataFrame, second: DataFrame, use) -> Da
             out += use(block, np.concatenate(one) if one else none, np.concatenate(two) if two else none)
         return pa.Table.from_pylist(out, OUT)
 
-    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(apply, "doc_id long, n_words long, n_removed long, kept_text string, removed array<long>")
+    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(apply, "doc_id long, n_words long, n_removed long, kept_text string, removed array<long>, text_crc32 long")
