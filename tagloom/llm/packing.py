@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,58 +24,81 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
-CACHE = 150_000
+CACHE = 200_000
+CHUNK_BYTES = 2 << 20
 #: Rows of (task, length, count) that are broadcast; a larger table is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
+#: ASCII punctuation that makes one piece with its like after letters; an apostrophe may begin a suffix.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself, or the next above 255."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordTokens:
     """Token ids of texts, by the words between ASCII spaces.
 
-    The tokenizer's normaliser and splitter never join what white space parts, so ids of
-    a text are those of its words in order. Words seen lately are kept in two bounded
-    generations; a final full stop or comma is a piece of its own after letters.
+    The tokenizer's normaliser and splitter never join what white space parts, so ids of a
+    text are those of its words in order. A word of Latin letters, with marks at its end or
+    not, is one letter piece and one mark piece, which the model can be asked for directly;
+    any other word goes through the whole tokenizer. Pieces seen lately are kept in two
+    bounded generations.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.tails = {c: self._ids([chr(c)])[0] for c in b".,"}
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.words, self.words_before = {}, {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.direct = all(self._letters(w) == self._whole(w) for w in ("the", "naïve", "straße", "über"))
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _letters(self, core: str) -> bytes:
+        raw = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
+
+    def _piece(self, text: str, latin: bool) -> bytes:
+        ids = self.young.get(text)
+        if ids is None:
+            ids = self.old.get(text)
+            if ids is None:
+                ids = self._letters(text) if latin and self.direct else self._whole(text)
+            self.young[text] = ids
+        return ids
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        core = text.rstrip(MARKS)
+        # up to U+017F letters have one lower case each and no loose combining forms, but for the dotted I
+        if not core.isalpha() or not core.isascii() and (max(core) > "\u017f" or "\u0130" in core or "\u0149" in core):
+            return self._piece(text, False)
+        ids = self._piece(core.lower(), True)
+        return ids + self._piece(text[len(core) :], False) if len(core) < len(text) else ids
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.split() for t in texts]
-        known: dict[bytes, bytes] = {}
-        fresh: dict[bytes, list[bytes]] = {}
-        for w in set().union(*split) if split else ():
-            core, tail = w, b""
-            if w[-1] in b".," and w[:-1].isalpha():
-                core, tail = w[:-1].lower(), self.tails[w[-1]]
-            elif w.isalpha():
-                core = w.lower()
-            ids = self.young.get(core)
-            if ids is None and (ids := self.old.get(core)) is not None:
-                self.young[core] = ids
-            if ids is None:
-                fresh.setdefault(core, []).append(w)
-            else:
-                known[w] = ids + tail
-        if fresh:
-            cores = list(fresh)
-            for core, ids in zip(cores, self._ids([c.decode("utf-8", "replace") for c in cores])):
-                self.young[core] = ids
-                for w in fresh[core]:
-                    known[w] = ids + (self.tails[w[-1]] if w != core and w[:-1].lower() == core else b"")
-            if len(self.young) > CACHE:
-                self.old, self.young = self.young, {}
+        known, before, piece = self.words, self.words_before, self._word
+        for w in set().union(*split) - known.keys() if split else ():
+            known[w] = before.get(w) or piece(w)
         for words in split:
             yield b"".join(map(known.__getitem__, words))
+        if len(known) > CACHE:
+            self.words, self.words_before = {}, known
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
 
 
 PIECE = pa.schema([("part", pa.int32()), ("rank", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
@@ -94,7 +118,7 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int, closing: int | Non
             i = 0
             while i < len(texts):
                 j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= 1 << 20):
+                while j < len(texts) and (j == i or size + len(texts[j]) <= CHUNK_BYTES):
                     size += len(texts[j])
                     j += 1
                 out = {c: [] for c in PIECE.names}
