@@ -136,7 +136,8 @@ class Stream:
 
     def __init__(self, src: Source, lexer: Lexer):
         self.src, self.tokens = src, lexer.tokens(src)
-        self.close = match_brackets(self.tokens)
+        # looking a few tokens past the end finds no bracket
+        self.close = match_brackets(self.tokens) + [-1] * 16
 
     def __len__(self) -> int:
         return len(self.tokens)
@@ -160,11 +161,11 @@ class Stream:
 
     def skip(self, i: int) -> int:
         """The index after token i, or after the bracket that it opens."""
-        return self.close[i] + 1 if self.close[i] >= 0 else i + 1
+        return self.close[i] + 1 if i < len(self.tokens) and self.close[i] >= 0 else i + 1
 
     def find(self, i: int, end: int, stop: set[str]) -> int:
         """First token from i, outside brackets, whose text is in ``stop``; ``end`` if none."""
-        while i < end:
+        while i < min(end, len(self.tokens)):
             if self.tokens[i].text in stop and self.tokens[i].kind in ("op", "nl", "id"):
                 return i
             i = self.skip(i)

@@ -150,8 +150,12 @@ class _Walk:
 
     def one(self, i: int, j: int) -> None:
         s = self.s
-        if s.text(i) in ("def", "class") or s.text(i) in BLOCKS and s.find(i, j, {":"}) < j and s.text(i + 1) != "=":
-            self.statement(i, j)
+        if s.text(i) in ("def", "class"):
+            if s.kind(i + 1) == "id":
+                self.statement(i, j)
+            return
+        if s.text(i) in BLOCKS and s.text(i + 1) not in ("=", ",", ":") and s.find(i, j, {":"}) < j:
+            self.simple(s.find(i, j, {":"}) + 1, j)
             return
         if s.text(i) == "from":
             self.imports(i, j)
