@@ -54,9 +54,11 @@ class Windows:
 
     def anchors(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchors, and 2 for those in documents of several ids, else 1."""
+        if not len(self.anchor):
+            return np.empty(0, U64), np.empty(0, np.int64)
         order = np.lexsort((ids[self.doc], self.anchor))
         keys, who = self.anchor[order], ids[self.doc][order]
-        at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+        at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         last = np.append(at[1:], len(keys)) - 1
         return keys[at], 1 + (who[at] != who[last]).astype(np.int64)
 
