@@ -10,6 +10,8 @@ canonical texts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,37 +33,65 @@ def digest(canon: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(F.xxhash64(canon)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit("wide"), F.reverse(canon))), 16, "0")))
 
 
-def fingerprints(texts: DataFrame, space: Workspace, id_cols: list[str], text_col: str = "text", name: str = "digests") -> DataFrame:
-    """id_cols and ``fingerprint`` for every row.
+#: Bits of the filter that keeps rows of single buckets out of a shuffle; its size is fixed.
+FILTER_BITS = 1 << 24
+
+
+def _slot(*ids: str) -> Column:
+    return F.pmod(F.xxhash64(*ids), F.lit(FILTER_BITS))
+
+
+def only(rows: DataFrame, ids: DataFrame, id_cols: list[str]) -> DataFrame:
+    """The rows whose id_cols are in ``ids``, most others being dropped before the shuffle.
+
+    ``ids`` is hashed into a bitmap of FILTER_BITS (2 MB, whatever its length), which is
+    broadcast; an exact semi join follows.
+    """
+    slot = _slot(*id_cols)
+    words = ids.select(F.shiftright(slot, 6).alias("word"), F.expr("1L").alias("one"), F.pmod(slot, F.lit(64)).cast("int").alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", "one", "bit")).alias("bits"))
+    full = [0] * (FILTER_BITS // 64)
+    for r in words.toLocalIterator():  # FILTER_BITS / 64 rows at most
+        full[r["word"]] = r["bits"]
+    bitmap = rows.sparkSession.createDataFrame([(full,)], "_bitmap array<long>")
+    word = F.expr("element_at(_bitmap, cast(shiftright(_slot, 6) + 1 as int))")
+    near = rows.withColumn("_slot", slot).crossJoin(F.broadcast(bitmap)).filter(F.getbit(word, F.pmod("_slot", F.lit(64)).cast("int")) == 1)
+    return near.drop("_slot", "_bitmap").join(ids, id_cols, "left_semi")
+
+
+def fingerprints(texts: DataFrame, space: Workspace, id_cols: list[str], text_col: str = "text") -> DataFrame:
+    """id_cols and ``fingerprint`` for every row. Null texts count as empty; repeated rows are kept; no rows give no rows."""
+    digests = space.write(texts.select(*id_cols, digest(canonical(F.col(text_col))).alias("digest")), "digests")
+    return settle(digests, lambda ids: only(texts, ids, id_cols).select(*id_cols, F.col(text_col).alias("text")), space, id_cols)
+
+
+def settle(digests: DataFrame, fetch: Callable[[DataFrame], DataFrame], space: Workspace, id_cols: list[str]) -> DataFrame:
+    """id_cols and ``fingerprint`` of digested rows, after the comparison of bytes inside equal buckets.
 
-    Digests are written first. Only rows of a bucket with several rows are read again
-    for the comparison of bytes: per bucket the least and greatest canonical text are
-    kept, combined before the shuffle, so a crowd of copies costs one row a task. Null
-    texts count as empty; repeated rows are kept; no rows give no rows.
+    ``fetch(ids)`` gives the texts of some rows again; it is asked for those of buckets with
+    several rows. Of each bucket the least and greatest canonical text are kept, combined
+    before the shuffle, so a crowd of copies costs one row a task.
     """
-    canon = canonical(F.col(text_col))
-    digests = space.write(texts.select(*id_cols, digest(canon).alias("digest")), name)
     crowded = digests.groupBy("digest").count().filter("count > 1").select("digest")
-    # a bucket of one row needs no comparison; equal ids share their text's bucket
-    rows = digests.join(crowded, "digest", "left_semi").select(*id_cols).distinct()
-    bodies = texts.join(rows, id_cols, "left_semi").select(canonical(F.col(text_col)).alias("canon"))
-    spread = bodies.groupBy(digest(F.col("canon")).alias("digest")).agg(F.min("canon").alias("lo"), F.max("canon").alias("hi"))
-    clashes = space.write(spread.filter("lo <> hi").select("digest"), f"{name}_clashes")
+    ids = space.write(digests.join(crowded, "digest", "left_semi").select(*id_cols).distinct(), "crowded")
+    canon = fetch(ids).select(canonical(F.col("text")).alias("canon"))
+    spread = canon.groupBy(digest(F.col("canon")).alias("digest")).agg(F.min("canon").alias("lo"), F.max("canon").alias("hi"))
+    clashes = space.write(spread.filter("lo <> hi").select("digest"), "clashes")
     if clashes.isEmpty():
-        return digests.withColumnRenamed("digest", "fingerprint")
+        return digests.select(*id_cols, F.col("digest").alias("fingerprint"))
     split = digests.join(clashes, "digest", "left_semi").select(*id_cols).distinct()
-    longer = texts.join(split, id_cols, "left_semi").select(*id_cols, F.sha2(canonical(F.col(text_col)), 256).alias("more"))
+    longer = fetch(split).select(*id_cols, F.sha2(canonical(F.col("text")), 256).alias("more"))
     return digests.join(longer, id_cols, "left").select(*id_cols, F.concat_ws("-", "digest", "more").alias("fingerprint"))
 
 
 def descending_pairs(ids: DataFrame, space: Workspace, key: str) -> DataFrame:
-    """(key, next): each row's successor in descending key order, the last row's being the first row.
+    """All columns and ``next``: each row's successor in descending key order, the last row's being the first row.
 
     Rows are dealt by key range, and a window runs inside each range only. What crosses
     a range's edge is looked up in a table of one row a range. Ties are arbitrary but fixed.
     """
     n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = space.write(ids.select(key).repartitionByRange(n, F.desc(key)).withColumn("range", F.spark_partition_id()), "ranges")
+    dealt = space.write(ids.repartitionByRange(n, F.desc(key)).withColumn("range", F.spark_partition_id()), "ranges")
     inner = Window.partitionBy("range").orderBy(F.desc(key))
     edges = dealt.groupBy("range").agg(F.max(key).alias("head"))
     # one row for each range: as many as there are shuffle partitions
@@ -69,4 +99,4 @@ def descending_pairs(ids: DataFrame, space: Workspace, key: str) -> DataFrame:
     following = [(a[0], heads[(i + 1) % len(heads)][1]) for i, a in enumerate(heads)]
     after = ids.sparkSession.createDataFrame(following, f"range int, edge {ids.schema[key].dataType.simpleString()}")
     led = dealt.withColumn("lead", F.lead(key).over(inner)).join(F.broadcast(after), "range")
-    return led.select(key, F.coalesce("lead", "edge").alias("next"))
+    return led.select(*ids.columns, F.coalesce("lead", "edge").alias("next"))
