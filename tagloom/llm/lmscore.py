@@ -188,7 +188,8 @@ def _train(tokens: DataFrame, turn: int, w: np.ndarray, speed: np.ndarray, modul
         return pa.Table.from_pylist([out], UPDATE)
 
     schema = "slice int, n long, w binary, speed binary"
-    share = tokens.filter(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == turn)
+    # each task sends the whole table of weights, so there are as many as can run at once
+    share = tokens.filter(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == turn).coalesce(max(1, spark.sparkContext.defaultParallelism))
     # SLICES rows: the weights, of fixed size
     for r in share.mapInArrow(run, schema).groupBy("slice").applyInArrow(average, schema).collect():
         a, b = ROWS * r["slice"] // SLICES, ROWS * (r["slice"] + 1) // SLICES
