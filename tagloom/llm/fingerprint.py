@@ -45,8 +45,10 @@ def only(rows: DataFrame, ids: DataFrame, id_cols: list[str]) -> DataFrame:
     """The rows whose id_cols are in ``ids``, most others being dropped before the shuffle.
 
     ``ids`` is hashed into a bitmap of FILTER_BITS (2 MB, whatever its length), which is
-    broadcast; an exact semi join follows.
+    broadcast; an exact join follows. That is an inner join, as a semi join would be moved
+    below the filter, and all rows would be shuffled after all.
     """
+    ids = ids.select(*id_cols).distinct()
     slot = _slot(*id_cols)
     words = ids.select(F.shiftright(slot, 6).alias("word"), F.expr("1L").alias("one"), F.pmod(slot, F.lit(64)).cast("int").alias("bit"))
     words = words.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", "one", "bit")).alias("bits"))
@@ -56,7 +58,7 @@ def only(rows: DataFrame, ids: DataFrame, id_cols: list[str]) -> DataFrame:
     bitmap = rows.sparkSession.createDataFrame([(full,)], "_bitmap array<long>")
     word = F.expr("element_at(_bitmap, cast(shiftright(_slot, 6) + 1 as int))")
     near = rows.withColumn("_slot", slot).crossJoin(F.broadcast(bitmap)).filter(F.getbit(word, F.pmod("_slot", F.lit(64)).cast("int")) == 1)
-    return near.drop("_slot", "_bitmap").join(ids, id_cols, "left_semi")
+    return near.join(ids, id_cols).drop("_slot", "_bitmap")
 
 
 def fingerprints(texts: DataFrame, space: Workspace, id_cols: list[str], text_col: str = "text") -> DataFrame:

@@ -21,6 +21,9 @@ BITS = 20
 SIZES = (4, 5, 6)
 SAMPLE = (4_000, 2_000)  # texts of label 0 and 1 at most
 EDGE = 32
+LEAN = 1.1
+POWER = 0.25
+PART = 1 << 20
 
 
 def features(text: bytes, bits: int = BITS) -> np.ndarray:
@@ -57,7 +60,7 @@ def sample(labelled: DataFrame, text_col: str, label_col: str, size: tuple[int,
     return out
 
 
-def fit(examples: list[tuple[bytes, int]], bits: int = BITS, smooth: float = 1.0, penalty: float = 3e-4, steps: int = 40) -> dict:
+def fit(examples: list[tuple[bytes, int]], bits: int = BITS, smooth: float = 1.0, penalty: float = 3e-4, steps: int = 30) -> dict:
     """Weights of the scaled features and the offset; without both labels, a constant score."""
     if len({y for _, y in examples}) < 2:
         return {"w": np.zeros(1 << bits, np.float32), "b": 4.0 if examples and examples[0][1] else -4.0}
@@ -76,20 +79,23 @@ def fit(examples: list[tuple[bytes, int]], bits: int = BITS, smooth: float = 1.0
     # a feature must be seen in a few texts before it may weigh
     often = seen[0] + seen[1] >= 2 * smooth + 3
     ratio = np.where(often, np.log(seen[1] / (labels.sum() + 2 * smooth)) - np.log(seen[0] / ((1 - labels).sum() + 2 * smooth)), 0.0)
+    # features near balance weigh next to nothing
+    often &= np.abs(ratio) > LEAN
     lists = [f[often[f]] for f in lists]
-    indptr = np.concatenate(([0], np.cumsum([len(f) for f in lists])))
-    columns = np.concatenate(lists) if lists else np.empty(0, np.uint32)
-    row = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(indptr))
-    scale = ratio[columns].astype(np.float32)
-    # texts of any length count alike: features weigh by 1 / sqrt of their number
-    unit = 1.0 / np.sqrt(np.maximum(1, np.diff(indptr)))
+    # long texts have more chance features, so they weigh a little less
+    sizes = np.array([len(f) for f in lists])
+    unit = 1.0 / np.maximum(1, sizes) ** POWER
     weigh = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
+    parts = _parts(lists, sizes)
     w, b, mw, vw, mb, vb = np.zeros(size), 0.0, np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(row, w[columns] * scale, len(lists)) * unit + b
-        g = weigh * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
-        gw = np.bincount(columns, (g * unit)[row] * scale, size) + penalty * w / len(lists)
-        gb = g.sum()
+        gw, gb, scaled = penalty * w / len(lists), 0.0, w * ratio
+        for i, j, columns, starts in parts:
+            z = np.add.reduceat(scaled[columns], starts) if len(columns) else np.zeros(j - i)
+            z = np.where(sizes[i:j] > 0, z, 0.0) * unit[i:j] + b
+            g = weigh[i:j] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[i:j])
+            gw += np.bincount(columns, np.repeat(g * unit[i:j], sizes[i:j]), size) * ratio
+            gb += g.sum()
         mw, vw = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = 0.1 / (1 + t / 30)
@@ -102,6 +108,21 @@ def fit(examples: list[tuple[bytes, int]], bits: int = BITS, smooth: float = 1.0
     return model
 
 
+def _parts(lists: list[np.ndarray], sizes: np.ndarray) -> list[tuple]:
+    """Runs of texts with at most PART features: first, after last, feature numbers, and where each text's begin."""
+    out, i = [], 0
+    while i < len(lists):
+        j, n = i, 0
+        while j < len(lists) and (j == i or n + sizes[j] <= PART):
+            n += sizes[j]
+            j += 1
+        columns = np.concatenate(lists[i:j])
+        starts = np.minimum(np.cumsum(sizes[i:j]) - sizes[i:j], max(0, len(columns) - 1))
+        out.append((i, j, columns, starts))
+        i = j
+    return out
+
+
 def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift that make z log odds of y, both labels weighing alike; targets are smoothed by the counts."""
     up, down = y.sum(), (1 - y).sum()
@@ -120,7 +141,7 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def margin(model: dict, f: np.ndarray) -> float:
     f = f[model["often"][f]]
-    return float(model["w"][f].sum(dtype=np.float64)) / max(1, len(f)) ** 0.5 + model["b"]
+    return float(model["w"][f].sum(dtype=np.float64)) / max(1, len(f)) ** POWER + model["b"]
 
 
 def score_text(model: dict, text: bytes, bits: int = BITS) -> float:

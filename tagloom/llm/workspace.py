@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import importable
+
 _local: dict[int, str] = {}
 
 
@@ -25,15 +26,6 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[key]}"
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers started from now on import this package where it lies on a path they can read."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
-
-
 class Workspace:
     """Parquet tables of one operator run, each written once and then re-read.
 
