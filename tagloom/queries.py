@@ -315,8 +315,8 @@ def merged_abis(spark, sf_dir):
 
 
 def made_tags(spark, sf_dir) -> DataFrame:
-    """A tag for each order line of the first orders: with kind or not, with a module or not."""
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 2000")
+    """A tag for each order line: with kind or not, with a module or not."""
+    li = table(spark, sf_dir, "lineitem")
     k = F.col("l_linenumber")
     part = lambda a, b: F.struct(F.lit(a).alias("key"), b.alias("value"))
     text = F.col("l_partkey").cast("string")
@@ -327,7 +327,7 @@ def made_tags(spark, sf_dir) -> DataFrame:
 RENDERED = """SELECT 'n' || l_orderkey || chr(9) || 'f' || l_linenumber || '.rs' || chr(9) || '/^' || l_partkey || '$/;"'
   || CASE WHEN l_linenumber % 3 <> 0 AND l_linenumber % 4 <> 2 THEN chr(9) || 'v' ELSE '' END
   || CASE l_linenumber % 4 WHEN 0 THEN chr(9) || 'module:' || l_partkey WHEN 1 THEN chr(9) || 'line:' || l_partkey || chr(9) || 'struct:' || l_partkey || '::' || l_returnflag
-     WHEN 2 THEN chr(9) || 'kind:v' || chr(9) || 'typeref:' || l_partkey ELSE '' END AS value FROM lineitem WHERE l_orderkey <= 2000"""
+     WHEN 2 THEN chr(9) || 'kind:v' || chr(9) || 'typeref:' || l_partkey ELSE '' END AS value FROM lineitem"""
 
 
 @query(RENDERED)
@@ -338,7 +338,7 @@ def render_tags(spark, sf_dir):
 @query("""SELECT 'n' || l_orderkey AS name, 'f' || l_linenumber || '.rs' AS file_name, '/^' || l_partkey || '$/;"' || chr(9) AS address,
   CASE WHEN l_linenumber % 4 = 2 OR l_linenumber % 3 <> 0 THEN 'v' END AS kind,
   CASE l_linenumber % 4 WHEN 0 THEN 'module=' || l_partkey WHEN 1 THEN 'line=' || l_partkey || ';struct=' || l_partkey || '::' || l_returnflag WHEN 2 THEN 'typeref=' || l_partkey END AS fields
-  FROM lineitem WHERE l_orderkey <= 2000""")
+  FROM lineitem""")
 def parse_tag_lines(spark, sf_dir):
     back = tags.parse_lines(tags.render(made_tags(spark, sf_dir)).select("value").union(spark.createDataFrame([("!_TAG_X\ta\tb",), ("a\tb",)], "value string")))
     return back.withColumn("fields", F.array_join(F.transform("fields", lambda f: F.concat(f["key"], F.lit("="), f["value"])), ";"))
@@ -351,7 +351,7 @@ def append_tags(spark, sf_dir):
 
 
 @query(f"""SELECT CAST(row_number() OVER (ORDER BY name, file_name, address, kind NULLS FIRST, fields NULLS FIRST) AS BIGINT) AS rank, name, address FROM (
-  SELECT 'n' || l_orderkey AS name, 'f' || l_linenumber || '.rs' AS file_name, '/^' || l_partkey || '$/;"' AS address, l_returnflag AS kind, l_shipdate AS fields FROM lineitem WHERE l_orderkey <= 2000)""")
+  SELECT 'n' || l_orderkey AS name, 'f' || l_linenumber || '.rs' AS file_name, '/^' || l_partkey || '$/;"' AS address, l_returnflag AS kind, l_shipdate AS fields FROM lineitem)""")
 def total_sort(spark, sf_dir):
     """The order itself, as a rank: ranges are counted, and positions inside a range added."""
     s = tags.sort_tags(made_tags(spark, sf_dir)).select("name", "address")
@@ -359,12 +359,12 @@ def total_sort(spark, sf_dir):
     return spark.createDataFrame(numbered, "rank long, name string, address string")
 
 
-@query("SELECT count(*) AS n FROM lineitem WHERE l_orderkey <= 2000 AND l_linenumber % 3 <> 0")
+@query("SELECT count(*) AS n FROM lineitem WHERE l_linenumber % 3 <> 0")
 def kept_kinds(spark, sf_dir):
     return tags.drop_placeholders(tags.keep_kinds(made_tags(spark, sf_dir), ["v"])).agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_linenumber % 4 AS m, CASE l_linenumber % 4 WHEN 0 THEN 'module,end' WHEN 1 THEN 'line,module,end' WHEN 2 THEN 'kind,end' ELSE 'end' END AS keys, count(*) AS n FROM lineitem WHERE l_orderkey <= 2000 GROUP BY 1, 2")
+@query("SELECT l_linenumber % 4 AS m, CASE l_linenumber % 4 WHEN 0 THEN 'module,end' WHEN 1 THEN 'line,module,end' WHEN 2 THEN 'kind,end' ELSE 'end' END AS keys, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def field_projection(spark, sf_dir):
     t = made_tags(spark, sf_dir).withColumn("m", F.regexp_extract("file_name", r"(\d+)", 1).cast("int") % 4)
     picked = tags.put_field(tags.pick_fields(F.col("fields"), ["module", "line", "kind"]), "end", F.lit("9"))
