@@ -11,8 +11,8 @@ words, the word before the last (a skip), and the classes of both. The second is
 smoothed share of its class; unseen words of a trait are one symbol.
 
 Training. In each of ROUNDS, every task takes gradient steps (AdaGrad, minibatches of whole
-numpy arrays) from the shared weights over its own share of the round's blocks; the tasks'
-weights are averaged by the number of words. A training word's own occurrence is taken off
+numpy arrays) from the shared weights over its own share of the round's blocks; the changes
+are averaged by the number of words. A training word's own occurrence is taken off
 its count, so that unseen words have a probability to learn from.
 """
 
@@ -157,12 +157,13 @@ def steps(w: np.ndarray, speed: np.ndarray, rows: np.ndarray, target: np.ndarray
             flat[where] -= RATE * total / np.sqrt(flat_speed[where])
 
 
-def _train(tokens: DataFrame, turn: int, w: np.ndarray, speed: np.ndarray, modulus: int, held: int) -> tuple[np.ndarray, np.ndarray]:
+def _train(tokens: DataFrame, turn: int, w: np.ndarray, modulus: int, held: int) -> np.ndarray:
+    """The weights after a round. Tasks send what they changed, in half precision and compressed."""
     spark = tokens.sparkSession
-    shared = spark.sparkContext.broadcast((w, speed))
+    shared = spark.sparkContext.broadcast(w)
 
     def run(batches):
-        own, quick = (a.copy() for a in shared.value)
+        own, speed = shared.value.copy(), np.ones_like(shared.value)
         seen = 0
         for batch in batches:
             for row in batch.to_pylist():
@@ -172,33 +173,31 @@ def _train(tokens: DataFrame, turn: int, w: np.ndarray, speed: np.ndarray, modul
                     continue
                 classes = band(t.count - use) * TRAITS + t.trait
                 rows = t.history(classes)
-                steps(own, quick, rows[use], classes[use])
+                steps(own, speed, rows[use], classes[use])
                 seen += int(use.sum())
         if seen:
+            change = (own - shared.value).astype(np.float16)
             for s in range(SLICES):
-                a, b = ROWS * s // SLICES, ROWS * (s + 1) // SLICES
-                yield pa.RecordBatch.from_pylist([{"slice": s, "n": seen, "w": own[a:b].tobytes(), "speed": quick[a:b].tobytes()}], UPDATE)
+                part = change[ROWS * s // SLICES : ROWS * (s + 1) // SLICES]
+                yield pa.RecordBatch.from_pylist([{"slice": s, "n": seen, "change": zip_bytes(part.tobytes())}], UPDATE)
 
     def average(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         n = sum(r["n"] for r in rows)
-        out = {"slice": rows[0]["slice"], "n": n}
-        for c in ("w", "speed"):
-            out[c] = sum(np.frombuffer(r[c], np.float32) * np.float32(r["n"] / n) for r in rows).tobytes()
-        return pa.Table.from_pylist([out], UPDATE)
+        change = sum(np.frombuffer(unzip_bytes(r["change"]), np.float16).astype(np.float32) * np.float32(r["n"] / n) for r in rows)
+        return pa.Table.from_pylist([{"slice": rows[0]["slice"], "n": n, "change": zip_bytes(change.tobytes())}], UPDATE)
 
-    schema = "slice int, n long, w binary, speed binary"
+    schema = "slice int, n long, change binary"
     # each task sends the whole table of weights, so there are as many as can run at once
     share = tokens.filter(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == turn).coalesce(max(1, spark.sparkContext.defaultParallelism))
+    w = w.copy()
     # SLICES rows: the weights, of fixed size
     for r in share.mapInArrow(run, schema).groupBy("slice").applyInArrow(average, schema).collect():
-        a, b = ROWS * r["slice"] // SLICES, ROWS * (r["slice"] + 1) // SLICES
-        w[a:b] = np.frombuffer(r["w"], np.float32).reshape(-1, CLASSES)
-        speed[a:b] = np.frombuffer(r["speed"], np.float32).reshape(-1, CLASSES)
-    return w, speed
+        w[ROWS * r["slice"] // SLICES : ROWS * (r["slice"] + 1) // SLICES] += np.frombuffer(unzip_bytes(r["change"]), np.float32).reshape(-1, CLASSES)
+    return w
 
 
-UPDATE = pa.schema([("slice", pa.int32()), ("n", pa.int64()), ("w", pa.binary()), ("speed", pa.binary())])
+UPDATE = pa.schema([("slice", pa.int32()), ("n", pa.int64()), ("change", pa.binary())])
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
@@ -237,9 +236,9 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str =
     space.drop("blocks")
     space.drop("counts")
 
-    w, speed = np.zeros((ROWS, CLASSES), np.float32), np.full((ROWS, CLASSES), 1.0, np.float32)
+    w = np.zeros((ROWS, CLASSES), np.float32)
     for turn in range(ROUNDS):
-        w, speed = _train(tokens, turn, w, speed, modulus, held)
+        w = _train(tokens, turn, w, modulus, held)
     shared = spark.sparkContext.broadcast((w, n, v, mass))
 
     def score(batches):
