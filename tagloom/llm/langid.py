@@ -1,8 +1,9 @@
 """Language identification by compression against per-language dictionaries.
 
 A language's dictionary is raw text of that language. A text is reduced to its letters
-in lower case, other runs being one space, and encoded whole with each dictionary by
-zstandard; the language whose dictionary gives the smallest output wins. Where the two smallest outputs lie within ``margin`` of each other, relative to
+in lower case, other runs being one space, and encoded with each dictionary by zstandard,
+in consecutive chunks of at most CHUNK bytes, so that the dictionary stays in zstd's window
+for every part of the text; the language whose outputs have the smallest sum wins. Where the two smallest sums lie within ``margin`` of each other, relative to
 the text's size, the text is rejected (``accepted`` false) though its best guess is kept.
 """
 
@@ -21,6 +22,7 @@ from .workspace import importable
 DICTIONARY_BYTES = 32 << 10
 SAMPLES = 64
 SAMPLE_BYTES = 1 << 10
+CHUNK = 8 << 10
 MARGIN = 0.0005
 SHARPNESS = 60.0
 UNKNOWN = "und"
@@ -51,15 +53,26 @@ def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang", samp
     return {lang: b" ".join(p)[:size] for lang, p in parts.items()}
 
 
+def chunks(text: bytes, size: int = CHUNK):
+    """``text`` in as few parts of at most ``size`` bytes as there can be, all about equally long; b'' is one part."""
+    n = max(1, -(-len(text) // size))
+    return (text[len(text) * i // n : len(text) * (i + 1) // n] for i in range(n))
+
+
 def scorer(dictionaries: dict[str, bytes]):
-    """letters -> [(size, language)], the smallest first, ties by name."""
+    """letters -> [(size, language)], the smallest first, ties by name; size is the sum over the text's chunks."""
     settings = zstandard.ZstdCompressionParameters(write_content_size=False, write_checksum=False, write_dict_id=False, **ENCODER)
     coders = []
     for lang, raw in sorted(dictionaries.items()):
         d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(compression_params=settings)
         coders.append((lang, zstandard.ZstdCompressor(compression_params=settings, dict_data=d)))
-    return lambda text: sorted((len(c.compress(text)), lang) for lang, c in coders)
+
+    def rank(text: bytes) -> list[tuple[int, str]]:
+        parts = list(chunks(text))
+        return sorted((sum(len(c.compress(p)) for p in parts), lang) for lang, c in coders)
+
+    return rank
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN, keep: list[str] | None = None) -> DataFrame:
@@ -68,8 +81,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     score (0 to 1) is the winner's share when every encoded byte beyond the smallest
     output, relative to the text, halves a language's weight many times over. A null
     text or one without a letter gets ``und``, score 0 and is not accepted. With a
-    single dictionary every other text gets that language, score 1. Texts are scored
-    whole, one at a time; extra columns are passed through only when named in ``keep``.
+    single dictionary every other text gets that language, score 1. All chunks of a text
+    are scored, one text at a time; extra columns are passed through only when named in ``keep``.
     """
     importable(docs.sparkSession)
     keep = keep or [id_col]

@@ -199,6 +199,32 @@ def test_language_id(spark, docs):
     assert langid.identify(asked, {}).filter("lang_pred <> 'und'").count() == 0
 
 
+def speech(rng, syllables, size):
+    """Words of a made-up language, ``size`` bytes of them."""
+    words = ["".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(3000)]
+    return " ".join(words[i] for i in (3000 * rng.random(size // 3) ** 3).astype(int).tolist())[:size]
+
+
+def tongues(rng):
+    return {"a": list(rng.choice([x + y for x in "bdfgklm" for y in "aeiou"], 25, replace=False)), "b": [x + y for x in "nprstvz" for y in "aeiou"]}
+
+
+def test_language_of_long_texts():
+    rng = np.random.default_rng(8)
+    kinds = tongues(rng)
+    texts = {}
+    for lang, syllables in kinds.items():
+        own = np.random.default_rng(11)
+        texts[lang] = speech(own, syllables, 1_000_000)
+    rank = langid.scorer({lang: t[:32_768].encode() for lang, t in texts.items()})
+    gaps = [(lambda r: (r[0][1], r[1][0] - r[0][0]))(rank(langid.letters(texts["a"][100_000 : 100_000 + n]))) for n in (200_000, 800_000)]
+    assert [g[0] for g in gaps] == ["a", "a"] and gaps[1][1] > 3 * gaps[0][1]
+    mixed = langid.letters(texts["b"][100_000:250_000] + " " + texts["a"][100_000:900_000])
+    assert rank(mixed)[0][1] == "a"
+    parts = list(langid.chunks(mixed))
+    assert b"".join(parts) == mixed and max(map(len, parts)) <= langid.CHUNK and list(langid.chunks(b"")) == [b""]
+
+
 def test_toxicity(spark, docs):
     rng = np.random.default_rng(5)
     plain = lambda: " ".join(f"{rng.choice(list('abcdefgh'))}{rng.choice(['an', 'el', 'or'])}{rng.choice(['ta', 'mi'])}" for _ in range(60))
