@@ -3,8 +3,8 @@
 A language's dictionary is raw text of that language. A text is reduced to its letters
 in lower case, other runs being one space, and encoded with each dictionary by zstandard,
 in consecutive chunks of at most CHUNK bytes, so that the dictionary stays in zstd's window
-for every part of the text; the language whose outputs have the smallest sum wins. Where the two smallest sums lie within ``margin`` of each other, relative to
-the text's size, the text is rejected (``accepted`` false) though its best guess is kept.
+for every part of the text; the language whose outputs have the smallest sum wins. Where the two smallest sums differ by less than ``margin`` of the smaller, the
+text is rejected (``accepted`` false) though its best guess is kept.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ DICTIONARY_BYTES = 32 << 10
 SAMPLES = 64
 SAMPLE_BYTES = 1 << 10
 CHUNK = 8 << 10
-MARGIN = 0.0005
+#: Of 1,960 held-out texts of sf0.1, 0.3 % of the rightly and 94 % of the wrongly identified lie below, as does
+#: text of random letters: 99 % of it at 200 bytes, all of it from 500 bytes up. Texts of 0.4 MB and more have 0.09.
+MARGIN = 0.04
 SHARPNESS = 60.0
 UNKNOWN = "und"
 #: Short matches carry the evidence, and small tables keep the cost of a short text low.
@@ -80,6 +82,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
 
     score (0 to 1) is the winner's share when every encoded byte beyond the smallest
     output, relative to the text, halves a language's weight many times over. A null
+    margin is by how much of the smallest output the second exceeds it. A null
     text or one without a letter gets ``und``, score 0 and is not accepted. With a
     single dictionary every other text gets that language, score 1. All chunks of a text
     are scored, one text at a time; extra columns are passed through only when named in ``keep``.
@@ -102,7 +105,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
                     pred, score, gap = UNKNOWN, 0.0, 0.0
                 else:
                     n = max(1, len(plain))
-                    pred, gap = best[0][1], (best[1][0] - best[0][0]) / n if len(best) > 1 else 1.0
+                    pred, gap = best[0][1], (best[1][0] - best[0][0]) / best[0][0] if len(best) > 1 else 1.0
                     score = 1.0 / sum(math.exp(-SHARPNESS * (s - best[0][0]) / n) for s, _ in best)
                 for k, v in zip(out, (pred, score, gap, bool(best) and gap >= margin)):
                     out[k].append(v)

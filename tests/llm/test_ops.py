@@ -225,6 +225,20 @@ def test_language_of_long_texts():
     assert b"".join(parts) == mixed and max(map(len, parts)) <= langid.CHUNK and list(langid.chunks(b"")) == [b""]
 
 
+def test_language_margin_at_any_length(spark):
+    rng = np.random.default_rng(8)
+    kinds = tongues(rng)
+    texts = {lang: speech(np.random.default_rng(11), syllables, 4_000_000) for lang, syllables in kinds.items()}
+    d = {lang: t[:32_768].encode() for lang, t in texts.items()}
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    junk = lambda n: " ".join("".join(rng.choice(letters, rng.integers(2, 11))) for _ in range(n // 7))
+    clean = [(i, texts["ab"[i % 2]][1_000_000 : 1_000_000 + n]) for i, n in enumerate((300, 300, 2_000, 2_000, 30_000, 30_000, 1_500_000, 1_500_000))]
+    odd = [(100 + i, junk(n)) for i, n in enumerate([1_000] * 20 + [1_900] * 20 + [200_000])]
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(clean + odd, "doc_id long, text string"), d).collect()}
+    assert all(got[i]["accepted"] and got[i]["lang_pred"] == "ab"[i % 2] for i, _ in clean)
+    assert not any(got[i]["accepted"] for i, _ in odd)
+
+
 def test_toxicity(spark, docs):
     rng = np.random.default_rng(5)
     plain = lambda: " ".join(f"{rng.choice(list('abcdefgh'))}{rng.choice(['an', 'el', 'or'])}{rng.choice(['ta', 'mi'])}" for _ in range(60))
