@@ -1,10 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. How many documents hold each n-gram of the test items is counted over the corpus.
-   An item's seeds are its rarer half, and any n-gram in no more than RARE documents.
-2. A document with a seed of an item is aligned with it, word by word, on the passages
-   around the seeds, case and punctuation aside. The score is the best local alignment's share of a perfect one,
-   so copies with words changed, dropped or put in are found.
+"""Benchmark decontamination: seeds that no alignment can do without, then Smith-Waterman alignment.
+
+1. An alignment of score S has, between matched words that follow each other, c0 gaps without
+   an edit and c1 gaps of one edit, and S <= MATCH + 2 c0 + c1, as any other gap costs what a
+   match gives. A gap of at most one edit is a pair of words no more than two apart both in
+   the item and in the text. The seeds of an item are its pairs: a pair of neighbours in both
+   weighs 2, any other 1, and a document can only reach ``threshold`` where the seeds of a
+   stretch as long as an alignment can be weigh MATCH (threshold * words - 1) or more.
+2. How often each pair occurs in the corpus is counted. The commonest pairs of an item are not
+   looked up, up to half of the weight needed, which is then taken off what the others must
+   weigh. So the counts settle the cost and never what is found.
+3. Where the seeds weigh enough, document and item are aligned, word by word, case and
+   punctuation aside. The score is the best local alignment's share of a perfect one, so
+   copies with words changed, dropped or put in are found, all that reach the threshold.
 
 Items are taken in blocks of bounded size, each broadcast and held against all rows.
 """
@@ -18,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import EXACT, U64, Texts
+from .textkit import EXACT, GRAM, U64, Texts, mix
 from .workspace import Workspace
 
-SEED_WORDS = 3
-RARE = 8
+LEAST_WORDS = 3
+APART = (1, 2)
+PREFIX_BITS = 20
 THRESHOLD = 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
 ITEM_BLOCK_BYTES = 16 << 20
@@ -53,28 +61,76 @@ def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def pairs(key: np.ndarray, apart: int) -> np.ndarray:
+    """Keys of each word with the word ``apart`` after it."""
+    return mix(key[:-apart] * GRAM[0] + key[apart:] * GRAM[1]) if len(key) > apart else np.empty(0, U64)
+
+
+class Lookup:
+    """A sorted table of distinct keys, with a bit table that spares most searches."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self.some = np.zeros(1 << PREFIX_BITS, bool)
+        self.some[table >> U64(64 - PREFIX_BITS)] = True
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``keys`` of those in the table, and where in the table they are."""
+        maybe = np.flatnonzero(self.some[keys >> U64(64 - PREFIX_BITS)])
+        at = np.searchsorted(self.table, keys[maybe])
+        at[at == len(self.table)] = 0
+        same = self.table[at] == keys[maybe] if len(self.table) else np.zeros(len(maybe), bool)
+        return maybe[same], at[same]
+
+
 class Items:
-    """Items' word keys and their n-grams; an item shorter than a seed is its own seed."""
+    """Items' word keys and their pairs; ``words`` of an item too short to be looked for are empty."""
 
-    def __init__(self, rows: list[tuple[int, bytes]]):
+    def __init__(self, rows: list[tuple[int, bytes]], threshold: float = THRESHOLD):
         self.ids = [i for i, _ in rows]
         t = Texts([b for _, b in rows], EXACT)
-        self.words = [t.key[t.first[d] : t.first[d] + t.n_words[d]] for d in range(len(rows))]
-        keys, _ = t.grams(SEED_WORDS)
-        self.grams = [np.unique(keys[t.first[d] : t.first[d] + max(0, t.n_words[d] - SEED_WORDS + 1)]) for d in range(len(rows))]
-        self.vocabulary = np.unique(np.concatenate([*self.grams, np.empty(0, U64)]))
+        self.words = [t.key[t.first[d] : t.first[d] + t.n_words[d]] if t.n_words[d] >= LEAST_WORDS else t.key[:0] for d in range(len(rows))]
+        sizes = np.array([len(w) for w in self.words], np.int64)
+        self.need = MATCH * (threshold * sizes - 1) - 1e-9
+        #: the most words of a text an alignment that reaches the threshold can take
+        self.reach = np.maximum(sizes, np.ceil((1 + MATCH * (1 - threshold)) * sizes).astype(np.int64)) + 1
+        self.pairs = [[pairs(w, a) for a in APART] for w in self.words]
+        self.vocabulary = Lookup(np.unique(np.concatenate([*(p for two in self.pairs for p in two), np.empty(0, U64)])))
 
     def choose(self, freq: np.ndarray) -> None:
-        """Keep each item's seeds; ``freq`` are the document counts of ``vocabulary``."""
-        pairs = []
-        for n, g in enumerate(self.grams):
-            f = freq[np.searchsorted(self.vocabulary, g)]
-            if len(g):
-                keep = g[f <= max(RARE, np.median(f))]
-                pairs.append(np.stack([keep, np.full(len(keep), n, U64)], 1))
-        table = np.concatenate(pairs) if pairs else np.empty((0, 2), U64)
-        table = table[np.argsort(table[:, 0], kind="stable")]
-        self.seed, self.owner = table[:, 0], table[:, 1].astype(np.int64)
+        """Leave out each item's commonest pairs; ``freq`` are the counts of ``vocabulary``."""
+        seeds, owners, nears = [], [], []
+        for n, two in enumerate(self.pairs):
+            key = np.concatenate(two)
+            if not len(key):
+                continue
+            place = np.concatenate([np.arange(len(p)) for p in two])
+            weight = np.repeat((2, 1), [len(p) for p in two])
+            distinct, of = np.unique(key, return_inverse=True)
+            order = np.argsort(of, kind="stable")
+            spans = np.split(order, np.cumsum(np.bincount(of))[:-1])
+            often = freq[np.searchsorted(self.vocabulary.table, distinct)]
+            # of what begins at one word of the item an alignment has one pair at most
+            lost, room, out = np.zeros(len(self.words[n]), np.int64), self.need[n] / 2, np.zeros(len(distinct), bool)
+            for k in np.argsort(-often, kind="stable").tolist():
+                more = lost.copy()
+                np.maximum.at(more, place[spans[k]], weight[spans[k]])
+                if more.sum() > room:
+                    break
+                lost, out[k] = more, True
+            self.need[n] -= lost.sum()
+            near = np.zeros(len(distinct), bool)
+            near[of[weight == 2]] = True
+            seeds.append(distinct[~out])
+            owners.append(np.full(int((~out).sum()), n))
+            nears.append(near[~out])
+        seed = np.concatenate([*seeds, np.empty(0, U64)])
+        order = np.argsort(seed, kind="stable")
+        table, self.low = np.unique(seed[order], return_index=True)
+        self.low = np.append(self.low, len(seed))
+        self.seed = Lookup(table)
+        self.owner = np.concatenate([*owners, np.empty(0, np.int64)])[order]
+        self.near = np.concatenate([*nears, np.empty(0, bool)])[order]
 
 
 def _text_blocks(batches) -> Iterator[tuple[list, Texts]]:
@@ -90,63 +146,73 @@ def _text_blocks(batches) -> Iterator[tuple[list, Texts]]:
             i = j
 
 
-def _found(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Positions in ``keys`` whose key is in the sorted ``table``."""
-    if not len(table) or not len(keys):
-        return np.empty(0, np.int64)
-    at = np.searchsorted(table, keys)
-    at[at == len(table)] = 0
-    return np.flatnonzero(table[at] == keys)
+def _spots(t: Texts, table: Lookup) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each distance: the words whose pair is in ``table``, and where it is there."""
+    for apart in APART:
+        spots, at = table.find(pairs(t.key, apart))
+        inside = t.doc[spots] == t.doc[spots + apart]
+        yield apart, spots[inside], at[inside]
+
+
+def _stretches(items: Items, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Item, first and last word of the stretches of text whose seeds weigh enough."""
+    found = []
+    for apart, spots, at in _spots(t, items.seed):
+        many = items.low[at + 1] - items.low[at]
+        entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(items.low[at], many)
+        weight = 1 + (items.near[entry] & (apart == 1))
+        found.append(items.owner[entry] << 34 | np.repeat(spots, many) << 2 | weight)
+    packed = np.sort(np.concatenate(found))
+    where = packed >> 2
+    last = np.append(where[1:] != where[:-1], True) if len(where) else np.empty(0, bool)
+    where, weight = where[last], packed[last] & 3
+    item, spot = where >> 32, where & (1 << 32) - 1
+    begin = np.maximum(spot - items.reach[item] + 1, t.first[t.doc[spot]]) if len(spot) else spot
+    start = np.searchsorted(where, item << 32 | begin)
+    sums = np.concatenate(([0], np.cumsum(weight)))
+    enough = np.flatnonzero(sums[1:] - sums[start] >= items.need[item])
+    return item[enough], spot[start[enough]], spot[enough]
 
 
 def _align(items: Items, ids: list, t: Texts, threshold: float) -> Iterator[dict]:
-    keys, inside = t.grams(SEED_WORDS)
-    spots = _found(keys, items.seed)
-    spots = spots[inside[spots]]
-    if not len(spots):
+    item, begin, end = _stretches(items, t)
+    if not len(item):
         return
-    low = np.searchsorted(items.seed, keys[spots], "left")
-    high = np.searchsorted(items.seed, keys[spots], "right")
-    many = high - low
-    spot = np.repeat(spots, many)
-    entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-    doc, item = t.doc[spot], items.owner[entry]
-    order = np.lexsort((spot, item, doc))
-    doc, item, spot = doc[order], item[order], spot[order]
+    doc = t.doc[begin]
     new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))))
     for a, b in zip(new, np.append(new[1:], len(doc))):
         d, n = int(doc[a]), int(item[a])
-        words, first = items.words[n], int(t.first[d])
-        reach, end = 2 * len(words), first + int(t.n_words[d])
+        words, first, reach = items.words[n], int(t.first[d]), int(items.reach[n])
+        stop = first + int(t.n_words[d])
         best = (0, 0)
-        # spots whose surroundings meet are one passage
-        at = spot[a:b]
-        cut = np.flatnonzero(np.diff(at) > 2 * reach) + 1
-        for run in np.split(at, cut):
-            lo, hi = max(first, int(run[0]) - reach), min(end, int(run[-1]) + SEED_WORDS + reach)
-            score, stop = smith_waterman(words, t.key[lo:hi])
-            best = max(best, (score, lo + stop - first))
+        # stretches whose surroundings meet are one passage
+        low, high = begin[a:b], end[a:b]
+        cut = np.flatnonzero(low[1:] - high[:-1] > 2 * reach) + 1
+        for x, y in zip(np.split(low, cut), np.split(high, cut)):
+            lo, hi = max(first, int(x[0]) - reach), min(stop, int(y[-1]) + reach + 1)
+            score, at = smith_waterman(words, t.key[lo:hi])
+            best = max(best, (score, lo + at - first))
         share = best[0] / (MATCH * len(words))
         if share >= threshold:
             yield {"doc_id": ids[d], "item_id": items.ids[n], "score": share, "start_word": max(0, best[1] - len(words)), "end_word": best[1]}
 
 
-def _item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
+def _item_blocks(items: DataFrame, id_col: str, text_col: str, threshold: float) -> Iterator[Items]:
     rows, size = [], 0
     for r in items.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).orderBy(id_col).toLocalIterator():
         rows.append((r[0], plain(r[1])))
         size += len(r[1])
         if size >= ITEM_BLOCK_BYTES:
-            yield Items(rows)
+            yield Items(rows, threshold)
             rows, size = [], 0
     if rows:
-        yield Items(rows)
+        yield Items(rows, threshold)
 
 
 def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", space: Workspace | None = None) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word of each document and item aligned to ``threshold`` or more.
 
-    Null or empty texts and items match nothing, as do items of fewer than SEED_WORDS words.
+    Null or empty texts and items match nothing, as do items of fewer than LEAST_WORDS words.
     Repeated rows and ids are reported for each row. Empty tables give no rows. Extra columns
     are not read. start_word and end_word bound the best passage, in words parted by space or punctuation.
     """
@@ -154,23 +220,20 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_
     space = space or Workspace(spark, "decontam")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for items_now in _item_blocks(items, item_col, text_col):
+    for items_now in _item_blocks(items, item_col, text_col, threshold):
         shared = spark.sparkContext.broadcast(items_now)
 
         def tally(batches, shared=shared):
             table = shared.value.vocabulary
-            total = np.zeros(len(table), np.int64)
+            total = np.zeros(len(table.table), np.int64)
             for _, t in _text_blocks(batches):
-                keys, inside = t.grams(SEED_WORDS)
-                spots = _found(keys, table)
-                spots = spots[inside[spots]]
-                pairs = np.unique(np.stack([t.doc[spots], np.searchsorted(table, keys[spots])], 1), axis=0)
-                total += np.bincount(pairs[:, 1], minlength=len(table))
+                for _, _, at in _spots(t, table):
+                    total += np.bincount(at, minlength=len(total))
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["slot", "n"])
 
-        freq = np.zeros(len(items_now.vocabulary), np.int64)
-        # as many rows as the block of items has n-grams
+        freq = np.zeros(len(items_now.vocabulary.table), np.int64)
+        # as many rows as the block of items has pairs
         for r in rows.mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
             freq[r["slot"]] = r["n"]
         items_now.choose(freq)

@@ -380,6 +380,52 @@ def test_decontamination(spark, docs):
     assert decontam.matches(frame, items.limit(0)).count() == 0 and decontam.matches(docs.limit(0), items).count() == 0
 
 
+def test_decontamination_finds_all_that_reach_the_threshold():
+    rng = np.random.default_rng(6)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(300)]
+    word = lambda: str(rng.choice(common if rng.random() < 0.5 else rare))
+
+    def edited(words, rate):
+        out = []
+        for w in words:
+            kind = rng.random() / rate
+            out += [w] if kind >= 1 else [word()] if kind < 0.4 else [] if kind < 0.7 else [word(), w]
+        return out
+
+    items = [[word() for _ in range(int(rng.integers(3, 40)))] for _ in range(40)]
+    copies = [[x if i % 3 else f"new{i}" for i, x in enumerate(w)] for w in items] + [[y for x in w for y in (x, "put")] for w in items]
+    copies += [edited(w, rate) for w in items for rate in (0.1, 0.3, 0.45, 0.6, 0.75)]
+    texts = [[word() for _ in range(int(rng.integers(0, 80)))] + w + [word() for _ in range(int(rng.integers(0, 80)))] for w in copies]
+    t = Texts([" ".join(w).encode() for w in texts], EXACT)
+    for threshold in (0.4, 0.7):
+        for scale in (1, 1_000):
+            of = decontam.Items([(k, " ".join(w).encode()) for k, w in enumerate(items)], threshold)
+            freq = np.zeros(len(of.vocabulary.table), np.int64)
+            for _, _, at in decontam._spots(t, of.vocabulary):
+                freq += scale * np.bincount(at, minlength=len(freq))
+            of.choose(freq)
+            got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam._align(of, list(range(len(texts))), t, threshold)}
+            if scale == 1:
+                first = got
+                want = {}
+                for d in range(len(texts)):
+                    for k, w in enumerate(of.words):
+                        share = decontam.smith_waterman(w, t.key[t.first[d] : t.first[d + 1]])[0] / (2 * len(w))
+                        if share >= threshold:
+                            want[d, k] = share
+            assert got == want == first and len(got) > 50
+            if threshold == 0.4:
+                assert all((d, d % 40) in got for d in range(80) if len(items[d % 40]) >= 12)
+
+
+def test_decontamination_without_an_intact_trigram(spark):
+    item = text(100, 30, 3)
+    third = " ".join(x if i % 3 else f"new{i}" for i, x in enumerate(item.split()))
+    frame = spark.createDataFrame([(1, text(0, 50) + " " + third + " " + text(50, 50)), (2, text(0, 100))], "doc_id long, text string")
+    got = decontam.matches(frame, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [r["doc_id"] for r in got] == [1] and got[0]["score"] >= decontam.THRESHOLD
+
+
 def test_stages_keep_columns_and_work_on_all(spark, docs, tmp_path):
     import corpus_pipeline
 
