@@ -101,14 +101,18 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sharding import ShardStore
+    from .sharding import TARGET, ShardStore, plan
     from .workspace import Workspace
 
     store = ShardStore(spark, Workspace(spark, "shards").path("store"))
     docs = _table(spark, sf_dir, "documents")
-    for arrival in range(2):
-        store.append(docs.filter(F.coalesce(_rest("doc_id", 2), F.lit(0)) == arrival))
+    # an eighth of a split of 128 MB is well below the target, so there are small shards to merge
+    for arrival in range(8):
+        store.append(docs.filter(F.coalesce(_rest("doc_id", 8), F.lit(0)) == arrival))
+    before = store.manifest()["shards"]
     store.compact()
+    if plan(before, TARGET) and len(store.manifest()["shards"]) >= len(before):
+        raise RuntimeError("the committed manifest holds no merged shards")
     store.vacuum()
     return store.read().select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "lang", "source", "n_chars")
 

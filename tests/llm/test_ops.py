@@ -347,6 +347,22 @@ def test_sharding(spark, tmp_path, docs):
     assert store.read().count() == len(rows())
 
 
+def test_sharding_query_merges(spark, tmp_path, docs, monkeypatch):
+    from tagloom.llm import queries
+
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, compact = [], sharding.ShardStore.compact
+
+    def spy(store, *a, **k):
+        seen.append(len(store.manifest()["shards"]))
+        seen.append(len((out := compact(store, *a, **k))["shards"]))
+        return out
+
+    monkeypatch.setattr(sharding.ShardStore, "compact", spy)
+    assert queries.op8_sharding(spark, str(tmp_path)).count() == len(rows())
+    assert seen[0] >= 8 and seen[1] < seen[0]
+
+
 def test_compaction_plan():
     shards = [{"path": f"p{i}", "bytes": 10} for i in range(10)] + [{"path": "big", "bytes": 95}]
     runs = sharding.plan(shards, 100)
