@@ -1,10 +1,11 @@
-"""Substring dedup: winnowed anchors seed repeats between documents, and seeds are extended.
+"""Substring dedup: winnowed anchors say which windows to look up, and each of those is looked up exactly.
 
 1. In every run of ``window`` words the least ``anchor``-word shingle is an anchor, so two
    documents that share a window share its anchor. Blocks of texts send their distinct
    anchors once; an anchor held by two documents or more is a seed (``blocks.py``).
-2. Seeds are extended both ways, a word at a time: the candidate windows are those whose
-   own anchor is a seed. Each is looked up with the least doc_id it starts in.
+2. Seeds are not extended and no pairs of documents are formed, as a passage that n documents
+   hold has n * (n - 1) / 2 of them. The candidate windows are those whose own anchor is a
+   seed; each is looked up whole, by its key, with the least doc_id it starts in.
 3. A window that also starts in a smaller document is a repeat; neighbouring repeats are
    one maximal repeat, of ``window`` words at least, and its words are removed.
 """
