@@ -41,18 +41,30 @@ def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang", samp
     """A dictionary for each non-null language of ``train``.
 
     The sample is bounded: of each language at most ``samples`` texts (of each hash slot
-    the one of least hash), SAMPLE_BYTES characters of each, and ``size`` bytes in all.
+    the one of least hash), SAMPLE_BYTES characters from a hashed place of each, and ``size``
+    bytes in all, in equal shares; what short samples leave goes to the others.
     """
     slot = F.pmod(F.xxhash64(text_col), F.lit(samples))
+    room = F.greatest(F.lit(1), F.length(text_col) - SAMPLE_BYTES + 1)
+    place = (1 + F.pmod(F.xxhash64(F.lit(2), F.col(text_col)), room)).cast("int")
     rows = (
         train.filter(F.col(lang_col).isNotNull() & (F.length(F.trim(text_col)) > 0))
         .groupBy(F.col(lang_col).alias("lang"), slot.alias("slot"))
-        .agg(F.min_by(F.substring(text_col, 1, SAMPLE_BYTES), F.xxhash64(F.lit(1), F.col(text_col))).alias("text"))
+        .agg(F.min_by(F.col(text_col).substr(place, F.lit(SAMPLE_BYTES)), F.xxhash64(F.lit(1), F.col(text_col))).alias("text"))
     )
     parts: dict[str, list[bytes]] = {}
     for r in rows.orderBy("lang", "slot").toLocalIterator():
         parts.setdefault(r["lang"], []).append(letters(r["text"]))
-    return {lang: b" ".join(p)[:size] for lang, p in parts.items()}
+    return {lang: b" ".join(shares(p, size)) for lang, p in parts.items()}
+
+
+def shares(parts: list[bytes], size: int) -> list[bytes]:
+    """``parts``, cut to equal shares of ``size`` with a byte between them; what short ones leave goes to the others."""
+    left, limit = size - len(parts) + 1, [0] * len(parts)
+    for done, i in enumerate(sorted(range(len(parts)), key=lambda i: len(parts[i]))):
+        limit[i] = min(len(parts[i]), left // (len(parts) - done))
+        left -= limit[i]
+    return [p[:n] for p, n in zip(parts, limit)]
 
 
 def chunks(text: bytes, size: int = CHUNK):

@@ -225,6 +225,14 @@ def test_language_of_long_texts():
     assert b"".join(parts) == mixed and max(map(len, parts)) <= langid.CHUNK and list(langid.chunks(b"")) == [b""]
 
 
+def test_every_sample_reaches_the_dictionary(spark):
+    texts = [("boilerplate opens every text " * 40 + " ".join(["mark" + "".join(chr(97 + int(c)) for c in str(i))] * 3000), "en") for i in range(300)]
+    d = langid.learn(spark.createDataFrame(texts, "text string, lang string"))["en"]
+    marks = {w for w in d.split() if w.startswith(b"mark")}
+    assert len(marks) > 50 and len(d) <= langid.DICTIONARY_BYTES
+    assert langid.shares([b"aaaa", b"b", b"cccc"], 9) == [b"aaa", b"b", b"ccc"]
+
+
 def test_language_margin_at_any_length(spark):
     rng = np.random.default_rng(8)
     kinds = tongues(rng)
