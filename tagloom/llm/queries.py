@@ -46,12 +46,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every row of ``documents``; a null text scores as an empty one, a null id is not held out."""
     from . import toxicity
 
     docs = _table(spark, sf_dir, "documents")
-    labels = _table(spark, sf_dir, "labels").filter(_rest("doc_id", 3) != 1).select("doc_id", "toxic")
-    learned = docs.select("doc_id", "text").join(labels, "doc_id")
-    model = toxicity.fit(toxicity.sample(learned, "text", "toxic"))
+    labels = _table(spark, sf_dir, "labels").filter(_rest("doc_id", 3) != 1)
+    model = toxicity.fit(toxicity.sample(docs, labels))
     held = F.coalesce(_rest("doc_id", 3) == 1, F.lit(False)).alias("held_out")
     return toxicity.score(docs.select("doc_id", held, "text"), model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 

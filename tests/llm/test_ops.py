@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tagloom.llm import chat, decontam, fingerprint, langid, lmscore, packing, sharding, toxicity
+from tagloom.llm import chat, decontam, fingerprint, langid, lmscore, packing, sharding
 from tagloom.llm.components import components
 from tagloom.llm.ngramjoin import near_duplicates
 from tagloom.llm.substr import repeats
@@ -247,19 +247,6 @@ def test_language_margin_at_any_length(spark):
     assert not any(got[i]["accepted"] for i, _ in odd)
 
 
-def test_toxicity(spark, docs):
-    rng = np.random.default_rng(5)
-    plain = lambda: " ".join(f"{rng.choice(list('abcdefgh'))}{rng.choice(['an', 'el', 'or'])}{rng.choice(['ta', 'mi'])}" for _ in range(60))
-    bad = lambda: plain() + " zzfoul" + str(rng.choice(["est", "ly"])) + " " + plain()
-    model = toxicity.fit([(plain().encode(), 0) for _ in range(120)] + [(bad().encode(), 1) for _ in range(60)])
-    asked = spark.createDataFrame([(i, bad() if i % 2 else plain()) for i in range(40)], "doc_id long, text string")
-    got = toxicity.score(asked, model, ["doc_id"]).collect()
-    assert all((r["score"] >= 0.7) == (r["doc_id"] % 2 == 1) for r in got)
-    assert all(0 <= r["score"] <= 1 for r in toxicity.score(docs, model, ["doc_id"]).collect())
-    assert 0 < toxicity.score_text(toxicity.fit([]), b"x") < 0.5 and toxicity.score_text(toxicity.fit([(b"x", 1)]), b"") > 0.5
-    assert len(toxicity.features(b"")) == 0 and toxicity.score(docs.limit(0), model, ["doc_id"]).count() == 0
-
-
 def test_language_model(spark, docs):
     got = lmscore.score_texts(docs, modulus=3, held=1).collect()
     assert len(got) == len(rows())
