@@ -67,37 +67,12 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .fingerprint import canonical, descending_pairs, digest, only, settle
+    """A row for each row of ``documents``, told apart by file and place there, whatever its doc_id."""
+    from .fingerprint import edited_likeness
     from .workspace import Workspace
 
-    space = Workspace(spark, "fingerprints")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = descending_pairs(docs.select("doc_id", F.length("text").cast("long").alias("n_chars")), space, "doc_id")
-    order = space.write(order.select("doc_id", "n_chars", "next", F.floor(F.col("n_chars") / 3).cast("int").alias("cut")), "order")
-
-    def with_heads(texts: DataFrame, nexts: DataFrame, wanted: DataFrame) -> DataFrame:
-        heads = nexts.join(wanted.select(F.col("doc_id").alias("owner"), F.col("next").alias("doc_id"), "cut"), "doc_id").select(F.col("owner").alias("doc_id"), F.expr("substring(text, 1, cut)").alias("head"))
-        return texts.join(heads, "doc_id").join(wanted, "doc_id")
-
-    edited = F.expr("concat(substring(text, 1, cast(n_chars - cut as int)), head)")
-    prints = [digest(canonical(c)).alias(n) for c, n in ((F.col("text"), "own"), (edited, "other"))]
-    main = space.write(with_heads(docs, docs, order).select("doc_id", "next", "n_chars", F.sha2(edited, 256).alias("edited_sha256"), *prints), "main")
-    sides = main.select("doc_id", F.expr("stack(2, 0, own, 1, other) as (side, digest)"))
-
-    def fetch(ids: DataFrame) -> DataFrame:
-        own, other = ids.filter("side = 0").select("doc_id"), ids.filter("side = 1").select("doc_id")
-        wanted = order.join(other, "doc_id", "left_semi")
-        nexts = only(docs, wanted.select(F.col("next").alias("doc_id")).distinct(), ["doc_id"])
-        changed = with_heads(only(docs, other, ["doc_id"]), nexts, wanted).select("doc_id", F.lit(1).alias("side"), edited.alias("text"))
-        return only(docs, own, ["doc_id"]).select("doc_id", F.lit(0).alias("side"), "text").unionByName(changed)
-
-    found = space.write(settle(sides, fetch, space, ["doc_id", "side"]), "prints")
-    own = found.filter("side = 0").select("doc_id", "fingerprint")
-    other = found.filter("side = 1").select("doc_id", F.col("fingerprint").alias("edited_fingerprint"))
-    near = own.select(F.col("doc_id").alias("next"), F.col("fingerprint").alias("next_fingerprint"))
-    same = lambda a, b: (F.col(a) == F.col(b)).cast("double")
-    whole = main.select("doc_id", "next", "n_chars", "edited_sha256").join(own, "doc_id").join(other, "doc_id").join(near, "next")
-    return whole.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", same("fingerprint", "edited_fingerprint").alias("near_edited"), same("fingerprint", "next_fingerprint").alias("near_next"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return edited_likeness(docs, Workspace(spark, "fingerprints"), ["file", "row"])
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

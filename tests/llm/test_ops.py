@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tagloom.llm import chat, decontam, fingerprint, langid, lmscore, packing, sharding
+from tagloom.llm import chat, decontam, langid, lmscore, packing, sharding
 from tagloom.llm.components import components
 from tagloom.llm.ngramjoin import near_duplicates
 from tagloom.llm.substr import repeats
@@ -311,19 +311,6 @@ def test_chat_folds_events(spark):
     assert chat.read_back(chat.format_chats(frame.limit(0))).count() == 0
 
 
-def test_fingerprints(spark, docs):
-    frame = spark.createDataFrame([(1, "Ab  c"), (2, " aB\tC "), (3, "ab d"), (4, None), (5, ""), (6, "é"), (7, "É"), (8, "ﬁ"), (9, "FI"), (1, "Ab  c")], "doc_id long, text string")
-    got = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(frame, Workspace(spark, "t"), ["doc_id"]).collect()}
-    assert got[1] == got[2] != got[3] and got[4] == got[5] and got[6] == got[7] and got[8] == got[9] and len(got[1]) == 32
-    assert fingerprint.fingerprints(frame.limit(0), Workspace(spark, "t"), ["doc_id"]).count() == 0
-    clash = spark.createDataFrame([(1, "same"), (2, "same"), (3, "same")], "doc_id long, digest string")
-    texts = spark.createDataFrame([(1, "p"), (2, "q"), (3, "p")], "doc_id long, text string")
-    apart = {r["doc_id"]: r["fingerprint"] for r in fingerprint.settle(clash, lambda ids: texts.join(ids, "doc_id"), Workspace(spark, "t"), ["doc_id"]).collect()}
-    assert set(apart.values()) == {"same"}  # the bucket of the bytes' own digest has no clash
-    pairs = fingerprint.descending_pairs(spark.createDataFrame([(i,) for i in (5, 1, 9, 3)], "doc_id long"), Workspace(spark, "t"), "doc_id")
-    assert {r["doc_id"]: r["next"] for r in pairs.collect()} == {9: 5, 5: 3, 3: 1, 1: 9}
-
-
 def test_sharding(spark, tmp_path, docs):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
     assert store.read().count() == 0 and store.compact()["version"] == 0
