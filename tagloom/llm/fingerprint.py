@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, free_name
 
 
 def canonical(text: Column) -> Column:
@@ -39,13 +39,6 @@ def _slot(ids: list[str]) -> Column:
     return F.pmod(F.xxhash64(*ids), F.lit(FILTER_BITS))
 
 
-def _free(taken: list[str], name: str) -> str:
-    """``name``, lengthened until no column is called so."""
-    while name.lower() in {t.lower() for t in taken}:
-        name += "_"
-    return name
-
-
 def only(rows: DataFrame, ids: DataFrame, id_cols: list[str]) -> DataFrame:
     """The rows whose id_cols (nulls included) are in ``ids``, most others being dropped before the shuffle.
 
@@ -60,7 +53,7 @@ def only(rows: DataFrame, ids: DataFrame, id_cols: list[str]) -> DataFrame:
     full = [0] * (FILTER_BITS // 64)
     for r in words.toLocalIterator():  # FILTER_BITS / 64 rows at most
         full[r["word"]] = r["bits"]
-    name = _free(rows.columns, "bitmap")
+    name = free_name(rows.columns, "bitmap")
     bitmap = rows.sparkSession.createDataFrame([(full,)], f"{name} array<long>")
     slot = _slot(id_cols)
     word = F.element_at(F.col(name), (F.shiftright(slot, 6) + 1).cast("int"))

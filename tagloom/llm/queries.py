@@ -76,6 +76,7 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` after eight arrivals, compaction and vacuum; null texts digest as empty ones."""
     from .sharding import TARGET, ShardStore, plan
     from .workspace import Workspace
 

@@ -15,10 +15,12 @@ _local: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a folder of our own only where that is unset and all runs on this machine."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = id(spark.sparkContext)
     if key not in _local:
         _local[key] = tempfile.mkdtemp(prefix="tagloom-")
@@ -26,6 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[key]}"
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, lengthened until no column is called so."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 class Workspace:
     """Parquet tables of one operator run, each written once and then re-read.
 

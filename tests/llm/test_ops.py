@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tagloom.llm import chat, decontam, langid, lmscore, packing, sharding
+from tagloom.llm import chat, decontam, langid, lmscore, packing
 from tagloom.llm.components import components
 from tagloom.llm.ngramjoin import near_duplicates
 from tagloom.llm.substr import repeats
@@ -311,47 +311,6 @@ def test_chat_folds_events(spark):
     assert chat.read_back(chat.format_chats(frame.limit(0))).count() == 0
 
 
-def test_sharding(spark, tmp_path, docs):
-    store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
-    assert store.read().count() == 0 and store.compact()["version"] == 0
-    for k in range(5):
-        store.append(docs.filter(f"coalesce(doc_id, 0) % 5 = {k}").coalesce(1))
-    before = store.manifest()
-    assert before["version"] == 5 and store.read().count() == len(rows())
-    after = store.compact(target=1 << 20)
-    assert after["version"] == 6 and len(after["shards"]) < len(before["shards"])
-    key = lambda f: sorted(map(repr, f.select("doc_id", "text").collect()))
-    assert key(store.read()) == key(docs) == key(store.read(5))
-    with pytest.raises(sharding.Conflict):
-        store._commit(before, [], after["schema"])
-    assert store.vacuum() == len(before["shards"]) and key(store.read()) == key(docs)
-    store.append(docs.limit(0))
-    assert store.read().count() == len(rows())
-
-
-def test_sharding_query_merges(spark, tmp_path, docs, monkeypatch):
-    from tagloom.llm import queries
-
-    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    seen, compact = [], sharding.ShardStore.compact
-
-    def spy(store, *a, **k):
-        seen.append(len(store.manifest()["shards"]))
-        seen.append(len((out := compact(store, *a, **k))["shards"]))
-        return out
-
-    monkeypatch.setattr(sharding.ShardStore, "compact", spy)
-    assert queries.op8_sharding(spark, str(tmp_path)).count() == len(rows())
-    assert seen[0] >= 8 and seen[1] < seen[0]
-
-
-def test_compaction_plan():
-    shards = [{"path": f"p{i}", "bytes": 10} for i in range(10)] + [{"path": "big", "bytes": 95}]
-    runs = sharding.plan(shards, 100)
-    assert all(sum(s["bytes"] for s in r) <= 100 and "big" not in {s["path"] for s in r} for r in runs)
-    assert sum(len(r) for r in runs) == 10 and sharding.plan(shards[:2], 100) == [] and sharding.plan([], 100) == []
-
-
 def test_smith_waterman():
     def brute(a, b):
         h = np.zeros((len(a) + 1, len(b) + 1), int)
