@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 from .textkit import U64, pack_ints, pack_keys, unpack_ints, unpack_keys, unzip_bytes, zip_bytes
 from .workspace import Workspace
 
-BLOCK_BYTES = 2 << 20
+#: Bytes of a block at least and at most; between, they grow with the ranges, so that a block has many keys for each.
+BLOCK_BYTES = (2 << 20, 16 << 20)
+RANGE_BYTES = 640
 BLOCK_ROWS = 4_096
+#: A range answers about so many blocks' worth of keys at least, so it is bounded however much comes in.
+RANGE_BLOCKS = 16
 BLOCK_SCHEMA = "block long, ids binary, known binary, sizes binary, body binary"
 BLOCK_ARROW = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("sizes", pa.binary()), ("body", pa.binary())])
 
@@ -62,6 +66,7 @@ def _block(number: int, ids: list, texts: list) -> dict:
 
 def write_blocks(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text_col: str = "text", name: str = "blocks") -> DataFrame:
     """Write the id and text of every row as blocks; no shuffle. Block numbers are fixed once written."""
+    room = min(BLOCK_BYTES[1], max(BLOCK_BYTES[0], RANGE_BYTES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def cut(batches):
         number, ids, texts, size = TaskContext.get().partitionId() << 24, [], [], 0
@@ -70,7 +75,7 @@ def write_blocks(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text
                 ids.append(i)
                 texts.append(t)
                 size += len(t or b"")
-                if size >= BLOCK_BYTES or len(ids) >= BLOCK_ROWS:
+                if size >= room or len(ids) >= BLOCK_ROWS:
                     yield pa.RecordBatch.from_pylist([_block(number, ids, texts)], BLOCK_ARROW)
                     number, ids, texts, size = number + 1, [], [], 0
         if ids:
@@ -80,63 +85,81 @@ def write_blocks(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text
     return space.write(rows.mapInArrow(cut, BLOCK_SCHEMA), name, "uncompressed")
 
 
-KEYS_SCHEMA = "bucket int, block long, keys binary, vals binary"
-KEYS_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())])
+KEYS_SCHEMA = "bucket int, block long, keys binary, more binary, vals binary"
+KEYS_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("more", pa.binary()), ("vals", pa.binary())])
 
 
-def buckets(spark) -> int:
-    """Hash ranges: as many as the session's shuffle partitions, which follow the input on a cluster."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def buckets(blocks: DataFrame) -> int:
+    """Hash ranges: the session's shuffle partitions, which follow the input on a cluster, or more where the written blocks need them."""
+    return max(1, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks.count() // RANGE_BLOCKS))
 
 
-def deal(block: int, keys: np.ndarray, n: int, vals: np.ndarray | None = None) -> list[dict]:
-    """A row for each hash range of a block's sorted distinct keys."""
+def deal(block: int, keys: np.ndarray, n: int, vals: np.ndarray | None = None, more: np.ndarray | None = None) -> list[dict]:
+    """A row for each hash range of a block's sorted keys; ``more`` are further 64 bits of each key, if keys are that wide."""
     if not len(keys):
         return []
     cuts = (np.arange(1, n, dtype=np.float64) * (2.0**64 / n)).astype(U64)
     at = np.concatenate(([0], np.searchsorted(keys, cuts), [len(keys)])).tolist()
     return [
-        {"bucket": b, "block": block, "keys": pack_keys(keys[i:j]), "vals": None if vals is None else pack_ints(vals[i:j])}
+        {
+            "bucket": b,
+            "block": block,
+            "keys": pack_keys(keys[i:j]),
+            "more": None if more is None else pack_ints(more[i:j].view(np.int64)),
+            "vals": None if vals is None else pack_ints(vals[i:j]),
+        }
         for b, (i, j) in enumerate(zip(at, at[1:]))
         if j > i
     ]
 
 
-def send_keys(blocks: DataFrame, keys_of: Callable[[Block], tuple[np.ndarray, np.ndarray | None]]) -> DataFrame:
-    """keys_of(block) gives its sorted distinct keys and an integer for each (or None)."""
-    n = buckets(blocks.sparkSession)
+def send_keys(blocks: DataFrame, n: int, keys_of: Callable[[Block], tuple[np.ndarray, np.ndarray | None]]) -> DataFrame:
+    """keys_of(block) gives its sorted distinct keys and an integer for each (or None), for ``n`` ranges."""
 
     def send(batches):
         for batch in batches:
             for block in blocks_of(batch):
-                if rows := deal(block.block, *(lambda k, v: (k, n, v))(*keys_of(block))):
+                keys, vals = keys_of(block)
+                if rows := deal(block.block, keys, n, vals):
                     yield pa.RecordBatch.from_pylist(rows, KEYS_ARROW)
 
     return blocks.mapInArrow(send, KEYS_SCHEMA)
 
 
-def answer_keys(sent: DataFrame, combine: Callable[[np.ndarray, np.ndarray, int], np.ndarray], summary: Callable[[np.ndarray, np.ndarray], dict] | None = None) -> DataFrame:
+def answer_keys(sent: DataFrame, n: int, combine: Callable[[np.ndarray, np.ndarray, int], np.ndarray], summary: Callable[[np.ndarray, np.ndarray], bytes] | None = None) -> DataFrame:
     """Answer every block: combine(slot, values, n_slots) gives a value for each of a range's distinct keys.
 
     ``slot`` numbers the distinct key of each entry received. The answers keep the order in which the
-    block sent its keys. ``summary(keys, values)`` may give columns a and b, put on one row (block -1) a range.
+    block sent its keys. ``summary(keys, values)`` may give bytes, put on one row (block -1) a range.
+    Each of the ``n`` ranges is a partition of its own.
     """
 
-    def answer(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+    def answer(batches):
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        if not rows:
+            return
         parts = [unpack_keys(r["keys"]) for r in rows]
-        every = np.sort(np.concatenate(parts))
-        keys = every[np.concatenate(([True], every[1:] != every[:-1]))]
-        del every
-        slots = [np.searchsorted(keys, p) for p in parts]
-        vals = [np.ones(len(p), np.int64) if r["vals"] is None else unpack_ints(r["vals"]) for p, r in zip(parts, rows)]
-        found = combine(np.concatenate(slots), np.concatenate(vals), len(keys))
-        out = [{"bucket": r["bucket"], "block": r["block"], "keys": None, "vals": pack_ints(found[s])} for r, s in zip(rows, slots)]
+        every = np.concatenate(parts)
+        if rows[0]["more"] is not None:
+            more = np.concatenate([unpack_ints(r["more"]) for r in rows])
+            order = np.lexsort((more, every))
+            new = np.concatenate(([True], (every[order][1:] != every[order][:-1]) | (more[order][1:] != more[order][:-1])))
+            slot, keys = np.empty(len(every), np.int64), every[order][new]
+            slot[order] = np.cumsum(new) - 1
+        else:
+            ordered = np.sort(every)
+            keys = ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))]
+            slot = np.searchsorted(keys, every)
+        vals = np.concatenate([np.ones(len(p), np.int64) if r["vals"] is None else unpack_ints(r["vals"]) for p, r in zip(parts, rows)])
+        found = combine(slot, vals, len(keys))
+        ends = np.cumsum(list(map(len, parts))).tolist()
+        for i in range(0, len(rows), 256):
+            some = [{"bucket": r["bucket"], "block": r["block"], "keys": None, "more": None, "vals": pack_ints(found[slot[e - len(p) : e]])} for r, p, e in zip(rows[i : i + 256], parts[i : i + 256], ends[i : i + 256])]
+            yield pa.RecordBatch.from_pylist(some, KEYS_ARROW)
         if summary:
-            out.append({"bucket": rows[0]["bucket"], "block": -1, "keys": summary(keys, found), "vals": None})
-        return pa.Table.from_pylist(out, KEYS_ARROW)
+            yield pa.RecordBatch.from_pylist([{"bucket": rows[0]["bucket"], "block": -1, "keys": summary(keys, found), "more": None, "vals": None}], KEYS_ARROW)
 
-    return sent.groupBy("bucket").applyInArrow(answer, KEYS_SCHEMA)
+    return sent.repartitionById(n, F.col("bucket")).mapInArrow(answer, KEYS_SCHEMA)
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame, use: Callable[[Block, np.ndarray], list[dict]], schema: str, arrow: pa.Schema) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, answer_keys, send_keys, with_answers, write_blocks
+from .blocks import Block, answer_keys, buckets, send_keys, with_answers, write_blocks
 from .textkit import FOLDED, U64, Texts, mix, pack_ints, pack_keys, unpack_ints, unpack_keys, unzip_bytes, zip_bytes
 from .workspace import Workspace
 
@@ -61,7 +61,7 @@ def _words(block: Block, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     body[ends] = False
     key[body] = t.key
     trait = np.full(len(key), END_TRAIT, np.int64)
-    last = FOLDED[t.data[np.maximum(t.ends - 1, 0)]] if len(t.key) else np.empty(0, U64)
+    last = FOLDED[0][t.data[np.maximum(t.ends - 1, 0)]] if len(t.key) else np.empty(0, U64)
     trait[body] = (mix(last) >> U64(62)).astype(np.int64)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     return key, trait, doc, sizes, known[doc]
@@ -221,7 +221,8 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str =
         at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         return keys[at], np.add.reduceat(use[order].astype(np.int64), at) << 2 | trait[order][at]
 
-    answers = space.write(answer_keys(send_keys(blocks, count), _combine, _summary), "counts", "uncompressed")
+    n_ranges = buckets(blocks)
+    answers = space.write(answer_keys(send_keys(blocks, n_ranges, count), n_ranges, _combine, _summary), "counts", "uncompressed")
     # one row for each range of keys
     parts = [unpack_ints(bytes(r["keys"])) for r in answers.filter("block < 0").select("keys").collect()]
     sums = np.sum(parts, axis=0) if parts else np.zeros(2 + CLASSES, np.int64)

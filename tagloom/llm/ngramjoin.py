@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, answer_keys, send_keys, total, with_answers, write_blocks
+from .blocks import Block, answer_keys, buckets, send_keys, total, with_answers, write_blocks
 from .components import components
 from .textkit import U64, Texts, pack_keys, unpack_keys
 from .workspace import Workspace
@@ -100,7 +100,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 75, den: int = 1
     space = space or Workspace(spark, "ngramjoin")
     blocks = write_blocks(docs, space, id_col, text_col)
 
-    answers = answer_keys(send_keys(blocks, lambda b: _sets(b, words)[1:]), total)
+    n = buckets(blocks)
+    answers = answer_keys(send_keys(blocks, n, lambda b: _sets(b, words)[1:]), n, total)
 
     def sketch(block: Block, freq: np.ndarray) -> list[dict]:
         sets, keys, _ = _sets(block, words)

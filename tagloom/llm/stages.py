@@ -39,16 +39,18 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take out words of repeated passages; documents without any stay as they are, to the byte."""
+    """Cut words of repeated passages out of the texts; all else stays as it is, to the byte."""
     from .substr import repeats
-
-    changed = repeats(docs).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("kept_text").alias("_kept")).dropDuplicates(["_id", "_crc"])
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.crc32(docs["text"]) == F.col("_crc"))
-    out = docs.join(changed, same, "left")
-    text = F.coalesce(F.col("_kept"), docs["text"])
-    columns = {c: docs[c] for c in docs.columns} | {"text": text.alias("text")}
+    from .workspace import free_name, quoted
+
+    taken = list(docs.columns)
+    of, crc, kept = (free_name(taken, n) for n in ("of", "crc", "kept"))
+    found = repeats(docs, layout=True).filter("n_removed > 0")
+    changed = found.select(F.col("doc_id").alias(of), F.col("text_crc32").alias(crc), F.col("kept_text").alias(kept)).dropDuplicates([of, crc])
+    out = docs.join(changed, F.col("doc_id").eqNullSafe(F.col(of)) & (F.crc32("text") == F.col(crc)), "left")
+    columns = {c: F.col(quoted(c)) for c in docs.columns} | {"text": F.coalesce(F.col(kept), F.col("text")).alias("text")}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("_kept").isNull(), docs["n_chars"]).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        columns["n_chars"] = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return out.select(*columns.values())
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import KEYS_ARROW, KEYS_SCHEMA, Block, answer_keys, blocks_of, buckets, deal, least, send_keys, total, with_answers, write_blocks
-from .textkit import EXACT, U64, Texts, unpack_ints
+from .textkit import EXACT, GRAM, GRAM_WIDE, U64, Texts, unpack_ints
 from .workspace import Workspace
 
 ANCHOR = 5
@@ -69,9 +69,9 @@ class Windows:
             return np.empty(0, np.int64)
         return np.flatnonzero(held[np.searchsorted(keys, self.anchor)] > 1)
 
-    def window_keys(self, window: int, which: np.ndarray) -> np.ndarray:
-        keys, _ = self.texts.grams(window)
-        return keys[self.start[which]]
+    def window_keys(self, window: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two halves of 128-bit keys."""
+        return tuple(self.texts.grams(window, factors)[0][self.start[which]] if len(which) else np.empty(0, U64) for factors in (GRAM, GRAM_WIDE))
 
 
 def _order_ids(block: Block) -> np.ndarray:
@@ -79,47 +79,54 @@ def _order_ids(block: Block) -> np.ndarray:
     return np.where(block.known, block.ids, LARGE)
 
 
-def _candidate_keys(block: Block, w: Windows, window: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    keys, _ = w.anchors(_order_ids(block))
-    which = w.candidates(keys, held)
-    full = w.window_keys(window, which)
-    ids = _order_ids(block)[w.doc[which]]
-    order = np.argsort(full, kind="stable")
-    sorted_keys = full[order]
-    at = np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))) if len(order) else np.empty(0, np.int64)
-    lowest = np.minimum.reduceat(ids[order], at) if len(at) else np.empty(0, np.int64)
-    return which, full, sorted_keys[at], lowest
+class Candidates:
+    """The windows of a block whose anchor is a seed, and their distinct keys in order, with the least doc_id of each."""
 
+    def __init__(self, block: Block, w: Windows, window: int, held: np.ndarray):
+        ids = _order_ids(block)
+        self.which = w.candidates(w.anchors(ids)[0], held)
+        one, two = w.window_keys(window, self.which)
+        order = np.lexsort((two, one))
+        new = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))[: len(order)]
+        at = np.flatnonzero(new)
+        self.keys, self.more = one[order][at], two[order][at]
+        #: which of the distinct keys each window has
+        self.slot = np.empty(len(order), np.int64)
+        self.slot[order] = np.cumsum(new) - 1
+        self.lowest = np.minimum.reduceat(ids[w.doc[self.which]][order], at) if len(at) else np.empty(0, np.int64)
 
-def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", space: Workspace | None = None) -> DataFrame:
+
+def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", space: Workspace | None = None, layout: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_text, removed, text_crc32 (of the input text).
 
-    kept_text is the kept words joined by one space; ``removed`` lists the maximal removed
+    kept_text is the kept words joined by one space or, with ``layout``, the text with the removed
+    words and the white space after each run of them cut out; ``removed`` lists the maximal removed
     runs as start, length, start, length... in words. Windows are judged on the input. Null,
     empty and short texts lose nothing. Repeats inside one document, or between rows of the
     same doc_id, are kept; a null doc_id counts as the greatest. No rows give no rows. Extra
-    columns are not read. Window keys have 64 bits.
+    columns are not read. Window keys have 128 bits: n distinct windows have n * n / 2**129 pairs
+    that are taken for equal, 3e-13 of one for the 1e13 windows of 100 TB.
     """
     space = space or Workspace(docs.sparkSession, "substr")
     blocks = write_blocks(docs, space, id_col, text_col)
-    held = space.write(answer_keys(send_keys(blocks, lambda b: Windows(b, window).anchors(_order_ids(b))), total), "seeds", "uncompressed")
-    n = buckets(docs.sparkSession)
+    n = buckets(blocks)
+    held = space.write(answer_keys(send_keys(blocks, n, lambda b: Windows(b, window).anchors(_order_ids(b))), n, total), "seeds", "uncompressed")
 
     def extend(block: Block, got: np.ndarray) -> list[dict]:
-        _, _, keys, lowest = _candidate_keys(block, Windows(block, window), window, got)
-        return deal(block.block, keys, n, lowest)
+        found = Candidates(block, Windows(block, window), window, got)
+        return deal(block.block, found.keys, n, found.lowest, found.more)
 
     sent = with_answers(blocks, held, extend, KEYS_SCHEMA, KEYS_ARROW)
-    firsts = answer_keys(sent, least)
+    firsts = answer_keys(sent, n, least)
 
     def strip(block: Block, seeds: np.ndarray, first: np.ndarray) -> list[dict]:
         w = Windows(block, window)
-        which, full, keys, _ = _candidate_keys(block, w, window, seeds)
+        found = Candidates(block, w, window, seeds)
         t = w.texts
         covered = np.zeros(len(t.key) + 1, np.int64)
-        if len(keys):
+        if len(found.keys):
             ids = _order_ids(block)
-            hit = which[first[np.searchsorted(keys, full)] < ids[w.doc[which]]]
+            hit = found.which[first[found.slot] < ids[w.doc[found.which]]]
             begins = w.start[hit]
             np.add.at(covered, begins, 1)
             np.add.at(covered, begins + window, -1)
@@ -127,13 +134,18 @@ def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
         out = []
         for d, doc_id in enumerate(block.doc_ids()):
             a, b = int(t.first[d]), int(t.first[d] + t.n_words[d])
-            words = block.texts[d].split()
-            mask, runs = gone[a:b], []
+            body, mask, runs = block.texts[d], gone[a:b], []
             if mask.any():
-                words = [x for x, g in zip(words, mask.tolist()) if not g]
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
                 runs = np.stack([edges[0::2], edges[1::2] - edges[0::2]], 1).ravel().tolist()
-            out.append({"doc_id": doc_id, "n_words": b - a, "n_removed": int(mask.sum()), "kept_text": b" ".join(words).decode("utf-8", "replace"), "removed": runs, "text_crc32": None if block.null[d] else zlib.crc32(block.texts[d])})
+            if layout:
+                starts = np.append(t.starts[a:b], t.ends[b - 1] if b > a else 0) - t.begins[d]
+                cuts = [0, *(int(starts[x]) for i in range(0, len(runs), 2) for x in (runs[i], runs[i] + runs[i + 1])), len(body)]
+                kept = b"".join(body[x:y] for x, y in zip(cuts[0::2], cuts[1::2]))
+            else:
+                words = body.split()
+                kept = b" ".join([x for x, g in zip(words, mask.tolist()) if not g] if runs else words)
+            out.append({"doc_id": doc_id, "n_words": b - a, "n_removed": int(mask.sum()), "kept_text": kept.decode("utf-8", "replace"), "removed": runs, "text_crc32": None if block.null[d] else zlib.crc32(block.texts[d])})
         return out
 
     return _with_two(blocks, held, firsts, strip)

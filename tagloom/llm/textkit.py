@@ -1,10 +1,11 @@
 """Vectorised word and n-gram keys over the UTF-8 bytes of many texts.
 
 A word is a maximal run of bytes other than space and 0x09-0x0D, the class
-``[^\\x20\\x09-\\x0D]+``. All keys are 64 bits: a word's key is a polynomial of
-its bytes modulo 2**64, an n-gram's a linear form of its words' keys, both put
-through a bijective mixer. Texts are taken a block at a time, so memory follows
-the block and not the partition.
+``[^\\x20\\x09-\\x0D]+``. All keys are 64 bits: a word's key is the sum of a pseudorandom
+value for each byte at its place in the word (so no pattern of bytes, such as those that
+defeat polynomials modulo 2**64, makes two words collide), an n-gram's a linear form of
+its words' keys, both put through a bijective mixer. Texts are taken a block at a time,
+so memory follows the block and not the partition.
 """
 
 from __future__ import annotations
@@ -32,22 +33,13 @@ def _series(seed: int, n: int) -> np.ndarray:
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-EXACT = _series(1_000, 256)
+#: Values of bytes at the first PLACES places of a word; EXACT keeps the case of A-Z, FOLDED does not.
+PLACES = 64
+EXACT = _series(1_000, PLACES * 256).reshape(PLACES, 256)
 FOLDED = EXACT.copy()
-FOLDED[65:91] = EXACT[97:123]
+FOLDED[:, 65:91] = EXACT[:, 97:123]
 GRAM = _series(9_000, 64)
-STEP = int(_series(77, 1)[0])
-STEP_INVERSE = pow(STEP, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        p = np.full(max(n, CHUNK + 65_536), base, U64)
-        p[0] = 1
-        have = _powers[base] = np.multiply.accumulate(p)
-    return have[:n]
+GRAM_WIDE = _series(19_000, 64)
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,14 +53,22 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = FOLDED) -> np.ndarray:
     """A key for each word; ``table`` is FOLDED to ignore the case of A-Z, EXACT to keep it."""
     out, i, n = np.empty(len(starts), U64), 0, len(starts)
+    flat = table.ravel()
     while i < n:
         low = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, low + CHUNK, "right")))
         high = int(ends[j - 1])
-        sums = np.zeros(high - low + 1, U64)
-        np.cumsum(table[data[low:high]] * _power(STEP, high - low), out=sums[1:])
         s, e = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = mix((sums[e] - sums[s]) * _power(STEP_INVERSE, high - low)[s] + (e - s).astype(U64))
+        # bytes between words have any place and are not summed
+        spans = np.diff(np.append(s, high - low))
+        place = np.arange(high - low, dtype=np.int64) - np.repeat(s, spans)
+        value = flat[(place & (PLACES - 1)) << 8 | data[low:high]]
+        far = np.flatnonzero(place >= PLACES)
+        if len(far):
+            value[far] = mix(value[far] + (place[far] >> 6).astype(U64) * U64(0x9E3779B97F4A7C15))
+        sums = np.zeros(high - low + 1, U64)
+        np.cumsum(value, out=sums[1:])
+        out[i:j] = mix(sums[e] - sums[s] + (e - s).astype(U64))
         i = j
     return out
 
@@ -84,18 +84,22 @@ class Texts:
         np.cumsum(sizes + 1, out=begins[1:])
         self.starts, self.ends = word_spans(self.data)
         self.key = word_keys(self.data, self.starts, self.ends, table)
+        self.begins = begins
         self.first = np.searchsorted(self.starts, begins)
         self.n_words = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(texts), dtype=np.int64), self.n_words)
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of all n consecutive words and whether they lie in one text; aligned with each first word."""
+    def grams(self, n: int, factors: np.ndarray = GRAM) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all n consecutive words and whether they lie in one text; aligned with each first word.
+
+        Keys by GRAM and by GRAM_WIDE together have 128 bits.
+        """
         m = len(self.key) - n + 1
         if m <= 0:
             return np.empty(0, U64), np.empty(0, bool)
-        acc = self.key[:m] * GRAM[0]
+        acc = self.key[:m] * factors[0]
         for k in range(1, n):
-            acc += self.key[k : m + k] * GRAM[k]
+            acc += self.key[k : m + k] * factors[k]
         return mix(acc + U64(n)), self.doc[:m] == self.doc[n - 1 :]
 
     def shingles(self, n: int) -> list[np.ndarray]:

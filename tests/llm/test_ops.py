@@ -12,7 +12,7 @@ from tagloom.llm import chat, decontam, langid, lmscore, packing
 from tagloom.llm.components import components
 from tagloom.llm.ngramjoin import near_duplicates
 from tagloom.llm.substr import repeats
-from tagloom.llm.textkit import EXACT, FOLDED, Texts, pack_ints, pack_keys, unpack_ints, unpack_keys
+from tagloom.llm.textkit import EXACT, FOLDED, GRAM_WIDE, Texts, pack_ints, pack_keys, unpack_ints, unpack_keys
 from tagloom.llm.workspace import Workspace
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, score double"
@@ -64,6 +64,11 @@ def test_textkit():
     assert (unpack_keys(pack_keys(big)) == big).all() and unpack_ints(pack_ints(np.array([-5, 2**40]))).tolist() == [-5, 2**40]
     long = ("word " * 400_000).encode()
     assert len(set(Texts([long], EXACT).key.tolist())) == 1
+    # words that collide under polynomials modulo 2**64, and words longer than the table of places
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    odd = [bytes(97 + b for b in bits), bytes(98 - b for b in bits), b"x" * 200, b"x" * 201, b"x" * 64 + b"y" + b"x" * 135, b"y" + b"x" * 199]
+    assert len(set(Texts(odd, FOLDED).key.tolist())) == len(odd)
+    assert (t.grams(3)[0] != t.grams(3, GRAM_WIDE)[0]).all()
 
 
 def test_components(spark):
@@ -141,6 +146,8 @@ def test_repeats(spark, docs):
     out = repeats(frame).collect()
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in out), key=repr) == brute_repeats(same)
     assert {r["doc_id"]: r["removed"] for r in out}[4] == [1, 13]
+    spaced = spark.createDataFrame([(1, text(0, 13)), (2, "\n a\t" + text(0, 13).replace(" ", "\n") + "\n\n  b c\n"), (3, text(0, 13) + "\n"), (4, " \n"), (5, None)], "doc_id long, text string")
+    assert [r["kept_text"] for r in repeats(spaced, layout=True).orderBy("doc_id").collect()] == [text(0, 13), "\n a\tb c\n", "\n", " \n", ""]
     assert repeats(docs.limit(0)).count() == 0
 
 
