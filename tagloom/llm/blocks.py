@@ -11,7 +11,7 @@ ever holds the texts or the occurrences of a key.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textkit import U64, pack_ints, pack_keys, unpack_ints, unpack_keys, unzip_bytes, zip_bytes
-from .workspace import Workspace
+from .workspace import Workspace, quoted
 
 #: Bytes of a block at least and at most; between, they grow with the ranges, so that a block has many keys for each.
 BLOCK_BYTES = (2 << 20, 16 << 20)
@@ -28,14 +28,17 @@ RANGE_BYTES = 640
 BLOCK_ROWS = 4_096
 #: A range answers about so many blocks' worth of keys at least, so it is bounded however much comes in.
 RANGE_BLOCKS = 16
-BLOCK_SCHEMA = "block long, ids binary, known binary, sizes binary, body binary"
-BLOCK_ARROW = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("sizes", pa.binary()), ("body", pa.binary())])
+BLOCK_SCHEMA = "block long, ids binary, known binary, sizes binary, body binary, rest binary"
+BLOCK_ARROW = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("ids", "known", "sizes", "body", "rest"))])
 
 
 class Block:
-    """rid: row numbers unique over all blocks; doc_id None where it was null; texts as bytes, b'' for null."""
+    """rid: row numbers unique over all blocks; doc_id None where it was null; texts as bytes, b'' for null.
 
-    def __init__(self, block, ids, known, sizes, body):
+    ``rest`` is an Arrow table of other columns, if any were asked for.
+    """
+
+    def __init__(self, block, ids, known, sizes, body, rest):
         self.block = block
         self.ids = unpack_ints(ids)
         self.known = unpack_ints(known).astype(bool)
@@ -43,6 +46,7 @@ class Block:
         data, ends = unzip_bytes(body), np.cumsum(np.abs(sizes))
         self.null = sizes < 0
         self.texts = [data[e - abs(s) : e] for s, e in zip(np.where(self.null, 0, sizes).tolist(), np.cumsum(np.where(self.null, 0, sizes)).tolist())]
+        self.rest = None if rest is None else pa.ipc.open_stream(unzip_bytes(rest)).read_all()
         self.rid = (np.int64(block) << 12) + np.arange(len(self.ids), dtype=np.int64)
 
     def doc_ids(self) -> list:
@@ -51,11 +55,19 @@ class Block:
 
 def blocks_of(batch: pa.RecordBatch | pa.Table) -> Iterator[Block]:
     for row in batch.to_pylist():
-        yield Block(*(row[c] for c in ("block", "ids", "known", "sizes", "body")))
+        yield Block(*(row[c] for c in BLOCK_ARROW.names))
 
 
-def _block(number: int, ids: list, texts: list) -> dict:
+def _block(number: int, ids: list, texts: list, rest: list[pa.RecordBatch]) -> dict:
+    packed = None
+    if rest and rest[0].num_columns:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rest[0].schema) as stream:
+            for part in rest:
+                stream.write_batch(part)
+        packed = zip_bytes(sink.getvalue().to_pybytes())
     return {
+        "rest": packed,
         "block": number,
         "ids": pack_ints(np.array([i or 0 for i in ids], np.int64)),
         "known": pack_ints(np.array([i is not None for i in ids], np.int64)),
@@ -64,24 +76,27 @@ def _block(number: int, ids: list, texts: list) -> dict:
     }
 
 
-def write_blocks(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text_col: str = "text", name: str = "blocks") -> DataFrame:
-    """Write the id and text of every row as blocks; no shuffle. Block numbers are fixed once written."""
+def write_blocks(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text_col: str = "text", name: str = "blocks", keep: Sequence[str] = ()) -> DataFrame:
+    """Write the id, text and ``keep`` columns of every row as blocks; no shuffle. Block numbers are fixed once written."""
     room = min(BLOCK_BYTES[1], max(BLOCK_BYTES[0], RANGE_BYTES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def cut(batches):
-        number, ids, texts, size = TaskContext.get().partitionId() << 24, [], [], 0
+        number, ids, texts, size, rest = TaskContext.get().partitionId() << 24, [], [], 0, []
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            others, begun = batch.select(batch.schema.names[2:]), 0
+            for at, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 ids.append(i)
                 texts.append(t)
                 size += len(t or b"")
                 if size >= room or len(ids) >= BLOCK_ROWS:
-                    yield pa.RecordBatch.from_pylist([_block(number, ids, texts)], BLOCK_ARROW)
-                    number, ids, texts, size = number + 1, [], [], 0
+                    rest.append(others.slice(begun, at + 1 - begun))
+                    yield pa.RecordBatch.from_pylist([_block(number, ids, texts, rest)], BLOCK_ARROW)
+                    number, ids, texts, size, rest, begun = number + 1, [], [], 0, [], at + 1
+            rest.append(others.slice(begun))
         if ids:
-            yield pa.RecordBatch.from_pylist([_block(number, ids, texts)], BLOCK_ARROW)
+            yield pa.RecordBatch.from_pylist([_block(number, ids, texts, rest)], BLOCK_ARROW)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *(F.col(quoted(c)).alias(f"keep_{i}") for i, c in enumerate(keep)))
     return space.write(rows.mapInArrow(cut, BLOCK_SCHEMA), name, "uncompressed")
 
 

@@ -41,17 +41,17 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut words of repeated passages out of the texts; all else stays as it is, to the byte."""
     from .substr import repeats
-    from .workspace import free_name, quoted
-
-    taken = list(docs.columns)
-    of, crc, kept = (free_name(taken, n) for n in ("of", "crc", "kept"))
-    found = repeats(docs, layout=True).filter("n_removed > 0")
-    changed = found.select(F.col("doc_id").alias(of), F.col("text_crc32").alias(crc), F.col("kept_text").alias(kept)).dropDuplicates([of, crc])
-    out = docs.join(changed, F.col("doc_id").eqNullSafe(F.col(of)) & (F.crc32("text") == F.col(crc)), "left")
-    columns = {c: F.col(quoted(c)) for c in docs.columns} | {"text": F.coalesce(F.col(kept), F.col("text")).alias("text")}
-    if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return out.select(*columns.values())
+
+    found, columns = repeats(docs, layout=True, keep=docs.columns), []
+    changed = F.col("n_removed") > 0
+    for i, field in enumerate(docs.schema.fields):
+        now = F.col(f"keep_{i}")
+        if field.name == "text":
+            now = F.when(changed, F.col("kept_text")).otherwise(now)
+        elif field.name == "n_chars":
+            now = F.when(changed, F.length("kept_text")).otherwise(now).cast(field.dataType)
+        columns.append(now.alias(field.name))
+    return found.select(*columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,15 +13,17 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import KEYS_ARROW, KEYS_SCHEMA, Block, answer_keys, blocks_of, buckets, deal, least, send_keys, total, with_answers, write_blocks
 from .textkit import EXACT, GRAM, GRAM_WIDE, U64, Texts, unpack_ints
-from .workspace import Workspace
+from .workspace import Workspace, quoted
 
 ANCHOR = 5
 LARGE = np.iinfo(np.int64).max
@@ -96,19 +98,19 @@ class Candidates:
         self.lowest = np.minimum.reduceat(ids[w.doc[self.which]][order], at) if len(at) else np.empty(0, np.int64)
 
 
-def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", space: Workspace | None = None, layout: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", space: Workspace | None = None, layout: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_text, removed, text_crc32 (of the input text).
 
     kept_text is the kept words joined by one space or, with ``layout``, the text with the removed
     words and the white space after each run of them cut out; ``removed`` lists the maximal removed
     runs as start, length, start, length... in words. Windows are judged on the input. Null,
-    empty and short texts lose nothing. Repeats inside one document, or between rows of the
-    same doc_id, are kept; a null doc_id counts as the greatest. No rows give no rows. Extra
+    empty and short texts lose nothing. Columns named in ``keep`` follow as keep_0, keep_1... Repeats inside one document, or between rows of the
+    same doc_id, are kept; a null doc_id counts as the greatest. No rows give no rows. Other
     columns are not read. Window keys have 128 bits: n distinct windows have n * n / 2**129 pairs
     that are taken for equal, 3e-13 of one for the 1e13 windows of 100 TB.
     """
     space = space or Workspace(docs.sparkSession, "substr")
-    blocks = write_blocks(docs, space, id_col, text_col)
+    blocks = write_blocks(docs, space, id_col, text_col, keep=keep)
     n = buckets(blocks)
     held = space.write(answer_keys(send_keys(blocks, n, lambda b: Windows(b, window).anchors(_order_ids(b))), n, total), "seeds", "uncompressed")
 
@@ -148,10 +150,11 @@ def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
             out.append({"doc_id": doc_id, "n_words": b - a, "n_removed": int(mask.sum()), "kept_text": kept.decode("utf-8", "replace"), "removed": runs, "text_crc32": None if block.null[d] else zlib.crc32(block.texts[d])})
         return out
 
-    return _with_two(blocks, held, firsts, strip)
+    kinds = docs.select(*map(quoted, keep)).schema.fields
+    return _with_two(blocks, held, firsts, strip, [T.StructField(f"keep_{i}", k.dataType) for i, k in enumerate(kinds)])
 
 
-def _with_two(blocks: DataFrame, first: DataFrame, second: DataFrame, use) -> DataFrame:
+def _with_two(blocks: DataFrame, first: DataFrame, second: DataFrame, use, kept: list[T.StructField]) -> DataFrame:
     """Each block with the answers of two exchanges, told apart by an offset of the bucket number."""
     shift = 1 << 30
     both = first.unionByName(second.withColumn("bucket", (F.col("bucket") + shift).cast("int")))
@@ -163,7 +166,11 @@ def _with_two(blocks: DataFrame, first: DataFrame, second: DataFrame, use) -> Da
         none = np.empty(0, np.int64)
         out = []
         for block in blocks_of(left):
-            out += use(block, np.concatenate(one) if one else none, np.concatenate(two) if two else none)
-        return pa.Table.from_pylist(out, OUT)
-
-    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(apply, "doc_id long, n_words long, n_removed long, kept_text string, removed array<long>, text_crc32 long")
+            made = pa.Table.from_pylist(use(block, np.concatenate(one) if one else none, np.concatenate(two) if two else none), OUT)
+            for i, field in enumerate(kept):
+                made = made.append_column(field.name, block.rest.column(i))
+            out.append(made)
+        return pa.concat_tables(out)
+
+    schema = T.StructType([*T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_text string, removed array<long>, text_crc32 long").fields, *kept])
+    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(apply, schema)

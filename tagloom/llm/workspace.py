@@ -44,13 +44,16 @@ class Workspace:
     """Parquet tables of one operator run, each written once and then re-read.
 
     Unlike a local checkpoint, a written table survives a lost executor. ``drop``
-    removes a table that no later step reads.
+    removes a table that no later step reads; all go when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         importable(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tagloom-{name}-{uuid.uuid4().hex[:12]}"
+        path, fs = self._hadoop(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -64,6 +67,9 @@ class Workspace:
         return (reader.schema(schema) if schema is not None else reader).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        path, fs = self._hadoop(self.path(name))
+        fs.delete(path, True)
+
+    def _hadoop(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
