@@ -18,7 +18,7 @@ def components(links: DataFrame, space: Workspace, name: str = "cc") -> DataFram
     """
     pairs = links.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = space.write(pairs, f"{name}_0")
-    turn = 0
+    turn, before = 0, None
     while True:
         # large star: every larger neighbour of u is joined to the least of u's neighbourhood
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,11 +29,11 @@ def components(links: DataFrame, space: Workspace, name: str = "cc") -> DataFram
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         turn += 1
         after = space.write(small, f"{name}_{turn}")
-        space_done = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        before = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        now = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         space.drop(f"{name}_{turn - 1}")
         pairs = after
-        if tuple(space_done) == tuple(before):
+        if now == before or not now[0]:
             break
+        before = now
     roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -1,24 +1,23 @@
 """Near-duplicate documents by a token-group matrix over word n-grams.
 
 Two documents link when the Jaccard similarity of their sets of distinct n-word
-shingles reaches ``num / den``. The join is exact (64-bit shingle keys).
-
-1. Every shingle's document frequency is found by a key exchange between blocks
-   (``blocks.py``). A shingle of one document can link nothing.
-2. A document's *prefix* is its rarest ``n - ceil(t n) + 1`` shingles; two linked
-   documents share a prefix shingle. Only prefix shingles of two documents or
-   more leave the block, and with them the shingle set of that document.
-3. Documents of equal sets are one class. Classes are partitioned into groups of
-   similar ones: they follow the least class that shares a prefix shingle
-   with them, and large groups are cut into parts.
-4. Classes are first compared with the hub (the least class) of each prefix
-   shingle; what links is merged, so that a crowd of near copies is one component
-   after one comparison each.
-5. The token-group matrix holds which prefix shingles occur in which group. A
-   class queries the groups that share a prefix shingle with it and hold other
-   components. A group's token union bounds the overlap of the query with every
-   member; only groups whose bound reaches the threshold are opened, and the
-   members of other components are compared.
+shingles reaches ``t = num / den``. The join is exact (on 64-bit shingle keys).
+
+1. In how many sets each shingle is, is found by a key exchange between blocks
+   (``blocks.py``); keys are cut to 48 bits there, as the counts only order shingles.
+2. Sets are ordered rarest first. Of two linked sets the larger has a common shingle
+   among its first ``n - ceil(t n) + 1`` (its *probes*), and the smaller among its first
+   ``n - ceil(2 t n / (1 + t)) + 1`` (its *index*). Documents of equal sets are one class.
+3. Classes are partitioned into groups of similar ones: a class goes to the group of the
+   least class that shares a probe with it, and large groups are cut into parts. Each part
+   is opened once, together with the group's leader: its classes are compared with each
+   other, and the union of their shingles is stored. So a crowd of near copies becomes one
+   component through its leader.
+4. The token-group matrix holds which shingles occur in which part, with the sizes and
+   components of the classes that have them. A class queries the parts that share a probe
+   or index shingle with it and hold other components.
+5. A stored union bounds the overlap of a query with every class of the part. Only where the
+   bound reaches the threshold is the part opened: then its classes are shipped and compared.
 6. Components of all links, by joins (``components.py``).
 """
 
@@ -36,8 +35,12 @@ from .workspace import Workspace
 
 GROUP = 128
 QUERIES = 512
-ROW = "kind int, rid long, doc_id long, n long, high long, low long, token long, keys binary"
-ROW_ARROW = pa.schema([("kind", pa.int32()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("token", pa.int64()), ("keys", pa.binary())])
+COLUMNS = 8_192
+KEPT_BITS = ~U64(0xFFFF)
+ROW = "kind int, rid long, doc_id long, n long, high long, low long, token long, front boolean, keys binary"
+ROW_ARROW = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("rid", "doc_id", "n", "high", "low", "token")), ("front", pa.bool_()), ("keys", pa.binary())])
+LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+PART = pa.schema([("home", pa.int64()), ("part", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("keys", pa.binary())])
 
 
 def digest(keys: np.ndarray) -> tuple[int, int]:
@@ -51,7 +54,7 @@ def digest(keys: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(block: Block, words: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Each text's shingle set; the block's distinct shingles and in how many different sets each is."""
+    """Each text's shingle set; the block's distinct shingles, cut to KEPT_BITS, and in how many different sets each is."""
     sets = Texts(block.texts).shingles(words)
     seen: dict[tuple, int] = {}
     for d, s in enumerate(sets):
@@ -59,7 +62,7 @@ def _sets(block: Block, words: int) -> tuple[list[np.ndarray], np.ndarray, np.nd
             seen.setdefault((len(s), *digest(s)), d)
     if not seen:
         return sets, np.empty(0, U64), np.empty(0, np.int64)
-    every = np.sort(np.concatenate([sets[d] for d in seen.values()]))
+    every = np.sort(np.concatenate([sets[d] for d in seen.values()]) & KEPT_BITS)
     at = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
     return sets, every[at], np.diff(np.append(at, len(every)))
 
@@ -80,13 +83,60 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def fits(a: int, b: int, num: int, den: int) -> bool:
+    """Whether sets of these sizes can link."""
+    return a * den >= b * num and b * den >= a * num
+
+
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    if len(a) * den < len(b) * num or len(b) * den < len(a) * num:
+    if not fits(len(a), len(b), num, den):
         return False
     i = overlap(a, b)
     return den * i >= num * (len(a) + len(b) - i)
 
 
+def overlaps(sets: list[np.ndarray], union: np.ndarray) -> np.ndarray:
+    """How many shingles each two of some sets have in common, by matrix products over slices of their union."""
+    n = len(sets)
+    columns = np.searchsorted(union, np.concatenate(sets))
+    rows = np.repeat(np.arange(n), list(map(len, sets)))
+    order = np.argsort(columns, kind="stable")
+    columns, rows = columns[order], rows[order]
+    common = np.zeros((n, n))
+    cuts = np.searchsorted(columns, np.arange(0, len(union) + COLUMNS, COLUMNS))
+    for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
+        m = np.zeros((n, min(COLUMNS, len(union) - k * COLUMNS)), np.float32)
+        m[rows[i:j], columns[i:j] - k * COLUMNS] = 1
+        common += m @ m.T
+    return common.astype(np.int64)
+
+
+def spanning(sets: list[np.ndarray], union: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that join the same sets as all links between ``sets`` do."""
+    if len(sets) < 2:
+        return []
+    sizes = np.array(list(map(len, sets)))
+    if len(sets) == 2:
+        pairs = [(0, 1)] if linked(*sets, num, den) else []
+    else:
+        common = overlaps(sets, union)
+        pairs = np.argwhere(np.triu(den * common >= num * (sizes[:, None] + sizes[None, :] - common), 1)).tolist()
+    root, out = list(range(len(sets))), []
+
+    def find(a: int) -> int:
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        if x != y:
+            root[y] = x
+            out.append((a, b))
+    return out
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", space: Workspace | None = None) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, rid.
 
@@ -109,101 +159,105 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 75, den: int = 1
         for rid, doc, s in zip(block.rid.tolist(), block.doc_ids(), sets):
             n = len(s)
             high, low = digest(s) if n else (0, 0)
-            row = {"kind": 0, "rid": rid, "doc_id": doc, "n": n, "high": high, "low": low, "token": None, "keys": None}
+            row = {"kind": 0, "rid": rid, "doc_id": doc, "n": n, "high": high, "low": low, "token": None, "front": None, "keys": None}
             rows.append(row)
             if not n or (n, high, low) in sent:
                 continue
             sent.add((n, high, low))
-            f = freq[np.searchsorted(keys, s)]
+            f = freq[np.searchsorted(keys, s & KEPT_BITS)]
             first = np.lexsort((s, f))[: n - needed(n, num, den) + 1]
-            first = first[f[first] > 1]
-            if len(first):
+            front = np.arange(len(first)) < n - needed(2 * n, num, num + den) + 1
+            shared = f[first] > 1
+            if shared.any():
                 rows.append(row | {"kind": 1, "keys": pack_keys(s)})
-                rows += [row | {"kind": 2, "token": t} for t in s[first].view(np.int64).tolist()]
+                rows += [row | {"kind": 2, "token": t, "front": x} for t, x in zip(s[first[shared]].view(np.int64).tolist(), front[shared].tolist())]
         return rows
 
     rows = space.write(with_answers(blocks, answers, sketch, ROW, ROW_ARROW), "rows")
     space.drop("blocks")
 
+    # a set's first row, block by block, is the row that sent its shingles: the least row names the class
     of = ["n", "high", "low"]
     docs_in = rows.filter("kind = 0")
     classes = docs_in.filter("n > 0").groupBy(*of).agg(F.min("rid").alias("class"))
-    # the shingle set of each class that might link, once
     sets = rows.filter("kind = 1").groupBy(*of).agg(F.min_by("keys", "rid").alias("keys"), F.min("rid").alias("class"))
-    sets = space.write(sets.select("class", "n", "high", "low", "keys"), "sets")
-    tokens = rows.filter("kind = 2").groupBy("token", *of).agg(F.min("rid").alias("least")).join(sets.select("class", *of), of).select("token", "class", "n")
-    tokens = space.write(tokens, "tokens")
-    shared = tokens.groupBy("token").agg(F.min("class").alias("hub"), F.count("*").alias("f")).filter("f > 1")
-    tokens = space.write(tokens.join(shared, "token"), "shared")
-
-    keyed = sets.select(F.col("class"), "keys")
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) of classes, those that link."""
-
-        def test(batches):
-            for batch in batches:
-                a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                old, keep = {}, []
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                    if y not in old:
-                        old = {y: unpack_keys(y)} if len(old) > 64 else old | {y: unpack_keys(y)}
-                    keep.append(linked(unpack_keys(x), old[y], num, den))
-                yield pa.RecordBatch.from_pylist([{"a": p, "b": q} for p, q, k in zip(a, b, keep) if k], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-        full = pairs.join(keyed.select(F.col("class").alias("a"), F.col("keys").alias("ka")), "a").join(keyed.select(F.col("class").alias("b"), F.col("keys").alias("kb")), "b")
-        return full.select("a", "b", "ka", "kb").mapInArrow(test, "a long, b long")
-
-    to_hubs = tokens.filter("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
-    links = space.write(compare(to_hubs), "hub_links")
+    tokens = space.write(rows.filter("kind = 2").groupBy("token", *of).agg(F.min("rid").alias("class"), F.first("front").alias("front")).select("token", "class", "n", "front"), "tokens")
+    shared = tokens.groupBy("token").agg(F.min(F.when(F.col("front"), F.col("class"))).alias("hub"), F.count("*").alias("f")).filter("f > 1 and hub is not null")
+    tokens = space.write(tokens.join(shared.select("token", "hub"), "token"), "shared")
+
+    members = tokens.groupBy("class", "n").agg(F.min("hub").alias("home"))
+    crowd = members.groupBy("home").agg(F.count("*").alias("size")).filter("size > 1")
+    members = space.write(members.join(crowd, "home", "left").select("class", "n", "home", F.expr(f"cast(pmod(xxhash64(class), ceil(coalesce(size, 1) / {GROUP})) as long)").alias("part")), "members")
+    # only what is in a group is compared
+    keyed = space.write(sets.select("class", "keys").join(members.select("class"), "class", "left_semi"), "sets")
+
+    def first_opening(table: pa.Table) -> pa.Table:
+        rows = table.select(["home", "part", "class", "mine", "keys"]).to_pylist()
+        here = {r["class"]: unpack_keys(r["keys"]) for r in rows}
+        names, own = list(here), [unpack_keys(r["keys"]) for r in rows if r["mine"]]
+        union = np.unique(np.concatenate(own))
+        whole = union if len(own) == len(here) else np.union1d(union, here[rows[0]["home"]])
+        at = {"home": rows[0]["home"], "part": rows[0]["part"]}
+        out = [at | {"keys": pack_keys(union), "a": None, "b": None}]
+        out += [at | {"keys": None, "a": names[i], "b": names[j]} for i, j in spanning([here[c] for c in names], whole, num, den)]
+        return pa.Table.from_pylist(out, PART)
+
+    place = ["home", "part"]
+    own = members.select(*place, "class", F.lit(True).alias("mine"))
+    leaders = members.select(*place).distinct().select(*place, F.col("home").alias("class"), F.lit(False).alias("mine"))
+    gathered = own.union(leaders).groupBy(*place, "class").agg(F.max("mine").alias("mine")).join(keyed, "class")
+    parts = space.write(gathered.groupBy(*place).applyInArrow(first_opening, "home long, part long, a long, b long, keys binary"), "parts")
+    links = parts.filter("a is not null").select("a", "b")
+    unions = parts.filter("a is null").select(*place, F.col("keys").alias("held"))
     part = components(links, space, "part")
 
-    # what shares a prefix shingle but is not yet one component
+    # what shares a shingle but is not yet one component
     placed = tokens.join(part.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("root", "class"))
-    open_tokens = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    left = placed.join(open_tokens, "token").select("token", "class", "n", "comp", "hub", "f")
-    left = space.write(left, "left")
-    members = left.groupBy("class", "n", "comp").agg(F.min("hub").alias("home"))
-    crowd = members.groupBy("home").agg(F.count("*").alias("size"))
-    members = members.join(crowd, "home").withColumn("part", F.expr(f"cast(pmod(xxhash64(class), ceil(size / {GROUP})) as long)"))
-    members = space.write(members.select("class", "n", "comp", "home", "part"), "members")
-    weight = members.groupBy("comp").agg(F.count("*").alias("weight"))
-    # the matrix: a shingle and the groups it occurs in; parts of a group are told apart by size and component
-    matrix = left.join(members.select("class", "home"), "class").select("token", "home").distinct()
-    parts = members.groupBy("home", "part").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    comps = left.join(weight, "comp").groupBy("token", "comp", "weight").count().select("token", "comp", "weight")
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
+    left = space.write(placed.join(mixed, "token").join(members.select("class", *place), "class").select("token", "class", "n", "front", "comp", *place), "left")
+    matrix = left.groupBy("token", *place).agg(F.max("front").alias("fronts"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    # of each token's components the largest is asked and does not ask
+    weight = left.select("class", "comp").distinct().groupBy("comp").agg(F.count("*").alias("weight"))
+    comps = left.select("token", "comp").distinct().join(weight, "comp")
     first = comps.groupBy("token").agg(F.max(F.struct("weight", "comp")).alias("top")).select("token", F.col("top.comp").alias("top"))
-    queries = left.join(first, "token").filter("comp <> top").select("token", F.col("class").alias("q"), F.col("n").alias("nq"), F.col("comp").alias("cq"))
-    asked = queries.join(matrix, "token").select("q", "nq", "cq", "home").distinct()
-    asked = asked.join(parts, "home").filter(f"nq * {den} >= n0 * {num} and n1 * {den} >= nq * {num} and not (c0 = cq and c1 = cq)").select("q", "cq", "home", "part")
-    many = asked.groupBy("home", "part").agg(F.count("*").alias("asked"))
-    asked = asked.join(many, ["home", "part"]).withColumn("turn", F.expr(f"cast(pmod(xxhash64(q), ceil(asked / {QUERIES})) as long)"))
-    turns = many.select("home", "part", F.explode(F.expr(f"sequence(0L, cast(ceil(asked / {QUERIES}) as long) - 1)")).alias("turn"))
-    # each group goes to each turn of its queries
-    here = members.join(turns, ["home", "part"]).join(keyed, "class").select("home", "part", "turn", F.lit(0).alias("asks"), "class", "comp", "keys")
-    there = asked.join(keyed.withColumnRenamed("class", "q"), "q").select("home", "part", "turn", F.lit(1).alias("asks"), F.col("q").alias("class"), F.col("cq").alias("comp"), "keys")
-
-    def opened(table: pa.Table) -> pa.Table:
-        rows = table.select(["asks", "class", "comp", "keys"]).to_pylist()
-        group = [(r["class"], r["comp"], unpack_keys(r["keys"])) for r in rows if not r["asks"]]
-        union = np.unique(np.concatenate([k for _, _, k in group])) if group else np.empty(0, U64)
-        out = []
-        for r in (r for r in rows if r["asks"]):
-            key = unpack_keys(r["keys"])
-            if overlap(key, union) < needed(len(key), num, den):
-                continue
-            joined = {r["comp"]}
+    queries = left.join(first, "token").filter("comp <> top").select("token", F.col("class").alias("q"), F.col("n").alias("nq"), F.col("comp").alias("cq"), F.col("front").alias("fq"))
+    can = f"(fq or fronts) and nq * {den} >= n0 * {num} and n1 * {den} >= nq * {num} and not (c0 = cq and c1 = cq)"
+    asked = space.write(queries.join(matrix, "token").filter(can).select("q", "cq", *place).distinct(), "asked")
+    many = asked.groupBy(*place).agg(F.ceil(F.count("*") / QUERIES).alias("turns"))
+    turned = asked.join(many, place).withColumn("turn", F.expr("pmod(xxhash64(q), turns)"))
+    turns = many.select(*place, F.explode(F.expr("sequence(0L, turns - 1)")).alias("turn"))
+    of_query = keyed.select(F.col("class").alias("q"), F.col("keys").alias("asks"))
+    here = [*place, "turn"]
+
+    def bound(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Queries that the part's union does not rule out."""
+        union, out = unpack_keys(right.column("held")[0].as_py()), []
+        for r in left.to_pylist():
+            key = unpack_keys(r["asks"])
+            if overlap(key, union) >= needed(len(key), num, den):
+                out.append({c: r[c] for c in ("home", "part", "turn", "q", "cq")})
+        return pa.Table.from_pylist(out, pa.schema([(c, pa.int64()) for c in ("home", "part", "turn", "q", "cq")]))
+
+    ask = turned.join(of_query, "q").select(*here, "q", "cq", "asks").groupBy(*here)
+    other = [F.col(c).alias(f"of_{c}") for c in here]
+    answer = turns.join(unions, place).select(*other, "held").groupBy(*(f"of_{c}" for c in here))
+    qualified = space.write(ask.cogroup(answer).applyInArrow(bound, "home long, part long, turn long, q long, cq long"), "qualified")
+
+    def opened(left: pa.Table, right: pa.Table) -> pa.Table:
+        group, out = [(r["class"], r["comp"], unpack_keys(r["keys"])) for r in right.to_pylist()], []
+        for r in left.to_pylist():
+            key, joined = unpack_keys(r["asks"]), {r["cq"]}
             for c, comp, k in group:
                 if comp not in joined and linked(key, k, num, den):
                     joined.add(comp)
-                    out.append({"a": r["class"], "b": c})
-        return pa.Table.from_pylist(out, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+                    out.append({"a": r["q"], "b": c})
+        return pa.Table.from_pylist(out, LINK)
 
-    more = space.write(here.unionByName(there).groupBy("home", "part", "turn").applyInArrow(opened, "a long, b long"), "more_links")
+    shipped = qualified.select(*here).distinct().join(left.select("class", "comp", *place).distinct(), place).join(keyed, "class").select(*other, "class", "comp", "keys")
+    more = space.write(qualified.join(of_query, "q").select(*here, "q", "cq", "asks").groupBy(*here).cogroup(shipped.groupBy(*(f"of_{c}" for c in here))).applyInArrow(opened, "a long, b long"), "more_links")
     roots = components(links.union(more), space, "whole")
 
     whole = docs_in.filter("n > 0").join(classes, of).select("rid", "doc_id", "n", F.col("class"))
-    # sets were keyed by the least row that sent one; classes by the least row: the same row number, block by block
     whole = whole.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     names = whole.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = whole.join(names, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "rid")
