@@ -3,12 +3,11 @@
 import hashlib
 import json
 import math
-import zlib
 
 import numpy as np
 import pytest
 
-from tagloom.llm import chat, decontam, langid, lmscore, packing
+from tagloom.llm import chat, decontam, langid, packing
 from tagloom.llm.components import components
 from tagloom.llm.ngramjoin import near_duplicates
 from tagloom.llm.substr import repeats
@@ -254,35 +253,6 @@ def test_language_margin_at_any_length(spark):
     assert not any(got[i]["accepted"] for i, _ in odd)
 
 
-def test_language_model(spark, docs):
-    got = lmscore.score_texts(docs, modulus=3, held=1).collect()
-    assert len(got) == len(rows())
-    train, seen = [], {}
-    for i, t in rows():
-        if i is not None and zlib.crc32(str(i).encode()) % 3 != 1:
-            train += [*split(t, True), b"\n"]
-    for w in train:
-        seen[w] = seen.get(w, 0) + 1
-    n, v = len(train), len(seen)
-    want = []
-    for i, t in rows():
-        ws = [*split(t, True), b"\n"]
-        want.append((i, i is not None and zlib.crc32(str(i).encode()) % 3 == 1, len(ws), sum(w in seen for w in ws), n, round(sum(math.log10((seen.get(w, 0) + 1) / (n + v + 1)) for w in ws), 6)))
-    mine = [(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got]
-    assert sorted(mine, key=repr) == sorted(want, key=repr) and all(r["score"] <= 0 for r in got)
-    assert lmscore.score_texts(docs.limit(0)).count() == 0
-
-
-def test_model_learns():
-    rng = np.random.default_rng(2)
-    target = rng.integers(0, 4, 4000)
-    r = np.stack([target * 7, np.zeros(4000, int), rng.integers(0, 50, 4000), np.zeros(4000, int)], 1)
-    w, speed = np.zeros((lmscore.ROWS, lmscore.CLASSES), np.float32), np.ones((lmscore.ROWS, lmscore.CLASSES), np.float32)
-    for _ in range(120):
-        lmscore.steps(w, speed, r, target)
-    assert lmscore._chance(w, r)[np.arange(4000), target].mean() > 0.8
-
-
 def test_chat_round_trip():
     for said in ("", "\\", "### a: b </turn>\n", "\\### Assistant: </turn> ok", "\\\\#<:", "x\ny"):
         for role in ("user", "a: b", "#"):
