@@ -8,8 +8,8 @@ Model. A word of the training texts belongs to a class, the band of its count (p
 eight) and a trait of its spelling, and to one of SLOTS slots of its class, by hash. All other
 words are class 0. P(word | history) = P(class | history) * P(slot | class, history) *
 P(word | class, slot). The first two factors are softmaxes over the weights of hashed features
-of the history (the last word, the last two words, the last common word however far back, the
-classes of the last two words), on top of the factor's distribution without any history; the
+of the history (the last word, a skip to the last common word however far back, and, for classes,
+the classes of the last two words), on top of the factor's distribution without any history; the
 third is the word's share of its slot. A word of class 0 has, in place of the second and third,
 the probability of its spelling under a model of bytes and up to ORDERS bytes before them, learned
 from words that occur once. So the probabilities of all words sum to one, but for what the spelling
@@ -161,7 +161,7 @@ class Sizes:
         with np.errstate(divide="ignore"):
             self.of_class = np.maximum(np.log(share / share.sum()), NEVER).astype(np.float32)
             self.of_slot = np.maximum(np.log(table / np.maximum(table.sum(1, keepdims=True), 1)), NEVER).astype(np.float32)
-        self.shapes = ((3 * (1 << self.bits) + (CLASSES + 1) ** 2, CLASSES), (2 * (1 << self.bits), SLOTS))
+        self.shapes = ((2 * (1 << self.bits) + (CLASSES + 1) ** 2, CLASSES), (2 * (1 << self.bits), SLOTS))
 
 
 class Tokens:
@@ -183,11 +183,11 @@ class Tokens:
     def history(self, classes: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
         """Rows of both tables of weights for each token; the second's are of the token's class too."""
         n = len(self.key)
-        one, two = np.empty(n, U64), np.empty(n, U64)
-        one[1:], two[2:] = self.key[:-1], self.key[:-2]
+        one = np.empty(n, U64)
+        one[1:] = self.key[:-1]
         begin = np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         place = np.arange(n) - begin
-        one[place < 1], two[place < 2] = START, START
+        one[place < 1] = START
         often = np.maximum.accumulate(np.where((self.count >= sizes.common) & (self.key != END), np.arange(n), -1))
         often = np.append(-1, often[:-1])[:n]
         common = np.where(often >= begin, self.key[np.maximum(often, 0)], START) if n else one
@@ -196,38 +196,47 @@ class Tokens:
         c1[place < 1], c2[place < 2] = CLASSES, CLASSES
         shift, size = U64(64 - sizes.bits), 1 << sizes.bits
         row = lambda key: (mix(key) >> shift).astype(np.int64)
-        last, far, pair = mix(one), common * U64(3), mix(one) + mix(two) * U64(5)
+        last, far = mix(one), common * U64(3)
         own = (classes.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15)
-        first = np.stack([row(one), size + row(far + U64(1)), 2 * size + row(pair), 3 * size + c1 * (CLASSES + 1) + c2], 1)
+        first = np.stack([row(one), size + row(far + U64(1)), 2 * size + c1 * (CLASSES + 1) + c2], 1)
         return first, np.stack([row(last ^ own), size + row(far + own)], 1)
 
 
 def chance(w: np.ndarray, rows: np.ndarray, plain: np.ndarray) -> np.ndarray:
     """Softmax of each token's rows of weights on top of ``plain``."""
-    z = plain + w[rows[:, 0]]
+    z = w[rows[:, 0]]
     for k in range(1, rows.shape[1]):
         z += w[rows[:, k]]
-    z -= z.max(1, keepdims=True)
+    z += plain
+    # weights stay far below what overflows, and every row has a class of its own distribution near 0
+    np.minimum(z, 60, out=z)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z /= np.maximum(z @ np.ones(z.shape[1], z.dtype), np.float32(1e-37))[:, None]
     return z
 
 
 def steps(w: np.ndarray, speed: np.ndarray, seen: np.ndarray, rows: np.ndarray, target: np.ndarray, plain) -> None:
     """One pass of AdaGrad steps over (rows, target), in place; ``plain(i, j)`` are the distributions of tokens i to j."""
+    first = rows.min(0, initial=1 << 62)
     for i in range(0, len(rows), BATCH):
         r, y = rows[i : i + BATCH], target[i : i + BATCH]
         g = chance(w, r, plain(i, i + BATCH))
         g[np.arange(len(y)), y] -= 1
         for k in range(r.shape[1]):
-            order = np.argsort(r[:, k], kind="stable")
+            near = r[:, k] - first[k]
+            # 16-bit numbers are sorted by radix
+            order = np.argsort(near.astype(np.uint16) if BITS[1] <= 16 else near, kind="stable")
             sorted_rows = r[order, k]
             edges = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
             at = sorted_rows[edges]
             total = np.add.reduceat(g[order], edges, axis=0)
-            pace = speed[at] + total * total
+            pace = speed[at]
+            pace += total * total
             speed[at] = pace
-            w[at] -= RATE * total / np.sqrt(pace)
+            np.sqrt(pace, out=pace)
+            total /= pace
+            total *= np.float32(RATE)
+            w[at] -= total
             seen[at] += np.diff(np.append(edges, len(r)))
 
 
