@@ -5,7 +5,9 @@
    match gives. A gap of at most one edit is a pair of words no more than two apart both in
    the item and in the text. The seeds of an item are its pairs: a pair of neighbours in both
    weighs 2, any other 1, and a document can only reach ``threshold`` where the seeds of a
-   stretch as long as an alignment can be weigh MATCH (threshold * words - 1) or more.
+   stretch as long as an alignment can be weigh MATCH (threshold * words - 1) or more. An item
+   of fewer than LEAST_WORDS words, of which any one would do, is looked for whole: its seed
+   is its only pair or word.
 2. How often each pair occurs in the corpus is counted. The commonest pairs of an item are not
    looked up, up to half of the weight needed, which is then taken off what the others must
    weigh. So the counts settle the cost and never what is found.
@@ -44,7 +46,7 @@ def plain(text: str | None) -> bytes:
 
 
 def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """Best local alignment score of two word-key arrays and the word of ``text`` after its end."""
+    """Best local alignment score of two word-key arrays and the word of ``text`` after its end, the first if there are several."""
     width = len(text)
     if not width or not len(item):
         return 0, 0
@@ -56,14 +58,23 @@ def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
         # gaps along the text: the best earlier cell less the distance
         row[1:] = np.maximum.accumulate(open_ + ramp) - ramp
         top = int(row.max())
-        if top > best:
-            best, end = top, int(row.argmax())
+        if top > best or top == best > 0:
+            at = int(row.argmax())
+            end = at if top > best else min(end, at)
+            best = top
     return best, end
 
 
+def passage(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+    """Best local alignment score, its first word of ``text`` and the word after its last; of several, one that ends first."""
+    score, end = smith_waterman(item, text)
+    # all that score as much in the words up to there end there
+    return score, end - smith_waterman(item[::-1], text[:end][::-1])[1], end
+
+
 def pairs(key: np.ndarray, apart: int) -> np.ndarray:
-    """Keys of each word with the word ``apart`` after it."""
-    return mix(key[:-apart] * GRAM[0] + key[apart:] * GRAM[1]) if len(key) > apart else np.empty(0, U64)
+    """Keys of each word with the word ``apart`` after it (0: of the word itself)."""
+    return mix(key[: len(key) - apart] * GRAM[0] + key[apart:] * GRAM[1]) if len(key) > apart else np.empty(0, U64)
 
 
 class Lookup:
@@ -84,17 +95,19 @@ class Lookup:
 
 
 class Items:
-    """Items' word keys and their pairs; ``words`` of an item too short to be looked for are empty."""
+    """Items' word keys and their pairs; ``apart`` are the distances at which texts are searched."""
 
     def __init__(self, rows: list[tuple[int, bytes]], threshold: float = THRESHOLD):
         self.ids = [i for i, _ in rows]
         t = Texts([b for _, b in rows], EXACT)
-        self.words = [t.key[t.first[d] : t.first[d] + t.n_words[d]] if t.n_words[d] >= LEAST_WORDS else t.key[:0] for d in range(len(rows))]
+        self.words = [t.key[t.first[d] : t.first[d] + t.n_words[d]] for d in range(len(rows))]
         sizes = np.array([len(w) for w in self.words], np.int64)
-        self.need = MATCH * (threshold * sizes - 1) - 1e-9
+        short = sizes < LEAST_WORDS
+        self.need = np.where(short, sizes, MATCH * (threshold * sizes - 1)) - 1e-9
+        self.apart = (0, *APART) if (sizes == 1).any() else APART
         #: the most words of a text an alignment that reaches the threshold can take
         self.reach = np.maximum(sizes, np.ceil((1 + MATCH * (1 - threshold)) * sizes).astype(np.int64)) + 1
-        self.pairs = [[pairs(w, a) for a in APART] for w in self.words]
+        self.pairs = [[pairs(w, a) if a == (len(w) - 1 if len(w) < LEAST_WORDS else a) and (a or len(w) == 1) else w[:0] for a in self.apart] for w in self.words]
         self.vocabulary = Lookup(np.unique(np.concatenate([*(p for two in self.pairs for p in two), np.empty(0, U64)])))
 
     def choose(self, freq: np.ndarray) -> None:
@@ -105,13 +118,13 @@ class Items:
             if not len(key):
                 continue
             place = np.concatenate([np.arange(len(p)) for p in two])
-            weight = np.repeat((2, 1), [len(p) for p in two])
+            weight = np.repeat([1 + (a == 1) for a in self.apart], [len(p) for p in two])
             distinct, of = np.unique(key, return_inverse=True)
             order = np.argsort(of, kind="stable")
             spans = np.split(order, np.cumsum(np.bincount(of))[:-1])
             often = freq[np.searchsorted(self.vocabulary.table, distinct)]
             # of what begins at one word of the item an alignment has one pair at most
-            lost, room, out = np.zeros(len(self.words[n]), np.int64), self.need[n] / 2, np.zeros(len(distinct), bool)
+            lost, room, out = np.zeros(len(self.words[n]), np.int64), self.need[n] / 2 if len(self.words[n]) >= LEAST_WORDS else 0, np.zeros(len(distinct), bool)
             for k in np.argsort(-often, kind="stable").tolist():
                 more = lost.copy()
                 np.maximum.at(more, place[spans[k]], weight[spans[k]])
@@ -146,18 +159,18 @@ def _text_blocks(batches) -> Iterator[tuple[list, Texts]]:
             i = j
 
 
-def _spots(t: Texts, table: Lookup) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _spots(t: Texts, table: Lookup, apart: tuple[int, ...] = APART) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each distance: the words whose pair is in ``table``, and where it is there."""
-    for apart in APART:
-        spots, at = table.find(pairs(t.key, apart))
-        inside = t.doc[spots] == t.doc[spots + apart]
-        yield apart, spots[inside], at[inside]
+    for a in apart:
+        spots, at = table.find(pairs(t.key, a))
+        inside = t.doc[spots] == t.doc[spots + a]
+        yield a, spots[inside], at[inside]
 
 
 def _stretches(items: Items, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Item, first and last word of the stretches of text whose seeds weigh enough."""
     found = []
-    for apart, spots, at in _spots(t, items.seed):
+    for apart, spots, at in _spots(t, items.seed, items.apart):
         many = items.low[at + 1] - items.low[at]
         entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(items.low[at], many)
         weight = 1 + (items.near[entry] & (apart == 1))
@@ -184,17 +197,18 @@ def _align(items: Items, ids: list, t: Texts, threshold: float) -> Iterator[dict
         d, n = int(doc[a]), int(item[a])
         words, first, reach = items.words[n], int(t.first[d]), int(items.reach[n])
         stop = first + int(t.n_words[d])
-        best = (0, 0)
+        best = (0, 0, 0)
         # stretches whose surroundings meet are one passage
         low, high = begin[a:b], end[a:b]
         cut = np.flatnonzero(low[1:] - high[:-1] > 2 * reach) + 1
         for x, y in zip(np.split(low, cut), np.split(high, cut)):
             lo, hi = max(first, int(x[0]) - reach), min(stop, int(y[-1]) + reach + 1)
-            score, at = smith_waterman(words, t.key[lo:hi])
-            best = max(best, (score, lo + at - first))
+            score, start, after = passage(words, t.key[lo:hi])
+            if score > best[0]:
+                best = (score, lo + start - first, lo + after - first)
         share = best[0] / (MATCH * len(words))
         if share >= threshold:
-            yield {"doc_id": ids[d], "item_id": items.ids[n], "score": share, "start_word": max(0, best[1] - len(words)), "end_word": best[1]}
+            yield {"doc_id": ids[d], "item_id": items.ids[n], "score": share, "start_word": best[1], "end_word": best[2]}
 
 
 def _item_blocks(items: DataFrame, id_col: str, text_col: str, threshold: float) -> Iterator[Items]:
@@ -212,9 +226,9 @@ def _item_blocks(items: DataFrame, id_col: str, text_col: str, threshold: float)
 def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", space: Workspace | None = None) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word of each document and item aligned to ``threshold`` or more.
 
-    Null or empty texts and items match nothing, as do items of fewer than LEAST_WORDS words.
+    Null or empty texts and items match nothing. Items of one or two words match where they stand whole.
     Repeated rows and ids are reported for each row. Empty tables give no rows. Extra columns
-    are not read. start_word and end_word bound the best passage, in words parted by space or punctuation.
+    are not read. start_word and end_word bound the best passage (the end not in it), in words parted by space or punctuation.
     """
     spark = docs.sparkSession
     space = space or Workspace(spark, "decontam")
@@ -224,10 +238,10 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_
         shared = spark.sparkContext.broadcast(items_now)
 
         def tally(batches, shared=shared):
-            table = shared.value.vocabulary
+            table, apart = shared.value.vocabulary, shared.value.apart
             total = np.zeros(len(table.table), np.int64)
             for _, t in _text_blocks(batches):
-                for _, _, at in _spots(t, table):
+                for _, _, at in _spots(t, table, apart):
                     total += np.bincount(at, minlength=len(total))
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["slot", "n"])

@@ -97,10 +97,13 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     margin is by how much of the smallest output the second exceeds it. A null
     text or one without a letter gets ``und``, score 0 and is not accepted. With a
     single dictionary every other text gets that language, score 1. All chunks of a text
-    are scored, one text at a time; extra columns are passed through only when named in ``keep``.
+    are scored, one text at a time; extra columns are passed through only when named in ``keep``,
+    which may not name a column that is made here (ValueError).
     """
     importable(docs.sparkSession)
     keep = keep or [id_col]
+    if clash := {"lang_pred", "score", "margin", "accepted"} & set(keep):
+        raise ValueError(f"columns {sorted(clash)} are kept and made: rename them first")
     schema = [docs.select(*keep).schema[c] for c in keep]
     languages = docs.sparkSession.sparkContext.broadcast(dictionaries)
     has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))

@@ -1,7 +1,7 @@
 """The stages of corpus_pipeline: (spark, docs, sf_dir) -> DataFrame each.
 
 All but the last return the columns of ``docs``, whatever they are besides doc_id and text.
-Rows with a null doc_id are never dropped by an id, and repeated rows never multiplied.
+Repeated rows are never multiplied.
 """
 
 from __future__ import annotations
@@ -23,19 +23,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates, that of least doc_id."""
+    """Keep one document of each group of near duplicates, that of least doc_id; rows without an id come after all others."""
     from .ngramjoin import near_duplicates
-    from .workspace import Workspace
-
-    found = Workspace(spark, "stage4").write(near_duplicates(docs).select("doc_id", "component_id"), "found")
-    others = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    from .workspace import Workspace, free_name
+
+    space, key = Workspace(spark, "stage4"), free_name(docs.columns, "key")
+    nulls = docs.filter("doc_id is null")
+    keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
+    if not nulls.isEmpty():
+        # numbers beyond all ids, fixed by writing them
+        nulls = space.write(nulls.withColumn(key, F.monotonically_increasing_id() + F.lit(1 << 62)), "nulls")
+        keyed = keyed.filter("doc_id is not null").unionByName(nulls)
+    found = space.write(near_duplicates(keyed, id_col=key).select(F.col("doc_id").alias(key), "component_id"), "found")
+    others = found.filter(F.col(key) != F.col("component_id")).select(key).distinct()
+    kept = keyed.join(others, key, "left_anti")
     # several rows of one doc_id: of those with equal text one stays
-    twice = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    twice = found.groupBy(key).count().filter("count > 1").select(key)
     if twice.isEmpty():
-        return kept
-    once = kept.join(twice, "doc_id", "left_anti")
-    return once.select(*docs.columns).union(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+        return kept.select(*docs.columns)
+    once = kept.join(twice, key, "left_anti")
+    return once.select(*docs.columns).union(kept.join(twice, key, "left_semi").dropDuplicates([key, "text"]).select(*docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,12 +62,18 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a copy of a test item, edited or not."""
+    """Drop documents that hold a copy of a test item, edited or not; rows without an id are told apart."""
     from .decontam import matches
-
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = matches(docs, items).select("doc_id").filter("doc_id is not null").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    from .workspace import Workspace, free_name
+
+    items, key = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), free_name(docs.columns, "key")
+    nulls = docs.filter("doc_id is null")
+    keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
+    if not nulls.isEmpty():
+        nulls = Workspace(spark, "stage9").write(nulls.withColumn(key, F.monotonically_increasing_id() + F.lit(1 << 62)), "nulls")
+        keyed = keyed.filter("doc_id is not null").unionByName(nulls)
+    leaks = matches(keyed, items, id_col=key).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(leaks, key, "left_anti").select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

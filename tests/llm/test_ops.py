@@ -310,6 +310,10 @@ def test_decontamination(spark, docs):
     frame = spark.createDataFrame(texts, "doc_id long, text string")
     items = spark.createDataFrame([(7, item), (8, None), (9, "two words")], "item_id long, text string")
     got = {r["doc_id"]: r for r in decontam.matches(frame, items).collect()}
+    short = spark.createDataFrame([(1, "x one y"), (2, "two words"), (3, "two such words"), (4, "words two"), (5, "One. Two, words!")], "doc_id long, text string")
+    brief = spark.createDataFrame([(8, "one"), (9, "two words"), (10, "!"), (11, None)], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"], r["start_word"], r["end_word"]) for r in decontam.matches(short, brief).collect()) == [(1, 8, 1, 2), (2, 9, 0, 2), (5, 8, 0, 1), (5, 9, 1, 3)]
+    assert (got[2]["start_word"], got[2]["end_word"]) == (2, 2 + len(edited.split()) - 1)
     assert set(got) == {1, 2, None} and got[1]["score"] == 1.0 and 0.5 < got[2]["score"] < 1 and got[1]["start_word"] == 50
     assert decontam.matches(frame, items.limit(0)).count() == 0 and decontam.matches(docs.limit(0), items).count() == 0
 
@@ -335,7 +339,7 @@ def test_decontamination_finds_all_that_reach_the_threshold():
         for scale in (1, 1_000):
             of = decontam.Items([(k, " ".join(w).encode()) for k, w in enumerate(items)], threshold)
             freq = np.zeros(len(of.vocabulary.table), np.int64)
-            for _, _, at in decontam._spots(t, of.vocabulary):
+            for _, _, at in decontam._spots(t, of.vocabulary, of.apart):
                 freq += scale * np.bincount(at, minlength=len(freq))
             of.choose(freq)
             got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam._align(of, list(range(len(texts))), t, threshold)}
@@ -371,7 +375,7 @@ def test_stages_keep_columns_and_work_on_all(spark, docs, tmp_path):
         assert out.columns == docs.columns, name
         now = Workspace(spark, "t").write(out, "out")
     ids = sorted((r["doc_id"] for r in now.select("doc_id").collect()), key=repr)
-    assert 2 not in ids and 3 not in ids and ids.count(4) == 1 and 5 not in ids and 1 in ids
+    assert None not in ids and 2 not in ids and 3 not in ids and ids.count(4) == 1 and 5 not in ids and 1 in ids
     assert corpus_pipeline.STAGES[4][1](spark, now, str(tmp_path)).count() >= len(ids)
     assert all(stage(spark, docs.limit(0), str(tmp_path)).count() == 0 for _, stage in corpus_pipeline.STAGES)
 
