@@ -137,8 +137,8 @@ def spanning(sets: list[np.ndarray], union: np.ndarray, num: int, den: int) -> l
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", space: Workspace | None = None) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, rid.
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", space: Workspace | None = None, tidy: bool = True) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, rid. Tables on the way go at the end if ``tidy``.
 
     component_id is the least non-null doc_id of the rows it reaches by links, itself
     included. Null or wordless texts have an empty set, link with nothing and keep their
@@ -261,4 +261,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 75, den: int = 1
     whole = whole.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     names = whole.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = whole.join(names, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "rid")
-    return out.unionByName(docs_in.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "rid"))
+    out = out.unionByName(docs_in.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "rid"))
+    found = space.write(out, "found")
+    if tidy:
+        for name in ("rows", "tokens", "shared", "members", "sets", "parts", "left", "asked", "qualified", "more_links"):
+            space.drop(name)
+    return found

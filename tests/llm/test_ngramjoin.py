@@ -32,7 +32,7 @@ def test_links_about_the_threshold(spark, monkeypatch, group):
     items = families(np.random.default_rng(3), 12, 60, 0.86)
     items += [(1000 + i, t) for i, (_, t) in enumerate(items[::7])] + [(2000, " ".join(t for _, t in items[:3]))]
     space = Workspace(spark, "t")
-    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngramjoin.near_duplicates(spark.createDataFrame(items, "doc_id long, text string"), space=space).collect()]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngramjoin.near_duplicates(spark.createDataFrame(items, "doc_id long, text string"), space=space, tidy=False).collect()]
     assert sorted(got, key=repr) == brute_components(items)
     asked, qualified = space.read("asked").count(), space.read("qualified").count()
     assert 0 < qualified < asked
@@ -45,7 +45,7 @@ def test_templates_below_the_threshold_meet_nowhere(spark):
     shared = [f"s{k}" for k in range(100)]
     items = [(i, " ".join(shared + [f"u{i}_{k}" for k in range(24)] + [f"r{rng.integers(1e9)}"])) for i in range(300)]
     space = Workspace(spark, "t")
-    got = ngramjoin.near_duplicates(spark.createDataFrame(items, "doc_id long, text string"), space=space).collect()
+    got = ngramjoin.near_duplicates(spark.createDataFrame(items, "doc_id long, text string"), space=space, tidy=False).collect()
     assert all(r["doc_id"] == r["component_id"] for r in got) and len(got) == 300
     assert space.read("asked").count() == 0
 
