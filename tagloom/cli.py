@@ -11,7 +11,7 @@ from .config import Config, parse_args
 from .operators import listing
 from .plans.generate import generate, registry_of
 from .plans.languages import UnknownLanguage, tables
-from .sources.files import expand_paths, files_table, with_content
+from .sources.files import expand_paths, files_table
 from .sources.plugins import manifests_table, read_index, suggest
 
 
@@ -40,7 +40,7 @@ def main(argv: list[str] | None = None) -> int:
         elif config.command == "suggest_plugins":
             lines = suggestions(spark, config)
         elif config.command == "print_language":
-            files = with_content(files_table(spark, expand_paths(config.files, config.excludes, config.recurse).files))
+            files = files_table(spark, expand_paths(config.files, config.excludes, config.recurse).files)
             rows = listing.print_languages(files, registry_of(config), config.guess).orderBy("file_ord").select(F.concat_ws(": ", "rel_path", "lang").alias("line"))
             lines = [r["line"] for r in rows.collect()]
         else:

@@ -188,7 +188,11 @@ def version_parts(version: Column) -> Column:
     """major, minor, patch, is_release, pre of a semantic version; null where it is none."""
     rx = r"^(\d+)\.(\d+)\.(\d+)(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?$"
     part = lambda i: F.regexp_extract(version, rx, i)
-    return F.when(version.rlike(rx), F.struct(part(1).cast("long").alias("major"), part(2).cast("long").alias("minor"), part(3).cast("long").alias("patch"), (part(4) == "").alias("is_release"), part(4).alias("pre")))
+    # numbers come before words and are compared as numbers; of two lists that begin alike the shorter comes first
+    number = lambda x: x.rlike("^[0-9]+$")
+    identifier = lambda x: F.struct((~number(x)).alias("word"), F.when(number(x), x.try_cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)")).alias("number"), F.when(number(x), "").otherwise(x).alias("text"))
+    pre = F.transform(F.split(part(4), r"\."), identifier)
+    return F.when(version.rlike(rx), F.struct(part(1).cast("long").alias("major"), part(2).cast("long").alias("minor"), part(3).cast("long").alias("patch"), (part(4) == "").alias("is_release"), pre.alias("pre")))
 
 
 def version_status(installed: Column, available: Column) -> Column:

@@ -19,6 +19,8 @@ from ..schema import EXTRACTED
 NATIVE = {"python": python.extract, "rust": rust.extract, "go": go.extract, "javascript": js.extract, "typescript": typescript.extract}
 PLUGIN = {"java": java.extract, "kotlin": kotlin.extract, "echo": simple.echo}
 ADDRESS_BYTES = 96
+#: Tags that one batch to Spark holds, about.
+BATCH_TAGS = 10_000
 
 
 def escape(line: str) -> str:
@@ -93,6 +95,9 @@ def extract_tags(files: DataFrame, job: Job, name: str = "rel_path", content: st
                         out.append((r.file_ord, k, t.name, r.name, where, t.kind, fields, None))
                 except (OSError, UnicodeDecodeError) as e:
                     out.append((r.file_ord, -1, None, r.name, None, None, None, f"{type(e).__name__}: {e}"))
+                if len(out) >= BATCH_TAGS:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
             yield pd.DataFrame(out, columns=columns)
 
     return rows.mapInPandas(run, EXTRACTED)

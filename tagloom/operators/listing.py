@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import extension
 from ..plans.languages import Registry, UnknownLanguage, kinds_of, kinds_table, language_maps, tables
-from .resolve import resolve
+from .resolve import resolve, resolved_paths
 
 
 def list_kinds(spark: SparkSession, registry: Registry, language: str = "") -> list[str]:
@@ -51,8 +51,9 @@ def list_languages(spark: SparkSession, registry: Registry) -> list[str]:
 
 
 def print_languages(files: DataFrame, registry: Registry, guess: bool = False) -> DataFrame:
-    """path and lang, ``NONE`` for files that nothing settles."""
-    return resolve(files, registry, guess).select("file_ord", "rel_path", F.coalesce("lang", F.lit("NONE")).alias("lang"))
+    """path and lang, ``NONE`` for files that nothing settles. Without ``content`` the paths are read, as far as need be."""
+    rows = resolve(files, registry, guess) if "content" in files.columns else resolved_paths(files, registry, guess)
+    return rows.select("file_ord", "rel_path", F.coalesce("lang", F.lit("NONE")).alias("lang"))
 
 
 def extensions_in(files: DataFrame, path: str = "rel_path") -> DataFrame:

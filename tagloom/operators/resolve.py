@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fx
 from ..functions.modeline import modeline_type
 from ..plans.languages import Registry, tables
+from ..sources.files import read_ends
 
 
 def candidates(files: DataFrame, registry: Registry, path: str = "rel_path") -> DataFrame:
@@ -38,6 +39,15 @@ def candidates(files: DataFrame, registry: Registry, path: str = "rel_path") ->
     return matched.withColumn("cands", first).select(*own, "cands")
 
 
+def resolved_paths(files: DataFrame, registry: Registry, guess: bool = False) -> DataFrame:
+    """All columns of a table of paths and ``lang``: names first, and a bounded look into files that names do not settle."""
+    unsettled = F.size("cands") > 1
+    may_run = F.lit(True) if guess else F.coalesce(F.col("is_exec"), F.lit(False))
+    ask = unsettled | ((F.size("cands") == 0) & may_run)
+    asked = candidates(files, registry).withColumn("ask", ask).drop("cands")
+    return resolve(read_ends(asked, "ask"), registry, guess).drop("content")
+
+
 def by_interpreter(head: F.Column, registry: Registry) -> F.Column:
     """Language of the interpreter that a first line names, tried again without its version."""
     if not registry.interpreters:

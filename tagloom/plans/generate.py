@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..config import Config
 from ..operators.extract import errors_only, extract_tags, job_of, tags_only
-from ..operators.resolve import resolve
+from ..operators.resolve import resolve, resolved_paths
 from ..operators.tags import append
-from ..sources.files import balanced, expand_paths, files_table, with_content
+from ..session import written
+from ..sources.files import balanced, expand_paths, files_table
 from ..sources.plugins import all_languages
 from ..sources.tagfile import is_tags_file, output_path, read_tags, write_tags
 from .languages import Registry, build_registry
@@ -22,10 +23,13 @@ def registry_of(config: Config) -> Registry:
 
 
 def tags_of_files(files: DataFrame, config: Config, registry: Registry | None = None) -> DataFrame:
-    """Tags, and error rows, of a table of files with rel_path, file_ord, content and perhaps is_exec."""
+    """Tags, and error rows, of a table of files with rel_path, file_ord, perhaps is_exec, and content or the path to read."""
     registry = registry or registry_of(config)
     plugins = frozenset(name for (tier, name), won in registry.won.items() if tier == "plugin" and won)
-    return extract_tags(resolve(files, registry, config.guess), job_of(config, plugins))
+    if "content" in files.columns:
+        return extract_tags(resolve(files, registry, config.guess), job_of(config, plugins))
+    # whole files are read last, one at a time, and only those with a language
+    return extract_tags(resolved_paths(files, registry, config.guess), job_of(config, plugins), content=None)
 
 
 def generate(spark: SparkSession, config: Config, cwd: str = ".") -> int:
@@ -44,11 +48,10 @@ def generate(spark: SparkSession, config: Config, cwd: str = ".") -> int:
                 return 1
             old = read_tags(spark, target)
     base = cwd if target == "-" else os.path.dirname(os.path.abspath(target))
-    files = with_content(balanced(files_table(spark, found.files, base), config.workers))
-    rows = tags_of_files(files, config).persist()
+    files = balanced(files_table(spark, found.files, base), config.workers)
+    rows = written(tags_of_files(files, config), "tags")
     for r in errors_only(rows).toLocalIterator():
         print(f"{r['file_name']}: {r['error']}", file=sys.stderr)
     tags = tags_only(rows)
     write_tags(append(tags, old) if old is not None else tags, target, config.sort)
-    rows.unpersist()
     return 0

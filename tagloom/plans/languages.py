@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -214,7 +213,3 @@ def language_maps(spark: SparkSession, r: Registry) -> DataFrame:
 def first_tier_wins(claims: DataFrame) -> DataFrame:
     """(ext, tier_rank, priority, lang) -> the language that the least tier and rank gives an extension."""
     return claims.groupBy("ext").agg(F.min_by("lang", F.struct("tier_rank", "priority")).alias("lang"))
-
-
-def any_of(columns: list) -> F.Column:
-    return reduce(lambda a, b: a | b, columns, F.lit(False))

@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 from ..functions.text import exclude_regex
 from ..schema import FILE
 
-HEAD, ENDS = 256, 4096
+#: What resolution looks at: marks of C++ in so many first bytes, mode lines in as many last ones.
+HEAD, ENDS = 8192, 4096
+READ_BYTES = 4 << 20
 
 
 @dataclass
@@ -89,35 +91,33 @@ def balanced(files: DataFrame, tasks: int) -> DataFrame:
     return files.withColumn("_slot", order % tasks).repartition(tasks, "_slot").drop("_slot")
 
 
-def with_content(files: DataFrame) -> DataFrame:
-    """Whole bytes of each path, read by the executors; null where it cannot be read."""
-    schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])
+def read_ends(files: DataFrame, ask: str) -> DataFrame:
+    """``content`` of the rows whose ``ask`` column is true, as far as resolution looks: HEAD bytes and the last ENDS.
+
+    Null for other rows, and for what cannot be read. The executors read, a file at a time,
+    and send READ_BYTES at most at once.
+    """
+    kept = [f for f in files.schema.fields if f.name != ask]
+    schema = T.StructType([*kept, T.StructField("content", T.BinaryType())])
+
+    def ends(path: str) -> bytes | None:
+        try:
+            with open(path, "rb") as f:
+                head = f.read(HEAD)
+                size = f.seek(0, os.SEEK_END)
+                f.seek(max(len(head), size - ENDS))
+                return head + f.read(ENDS)
+        except OSError:
+            return None
 
     def run(batches):
         for batch in batches:
-            def read(p):
-                try:
-                    with open(p, "rb") as f:
-                        return f.read()
-                except OSError:
-                    return None
-
-            yield batch.assign(content=[read(p) for p in batch["path"]])
+            done, found, held = 0, [], 0
+            for i, (path, wanted) in enumerate(zip(batch["path"], batch[ask])):
+                found.append(ends(path) if wanted else None)
+                held += len(found[-1] or b"")
+                if held >= READ_BYTES or i + 1 == len(batch):
+                    yield batch.iloc[done : i + 1].drop(columns=ask).assign(content=found)
+                    done, found, held = i + 1, [], 0
 
     return files.mapInPandas(run, schema)
-
-
-def bounded_reads(content: F.Column) -> dict[str, F.Column]:
-    """The parts of a file that resolution looks at: the first 256 bytes, and 4096 at both ends (no tail for short files)."""
-    size = F.octet_length(content)
-    return {
-        "prefix": F.substring(content, 1, HEAD),
-        "head": F.substring(content, 1, ENDS),
-        "tail": F.when(size > ENDS, F.substring(content, -ENDS, ENDS)).otherwise(F.lit("").cast("binary")),
-    }
-
-
-def source_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Many files on a shared store, listed and read by Spark: FILE columns and content. Hidden names need ``files_table``."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return raw.select(F.col("path"), F.regexp_replace("path", "^file:", "").alias("rel_path"), F.xxhash64("path").alias("file_ord"), F.col("length").alias("size"), F.lit(False).alias("is_exec"), "content")

@@ -137,3 +137,46 @@ def test_tags_files_with_odd_lines(spark):
     assert set(got) == {"a", "b"} and got["a"]["kind"] == "v" and got["b"]["kind"] == "m" and got["a"]["fields"][0]["key"] == "line"
     assert not tags.valid_tags_file(spark.createDataFrame([(" ",), ("x y",)], "value string").coalesce(1)).first()["valid"]
     assert tags.valid_tags_file(lines.limit(0)).first()["valid"]
+
+
+def test_files_are_read_late_and_in_bounds(spark, tmp_path):
+    from tagloom.operators.resolve import resolved_paths
+    from tagloom.sources.files import ENDS, HEAD, files_table, read_ends
+
+    big = b"#!/usr/bin/env python3\n" + b"x = 1\n" * 40_000 + b"# vim: ft=ruby\n"
+    make(tmp_path, **{"a.py": big, "tool": big, "small": b"#!/bin/sh\n", "h.h": "class A {\n};\n", "none": "text"})
+    (tmp_path / "tool").chmod(0o755)
+    names = ["a.py", "tool", "small", "h.h", "none", "gone"]
+    (tmp_path / "gone").touch()
+    files = files_table(spark, [str(tmp_path / n) for n in names])
+    (tmp_path / "gone").unlink()
+    short = lambda rows: {r["path"].rsplit("/", 1)[1]: r for r in rows.collect()}
+    ends = short(read_ends(files.withColumn("ask", files["path"].rlike("(tool|none|gone)$")), "ask"))
+    assert ends["a.py"]["content"] is None and ends["gone"]["content"] is None
+    tool = bytes(ends["tool"]["content"])
+    assert len(tool) == HEAD + ENDS and tool[:HEAD] == big[:HEAD] and tool[HEAD:] == big[-ENDS:] and bytes(ends["none"]["content"]) == b"text"
+    langs = {n: r["lang"] for n, r in short(resolved_paths(files, build_registry())).items()}
+    assert langs == {"a.py": "python", "tool": "python", "small": None, "h.h": "c++", "none": None, "gone": None}
+    guessed = {n: r["lang"] for n, r in short(resolved_paths(files, build_registry(), guess=True)).items()}
+    assert guessed["small"] == "shell" and guessed["tool"] == "python"
+
+
+def test_ranks(spark):
+    rows = [(n, f"f{i}", "a", k, None) for i, n in enumerate("bcaab" * 9) for k in ("v", None)]
+    frame = spark.createDataFrame(rows, "name string, file_name string, address string, kind string, fields array<struct<key:string,value:string>>")
+    got = tags.ranked(frame, sampled=40).orderBy("rank").collect()
+    want = sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3] is not None, r[3] or ""))
+    assert [r["rank"] for r in got] == list(range(1, 91)) and [tuple(r)[:4] for r in got] == [r[:4] for r in want]
+    assert tags.ranked(frame.limit(0)).count() == 0
+
+
+def test_versions(spark):
+    from pyspark.sql import functions as F
+
+    from tagloom.functions.text import version_status
+
+    # the usual example of such an order
+    order = ["1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-beta", "1.0.0-beta.2", "1.0.0-beta.11", "1.0.0-rc.1", "1.0.0", "1.0.10", "1.2.0"]
+    pairs = spark.createDataFrame([(a, b, i, j) for i, a in enumerate(order) for j, b in enumerate(order)], "a string, b string, i int, j int")
+    for r in pairs.select("i", "j", version_status(F.col("a"), F.col("b")).alias("s")).collect():
+        assert r["s"] == ("update available" if r["i"] < r["j"] else "installed")
