@@ -215,8 +215,7 @@ def _dynamic(argv: list[str]) -> tuple[list[str], dict[str, str], list[Edit]]:
     return rest, kinds, edits
 
 
-def parse_args(argv: list[str]) -> Config:
-    argv, kinds, edits = _dynamic(with_options(argv))
+def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tagloom", allow_abbrev=False)
     p.add_argument("-f", dest="tag_file", default="tags")
     for name in ("--append", "--sort"):
@@ -236,7 +235,39 @@ def parse_args(argv: list[str]) -> Config:
     for name in ("--list-maps", "--list-kinds"):
         p.add_argument(name, nargs="?", const="", default=None)
     p.add_argument("files", nargs="*")
+    return p
+
+
+@dataclass
+class PluginCommand:
+    action: str
+    name: str = ""
+    force: bool = False
+    refresh: bool = False
+    folder: str = ""
+    folders: list[str] = field(default_factory=list)
+    index: str = ""
+
+
+def plugin_args(argv: list[str]) -> PluginCommand:
+    """``plugin <action> [name]``, with its flags in any place."""
+    p = argparse.ArgumentParser(prog="tagloom plugin", allow_abbrev=False)
+    p.add_argument("action", choices=("available", "install", "uninstall", "installed", "update"))
+    p.add_argument("name", nargs="?", default="")
+    for flag in ("--force", "--refresh"):
+        p.add_argument(flag, action="store_true")
+    p.add_argument("--plugins-dir", default=os.path.expanduser("~/.config/tagloom/plugins"))
+    p.add_argument("--plugin-dir", action="append", default=[])
+    p.add_argument("--plugin-index-url", default="")
     a = p.parse_args(argv)
+    if a.action in ("install", "uninstall") and not a.name:
+        p.error(f"{a.action} needs a name")
+    return PluginCommand(a.action, a.name, a.force, a.refresh, a.plugins_dir, a.plugin_dir, a.plugin_index_url)
+
+
+def parse_args(argv: list[str]) -> Config:
+    argv, kinds, edits = _dynamic(with_options(argv))
+    a = parser().parse_args(argv)
     files, flags = [], {}
     for name in ("append", "sort", "recurse"):
         value = to_bool(getattr(a, name))

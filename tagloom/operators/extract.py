@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,7 +15,9 @@ from ..config import Config
 from ..extract import cfamily, go, java, js, kotlin, python, rust, simple, typescript
 from ..extract.base import Options, Source, Tag
 from ..plans.languages import KINDS
+from ..extract.simple import RULES
 from ..schema import EXTRACTED
+from ..sources.plugins import plugin_modules, user_rules
 
 NATIVE = {"python": python.extract, "rust": rust.extract, "go": go.extract, "javascript": js.extract, "typescript": typescript.extract}
 PLUGIN = {"java": java.extract, "kotlin": kotlin.extract, "echo": simple.echo}
@@ -47,10 +50,23 @@ class Job:
     qualified: bool
     file_scope: bool
     plugins: frozenset[str]
+    #: language -> the node types that a user grammar's query file asks for
+    nodes: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    #: language -> the Python text of its plugin's module
+    modules: dict[str, str] = field(default_factory=dict)
 
 
 def job_of(config: Config, plugins: frozenset[str] = frozenset()) -> Job:
-    return Job({lang: config.kinds_for(lang) for lang in KINDS}, config.fields, config.extras.qualified, config.extras.file_scope, plugins)
+    kinds = {lang: config.kinds_for(lang) for lang in KINDS}
+    return Job(kinds, config.fields, config.extras.qualified, config.extras.file_scope, plugins, user_rules(config.user_grammars), plugin_modules(config.plugin_dirs))
+
+
+@lru_cache(maxsize=64)
+def module_extract(text: str):
+    """``extract(source, options) -> tags`` of a plugin's module, which a user installed; compiled once a worker."""
+    names: dict = {"Tag": Tag}
+    exec(compile(text, "<plugin>", "exec"), names)
+    return names["extract"]
 
 
 def tags_of(content: bytes, name: str, lang: str, job: Job) -> Iterator[tuple[Tag, str]]:
@@ -60,6 +76,10 @@ def tags_of(content: bytes, name: str, lang: str, job: Job) -> Iterator[tuple[Ta
     if lang in PLUGIN and lang in job.plugins:
         opt = Options(opt.kinds or frozenset("f"), *(getattr(opt, a) for a in ("fields", "qualified", "file_scope", "file_name")))
         found, style = PLUGIN[lang](src, opt), "plugin"
+    elif lang in job.modules:
+        found, style = module_extract(job.modules[lang])(src, opt), "plugin"
+    elif lang in job.nodes and lang not in RULES:
+        found, style = simple.extract_nodes(src, lang, job.nodes[lang]), "query"
     elif lang in NATIVE:
         found, style = NATIVE[lang](src, opt), "native"
     elif lang in ("c", "c++"):

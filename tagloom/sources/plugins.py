@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import shutil
 import tomllib
 
@@ -101,6 +102,16 @@ def plugin_groups(manifests: DataFrame) -> DataFrame:
     return shown.groupBy("path", "language", "name", "version").agg(F.sort_array(F.collect_list("ext")).alias("extensions")).orderBy("language")
 
 
+def plugin_modules(folders: list[str]) -> dict[str, str]:
+    """language -> Python text of the modules that manifests name (``wasm_file`` ending in ``.py``); the last scanned counts."""
+    out = {}
+    for m in scan_manifests(folders):
+        if m["wasm_file"].endswith(".py"):
+            with open(os.path.join(os.path.dirname(m["path"]), m["wasm_file"]), encoding="utf-8") as f:
+                out[m["language"]] = f.read()
+    return out
+
+
 def plugin_languages(folders: list[str]) -> list[Language]:
     return [Language(m["language"], "plugin", tuple(m["extensions"]), tuple(m["patterns"]), tuple(m["interpreters"]), tuple(m["aliases"]), m["internal"]) for m in reversed(scan_manifests(folders))]
 
@@ -123,6 +134,55 @@ def user_languages(path: str) -> list[Language]:
     return out
 
 
+def user_rules(path: str) -> dict[str, tuple[str, ...]]:
+    """language -> the node types that its query file defines names for."""
+    if not path or not os.path.exists(path):
+        return {}
+    try:
+        with open(path, "rb") as f:
+            rows = tomllib.load(f).get("user_grammars", [])
+    except (OSError, tomllib.TOMLDecodeError):
+        return {}
+    here = os.path.dirname(os.path.abspath(path))
+    files = {r["language_name"]: os.path.join(here, r.get("query_file_path") or "queries.scm") for r in rows}
+    return {name: found for name, file in files.items() if (found := read_rules(name, file))}
+
+
+def read_rules(name: str, file: str) -> tuple[str, ...]:
+    """Node types of the patterns ``(type ... @name ...) @definition.x`` of a query file; what names no known type is warned of."""
+    from ..extract.simple import NODES
+
+    try:
+        with open(file, encoding="utf-8") as f:
+            text = re.sub(r"(?m);.*$", "", f.read())
+    except OSError:
+        return ()
+    out = []
+    for body, kind in top_patterns(text):
+        node = re.match(r"\(\s*(\w+)", body)
+        if kind.startswith("definition") and node and "@name" in body:
+            if (name, node[1]) in NODES:
+                out.append(node[1])
+            else:
+                warn(f"{file}: nothing finds {node[1]} of {name}")
+    return tuple(dict.fromkeys(out))
+
+
+def top_patterns(text: str) -> list[tuple[str, str]]:
+    """The outer lists of a query and the capture that follows each."""
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(text):
+        if c == "(":
+            start = i if depth == 0 else start
+            depth += 1
+        elif c == ")" and depth:
+            depth -= 1
+            if depth == 0:
+                after = re.match(r"\s*@([\w.]+)", text[i + 1 :])
+                out.append((text[start : i + 1], after[1] if after else ""))
+    return out
+
+
 def all_languages(plugin_dirs: list[str], user_file: str) -> list[Language]:
     return [*plugin_languages(plugin_dirs), *BUILT_IN, *user_languages(user_file)]
 
@@ -139,6 +199,24 @@ def available(index: DataFrame, installed: DataFrame) -> DataFrame:
     return index.join(mine, "name", "left").select("name", "version", "installed_version", version_status(F.col("installed_version"), F.col("version")).alias("status")).orderBy("name")
 
 
+def newer(a: F.Column, b: F.Column) -> F.Column:
+    """1 where version a comes after b, 0 where they are equal, -1 where it comes before; null where one is no version."""
+    x, y = version_parts(a), version_parts(b)
+    return F.when(x > y, 1).when(x < y, -1).when(x == y, 0)
+
+
+def status_label(installed: F.Column, available: F.Column) -> F.Column:
+    """How an installed version stands to the one available, as the table of plugins shows it; empty where none is installed."""
+    order, shown = newer(installed, available), F.concat(F.lit("installed ("), installed)
+    return (
+        F.when(installed.isNull(), "")
+        .when(order == -1, F.concat(F.lit("update: "), installed, F.lit(" -> "), available))
+        .when(order == 1, F.concat(shown, F.lit(", newer)")))
+        .when(order == 0, "installed")
+        .otherwise(F.concat(shown, F.lit(")")))
+    )
+
+
 def updates(index: DataFrame, installed: DataFrame) -> DataFrame:
     mine = installed.select("name", F.col("version").alias("installed_version"))
     return index.join(mine, "name").filter(version_parts(F.col("installed_version")) < version_parts(F.col("version"))).select("name", "installed_version", "version")
