@@ -88,6 +88,12 @@ def _gleam_constructors(text: str) -> Iterator[tuple[str, int]]:
             k += 1
 
 
+def _swallowed(text: str, at: int) -> bool:
+    """Whether what begins here belongs to a declaration before it that closes its list and never ends."""
+    before = text[:at].rstrip()
+    return before.endswith(")") and re.search(r"\b(?:record|class|struct)\b[^;{}]*$", before) is not None
+
+
 MORE = {"c#": (_enum_members, _cs_fields), "scala": (_scala_parameters,), "gleam": (_gleam_constructors,)}
 
 
@@ -98,7 +104,7 @@ def extract(src: Source, opt: Options, lang: str) -> list[Tag]:
     found: dict[tuple[int, str], None] = {}
     for rule in RULES.get(lang, ()):
         for m in re.finditer(rule, text):
-            if m[1]:
+            if m[1] and not (lang == "c#" and _swallowed(text, m.start())):
                 found[(m.start(1), m[1])] = None
     for more in MORE.get(lang, ()):
         for name, at in more(text):

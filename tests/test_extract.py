@@ -170,3 +170,11 @@ def test_modelines():
 def test_hash():
     assert djb2("source.c") == "16f8bb47" and djb2("source.js") == "f6102581"
     assert Options().scope and Source("a\nb").row(2) == 1
+
+
+def test_a_record_that_never_ends_takes_the_next_declaration():
+    from tagloom.config import Config
+    from tagloom.operators.extract import job_of, tags_of
+
+    body = b"class A {\n  public record Broken(int a)\n  public void Lost() {}\n  public void Kept() {}\n  [Marked(1)]\n  public void Also() {}\n}\n"
+    assert [t.name for t, _ in tags_of(body, "a.cs", "c#", job_of(Config()))] == ["A", "Broken", "Kept", "Also"]
