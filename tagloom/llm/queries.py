@@ -11,6 +11,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of ``documents``; null and wordless texts have no shingles and are their own component."""
     from .ngramjoin import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -21,6 +22,7 @@ def _rest(column: str, modulus: int):
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of ``documents``; null texts and those without a letter are ``und``, null ids are neither held out nor learned from."""
     from . import langid
 
     docs = _table(spark, sf_dir, "documents")
@@ -31,12 +33,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of ``documents``; a null text is its end alone, null ids are neither held out nor learned from."""
     from .lmscore import score_texts
 
     return score_texts(_table(spark, sf_dir, "documents"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece of each row of ``documents``; a null text is its closing id alone."""
     import public_tokenizers
 
     from . import packing
@@ -57,6 +61,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each conversation, null ids being one; null texts and roles count as empty."""
     from . import chat
 
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -94,12 +99,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and item that align; null and empty texts match nothing."""
     from .decontam import matches
 
     return matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of ``documents``; a null text has no words, a null id counts as the greatest."""
     from .substr import repeats
 
     return repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

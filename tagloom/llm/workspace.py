@@ -2,31 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import importable
-
-_local: dict[int, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a folder of our own only where that is unset and all runs on this machine."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    key = id(spark.sparkContext)
-    if key not in _local:
-        _local[key] = tempfile.mkdtemp(prefix="tagloom-")
-        atexit.register(shutil.rmtree, _local[key], ignore_errors=True)
-    return f"file://{_local[key]}"
-
+from ..session import importable, shared_dir
 
 def free_name(taken: list[str], name: str) -> str:
     """``name``, lengthened until no column is called so."""
