@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
-CACHE = 200_000
+CACHE = 250_000
 CHUNK_BYTES = 2 << 20
 #: Rows of (task, length, count) that are broadcast; a larger table is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -67,7 +67,8 @@ class WordTokens:
 
     def _letters(self, core: str) -> bytes:
         raw = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
+        found = self.model.tokenize(raw)
+        return found[0].id.to_bytes(4, "little") if len(found) == 1 else array("I", [t.id for t in found]).tobytes()
 
     def _piece(self, text: str, latin: bool) -> bytes:
         ids = self.young.get(text)
@@ -80,6 +81,9 @@ class WordTokens:
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
+        if text.isalpha() and text.isascii():
+            low = text.lower()
+            return self.young.get(low) or self._piece(low, True)
         core = text.rstrip(MARKS)
         # up to U+017F letters have one lower case each and no loose combining forms, but for the dotted I
         if not core.isalpha() or not core.isascii() and (max(core) > "\u017f" or "\u0130" in core or "\u0149" in core):
