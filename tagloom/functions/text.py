@@ -202,3 +202,13 @@ def version_status(installed: Column, available: Column) -> Column:
 
 def asset_url(base: Column, *parts: Column) -> Column:
     return F.concat_ws("/", F.rtrim(F.regexp_replace(base, "/+$", "")), *parts)
+
+
+def markdown_cell(text: Column) -> Column:
+    """Text for a cell of a Markdown table, where a bar would end it."""
+    return F.replace(text, F.lit("|"), F.lit("\\|"))
+
+
+def json_escaped(text: Column) -> Column:
+    """Text for between the quotes of a JSON string: backslashes and quotes are marked."""
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))

@@ -19,7 +19,7 @@ from .operators.extract import errors_only, extract_tags, job_of, tags_only
 from .plans.generate import tags_of_files
 from .plans.languages import BUILT_IN, ECHO, GLEAM, KINDS, PLUGINS, Edit, build_registry, first_tier_wins, kinds_of, kinds_table
 from .session import written
-from .sources import plugins
+from .sources import plugin_store, plugins
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -270,6 +270,27 @@ def plugins_to_update(spark, sf_dir):
     return plugins.updates(_index(spark, sf_dir), _installed(spark, sf_dir))
 
 
+@query("SELECT count(*) AS updated FROM supplier WHERE s_suppkey % 6 = 0")
+def updates_counted(spark, sf_dir):
+    """How many plugins an update would replace."""
+    return plugins.updates(_index(spark, sf_dir), _installed(spark, sf_dir)).agg(F.count("*").alias("updated"))
+
+
+@query("SELECT CAST(greatest(4, max(length(p_name))) AS INTEGER) AS p_name, CAST(greatest(25, max(length(CAST(p_partkey AS VARCHAR)))) AS INTEGER) AS p_partkey FROM part")
+def table_widths(spark, sf_dir):
+    """Widths of the columns of a printed table."""
+    return plugin_store.widths(table(spark, sf_dir, "part").select("p_name", "p_partkey"), ["NAME", "A HEADER LONGER THAN KEYS"])
+
+
+@query("""SELECT p_partkey, 'a\\|' || replace(p_name, ' ', '\\|') AS cell, '\\"' || replace(p_name, ' ', '\\\\') || '\\"' AS text FROM part""")
+def escaped_texts(spark, sf_dir):
+    """Texts for Markdown cells and JSON strings."""
+    p = table(spark, sf_dir, "part")
+    bars = F.concat(F.lit("a|"), F.replace("p_name", F.lit(" "), F.lit("|")))
+    marks = F.concat(F.lit('"'), F.replace("p_name", F.lit(" "), F.lit("\\")), F.lit('"'))
+    return p.select("p_partkey", fx.markdown_cell(bars).alias("cell"), fx.json_escaped(marks).alias("text"))
+
+
 def _suggested(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     found = table(spark, sf_dir, "nation").select(F.concat(F.lit("e"), F.col("n_nationkey").cast("string")).alias("ext")).union(spark.createDataFrame([("HTML",), ("zzz",), ("e1",)], "ext string"))
     return plugins.suggest(_index(spark, sf_dir).drop("s_suppkey"), _installed(spark, sf_dir), found, spark.createDataFrame([("html",), ("e4",)], "ext string"))

@@ -71,15 +71,15 @@ def cached_index(base: str, refresh: bool = False, folder: str | None = None) ->
     return path
 
 
-def widths(rows: DataFrame, headers: list[str]) -> list[int]:
-    """Width of each column: its longest cell or its header."""
-    longest = rows.agg(*(F.max(F.length(F.col(c).cast("string"))).alias(c) for c in rows.columns)).first()
-    return [max(len(h), n or 0) for h, n in zip(headers, longest)]
+def widths(rows: DataFrame, headers: list[str]) -> DataFrame:
+    """One row: the width of each column, its longest cell or its header; nulls are empty, and no rows leave the headers."""
+    longest = {c: F.coalesce(F.max(F.length(F.col(c).cast("string"))), F.lit(0)) for c in rows.columns}
+    return rows.agg(*(F.greatest(F.lit(len(h)), n).alias(c) for h, (c, n) in zip(headers, longest.items())))
 
 
 def table_lines(rows: DataFrame, headers: list[str]) -> list[str]:
     """A table as lines, four blanks between columns; the last column is not filled up."""
-    size = widths(rows, headers)
+    size = widths(rows, headers).first()
     cells = [headers, *([v or "" for v in r] for r in rows.collect())]  # an index's plugins
     return ["    ".join([*(c.ljust(n) for c, n in zip(row[:-1], size)), row[-1]]).rstrip() for row in cells]
 
