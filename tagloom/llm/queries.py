@@ -121,6 +121,18 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), exact)
 
 
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of ``documents``, told apart by file and place there; null texts have no words, a null source is the last."""
+    from .mixing import cycled, mix
+    from .workspace import Workspace
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    made = mix(docs, cycled([1, 2, 3]), ["file", "row"], Workspace(spark, "mixing"))
+    taken = made.spans.groupBy("k0", "k1").agg(F.sum("length").alias("taken"))
+    found = made.documents.join(taken, ["k0", "k1"], "left")
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
 WORDS_SQL = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 FOLD_SQL = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -199,6 +211,7 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_source_mixing": op12_source_mixing,
 }
 SQL = {
     "op4_ngram_jaccard_join": OP4_SQL,
