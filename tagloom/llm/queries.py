@@ -133,6 +133,16 @@ def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each word of six letters and five occurrences in ``documents``; null texts have none, a null id is hashed as an empty one."""
+    from .spelling import variants, word_counts
+    from .workspace import Workspace
+
+    space = Workspace(spark, "spelling")
+    words = space.write(word_counts(_table(spark, sf_dir, "documents"), drop=199), "words")
+    return variants(words, space).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 WORDS_SQL = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 FOLD_SQL = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -212,6 +222,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_source_mixing": op12_source_mixing,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 SQL = {
     "op4_ngram_jaccard_join": OP4_SQL,
