@@ -112,23 +112,6 @@ def extract(src: Source, opt: Options, lang: str) -> list[Tag]:
     return [Tag(name, src.row(at)) for at, name in sorted(found)]
 
 
-#: What user grammars' query files can ask for: node types of a language, by the names that rules find.
-NODES = {
-    ("kotlin", "function_declaration"): r"\bfun\s+(?:<[^>\n]*>\s*)?(?:[\w<>?, ]+\.)?(\w+)\s*\(",
-    ("kotlin", "class_declaration"): r"\b(?:class|interface)\s+(\w+)",
-    ("kotlin", "object_declaration"): r"\bobject\s+(\w+)",
-    ("kotlin", "type_alias"): r"\btypealias\s+(\w+)",
-    ("kotlin", "property_declaration"): r"\b(?:val|var)\s+(\w+)",
-}
-
-
-def extract_nodes(src: Source, lang: str, nodes: tuple[str, ...]) -> list[Tag]:
-    """Names of some node types in order of place; comments and strings are left aside."""
-    text = _strings(lang, re.sub(COMMENTS.get(lang, C_COMMENT), _blank, src.text))
-    found = {(m.start(1), m[1]) for node in nodes for m in re.finditer(NODES[lang, node], text)}
-    return [Tag(name, src.row(at)) for at, name in sorted(found)]
-
-
 def echo(src: Source, opt: Options) -> list[Tag]:
     """The test language: one tag of a fixed name on the first line."""
     return [Tag("echo_tag", 0, "f")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import pandas as pd
@@ -15,9 +15,11 @@ from ..config import Config
 from ..extract import cfamily, go, java, js, kotlin, python, rust, simple, typescript
 from ..extract.base import Options, Source, Tag
 from ..plans.languages import KINDS
-from ..extract.simple import RULES
 from ..schema import EXTRACTED
-from ..sources.plugins import plugin_modules, user_rules
+from ..plans.patterns import parse_patterns
+from ..session import written
+from ..sources.plugins import plugin_modules, user_queries
+from .match import definitions, node_table
 
 NATIVE = {"python": python.extract, "rust": rust.extract, "go": go.extract, "javascript": js.extract, "typescript": typescript.extract}
 PLUGIN = {"java": java.extract, "kotlin": kotlin.extract, "echo": simple.echo}
@@ -50,15 +52,15 @@ class Job:
     qualified: bool
     file_scope: bool
     plugins: frozenset[str]
-    #: language -> the node types that a user grammar's query file asks for
-    nodes: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    #: language -> the text of a user grammar's query file
+    queries: dict[str, str] = field(default_factory=dict)
     #: language -> the Python text of its plugin's module
     modules: dict[str, str] = field(default_factory=dict)
 
 
 def job_of(config: Config, plugins: frozenset[str] = frozenset()) -> Job:
     kinds = {lang: config.kinds_for(lang) for lang in KINDS}
-    return Job(kinds, config.fields, config.extras.qualified, config.extras.file_scope, plugins, user_rules(config.user_grammars), plugin_modules(config.plugin_dirs))
+    return Job(kinds, config.fields, config.extras.qualified, config.extras.file_scope, plugins, user_queries(config.user_grammars), plugin_modules(config.plugin_dirs))
 
 
 @lru_cache(maxsize=64)
@@ -78,8 +80,6 @@ def tags_of(content: bytes, name: str, lang: str, job: Job) -> Iterator[tuple[Ta
         found, style = PLUGIN[lang](src, opt), "plugin"
     elif lang in job.modules:
         found, style = module_extract(job.modules[lang])(src, opt), "plugin"
-    elif lang in job.nodes and lang not in RULES:
-        found, style = simple.extract_nodes(src, lang, job.nodes[lang]), "query"
     elif lang in NATIVE:
         found, style = NATIVE[lang](src, opt), "native"
     elif lang in ("c", "c++"):
@@ -90,12 +90,34 @@ def tags_of(content: bytes, name: str, lang: str, job: Job) -> Iterator[tuple[Ta
         yield tag, address(src.lines, tag.row, style)
 
 
+def queried(job: Job) -> list[str]:
+    """Languages whose definitions a user's query file names: those that neither a plugin nor an extractor of our own takes first."""
+    return [lang for lang in job.queries if not (lang in job.modules or lang in NATIVE or lang in ("c", "c++") or lang in PLUGIN and lang in job.plugins)]
+
+
+def query_tags(files: DataFrame, job: Job, langs: list[str], name: str) -> DataFrame:
+    """Tags of files whose languages have user queries: patterns joined with the table of nodes, all files at once."""
+    files = files.filter(F.col("lang").isin(*langs))
+    if "content" not in files.columns:
+        files = written(files, "queried")  # paths; resolution is not run once more
+    nodes = written(node_table(files), "nodes")
+    names = files.select(F.col("file_ord").cast("long").alias("file"), F.col(name).alias("file_name"), "lang")
+    out = names.join(nodes.filter("id < 0"), "file").select(F.col("file").alias("file_ord"), F.lit(-1).cast("long").alias("tag_ord"), F.lit(None).cast("string").alias("name"), "file_name", F.lit(None).cast("string").alias("address"), F.col("text").alias("error"))
+    for lang in langs:
+        found = names.filter(F.col("lang") == lang).join(definitions(nodes.filter(F.col("lang") == lang), parse_patterns(job.queries[lang])), "file")
+        out = out.unionByName(found.select(F.col("file").alias("file_ord"), F.col("id").cast("long").alias("tag_ord"), "name", "file_name", "address", F.lit(None).cast("string").alias("error")))
+    return out.withColumns({"kind": F.lit(None).cast("string"), "fields": F.lit(None).cast(EXTRACTED["fields"].dataType)}).select(*(f.name for f in EXTRACTED.fields))
+
+
 def extract_tags(files: DataFrame, job: Job, name: str = "rel_path", content: str | None = "content") -> DataFrame:
     """Tags (with file_ord, tag_ord, error) of resolved files: columns ``name``, lang, file_ord and content, or path to read.
 
     Files without a language give nothing. What cannot be read or is not UTF-8 gives one row
     with ``error`` and no tag; the run goes on. Content travels no further than this task.
     """
+    if langs := queried(job):
+        others = extract_tags(files.filter(~F.coalesce(F.col("lang").isin(*langs), F.lit(False))), replace(job, queries={}), name, content)
+        return others.unionByName(query_tags(files.withColumnRenamed(content, "content") if content else files, job, langs, name))
     body = F.col(content).cast("binary") if content else F.lit(None).cast("binary")
     path = F.col("path") if "path" in files.columns else F.lit(None).cast("string")
     rows = files.filter("lang is not null").select(F.col("file_ord").cast("long"), F.col(name).alias("name"), path.alias("path"), "lang", body.alias("content"))

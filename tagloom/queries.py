@@ -15,8 +15,10 @@ from .config import Config
 from .functions import modeline
 from .functions import text as fx
 from .operators import listing, resolve, tags
+from .operators.match import definitions, match, node_table
 from .operators.extract import errors_only, extract_tags, job_of, tags_only
 from .plans.generate import tags_of_files
+from .plans.patterns import parse_patterns
 from .plans.languages import BUILT_IN, ECHO, GLEAM, KINDS, PLUGINS, Edit, build_registry, first_tier_wins, kinds_of, kinds_table
 from .session import written
 from .sources import plugin_store, plugins
@@ -515,3 +517,88 @@ def unreadable_files(spark, sf_dir):
     files = source_files(spark, sf_dir, ["python"])
     broken = files.withColumn("content", F.when(F.col("file_ord") % 3 == 0, F.unhex(F.lit("FF00FE"))).otherwise(F.col("content"))).withColumn("lang", F.lit("python"))
     return errors_only(extract_tags(broken, job_of(Config()))).select("file_name")
+
+
+# --- user queries ---------------------------------------------------------------------
+
+# language -> source and patterns, each with its captures as (match, capture, text); {odd:x} is x for odd keys only
+TREES: dict[str, tuple[str, list[tuple[str, list[str]]]]] = {
+    "kotlin": (
+        "class {a}(val {b}: Int) {\n  fun get{k}(x: Int) = {b}\n  val y = \"{a}\"\n}\nfun {a}() { fun in{k}() { } }\n",
+        [
+            ("(function_declaration (simple_identifier) @name) @definition.function", ["get{k}", "{a}", "in{k}"]),
+            ("(class_declaration body: (class_body (function_declaration name: (_) @method)))", ["get{k}"]),
+            ('((function_declaration name: (_) @f) (#match? @f "^in[0-9]*[13579]$"))', ["odd:in{k}"]),
+            ("[(property_declaration name: (_) @p) (string_literal) @p]", ["{b}", "y", '"{a}"']),
+        ],
+    ),
+    "go": (
+        "func (r *{a}) Do{k}(n int) error {\n}\nfunc {b}(m int) { }\ntype {a} struct {\n}\n",
+        [
+            ("(method_declaration name: (field_identifier) @name) @definition.method", ["Do{k}"]),
+            ("[(method_declaration name: (_) @any) (type_declaration name: (_) @any)]", ["Do{k}", "{a}"]),
+            ("(_ parameters: (parameter_list . (identifier) @first))", ["n", "m"]),
+        ],
+    ),
+    "python": (
+        "class C{k}(Base):\n    def {a}_{k}(self):\n        return {b}\n\n    x = {k}\n\n\ndef {b}(y): pass\n",
+        [
+            ("(class_definition body: (block (function_definition name: (identifier) @method)))", ["{a}_{k}"]),
+            ("(_ parameters: (parameters (identifier) @last .))", ["Base", "self", "y"]),
+            ('(source (function_definition name: (_) @top))', ["{b}"]),
+        ],
+    ),
+    "rust": (
+        "pub fn {a}(x: u8) -> u8 { {k} }\nimpl T{k} { fn {b}(&self) {} }\nstruct S{k};\n",
+        [
+            ("(impl_item name: (_) @owner body: (declaration_list (function_item name: (_) @method)))", ["T{k}", "{b}"]),
+            ("(_ name: (_) @name !body)", ["S{k}"]),
+            ("(function_item body: (block (integer_literal) @n))", ["{k}"]),
+        ],
+    ),
+    "java": (
+        "class {a} {\n  int get{k}(int n) { if (n > 0) { return {b}(n); } }\n}\n",
+        [
+            ("(class_declaration name: (_) @c body: (class_body (method_declaration name: (_) @m)))", ["{a}", "get{k}"]),
+            ('((method_declaration name: (_) @m) (#any-of? @m "get1" "get3" "get5"))', ["few:get{k}"]),
+        ],
+    ),
+}
+
+
+def _tree_rows() -> str:
+    """SQL of (lang, pattern, text) for each part; the marks say which keys a row holds for."""
+    rows = [(lang, number, text) for lang, (_, patterns) in TREES.items() for number, (_, found) in enumerate(patterns) for text in found]
+    values = ", ".join(f"({quoted(lang)}, {number}, {quoted(text.split(':', 1)[-1])}, {quoted(text.split(':', 1)[0] if ':' in text else '')})" for lang, number, text in rows)
+    text = "t.text"
+    for mark, sql in (("{k}", "CAST(p_partkey AS VARCHAR)"), ("{a}", "split_part(p_name, ' ', 1)"), ("{b}", "split_part(p_name, ' ', 2)")):
+        text = f"replace({text}, '{mark}', {sql})"
+    held = "t.held = '' OR t.held = 'odd' AND p_partkey % 2 = 1 OR t.held = 'few' AND p_partkey IN (1, 3, 5)"
+    return f"SELECT p_partkey, lang, CAST(pattern AS INTEGER) AS pattern, {text} AS text FROM part CROSS JOIN (VALUES {values}) t(lang, pattern, text, held) WHERE {held}"
+
+
+def _tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    langs = list(TREES)
+    made = F.array(*(F.struct(F.lit(lang).alias("lang"), _fill(TREES[lang][0]).cast("binary").alias("content"), F.lit(i).alias("i")) for i, lang in enumerate(langs)))
+    files = table(spark, sf_dir, "part").select("p_partkey", F.explode(made).alias("f"))
+    return written(node_table(files.select((F.col("p_partkey") * len(langs) + F.col("f.i")).alias("file_ord"), "f.lang", "f.content")), "nodes")
+
+
+@query(_tree_rows())
+def tree_patterns(spark, sf_dir):
+    """Patterns of user queries over a source of each of five languages for each part: what every capture but the definition's own names."""
+    nodes, out = _tree_nodes(spark, sf_dir), None
+    for lang, (_, patterns) in TREES.items():
+        found = match(nodes.filter(F.col("lang") == lang), parse_patterns(" ".join(p for p, _ in patterns)))
+        named = found.select((F.col("file") / len(TREES)).cast("long").alias("p_partkey"), F.lit(lang).alias("lang"), "pattern", F.explode("captures").alias("c")).filter("c.name not like 'definition%'")
+        named = named.select("p_partkey", "lang", "pattern", "c.text")
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
+@query("SELECT p_partkey, unnest(['get' || p_partkey, split_part(p_name, ' ', 1), 'in' || p_partkey]) AS name, unnest([1, 4, 4]) AS row FROM part")
+def tree_definitions(spark, sf_dir):
+    """What a query file defines, references left out, and on which row."""
+    patterns = parse_patterns("(function_declaration (simple_identifier) @name) @definition.function (property_declaration name: (_) @name) @reference.property")
+    nodes = _tree_nodes(spark, sf_dir)
+    return definitions(nodes.filter("lang = 'kotlin'"), patterns).select((F.col("file") / len(TREES)).cast("long").alias("p_partkey"), "name", "row")

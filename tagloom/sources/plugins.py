@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import shutil
 import tomllib
 
@@ -12,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..extract.tree import DECLARATIONS, known_types
 from ..config import warn
 from ..functions.text import version_parts, version_status
 from ..plans.languages import BUILT_IN, GLEAM, Language
+from ..plans.patterns import captures_of, parse_patterns
 
 ABI = 3
 _names = T.ArrayType(T.StringType())
@@ -134,8 +135,8 @@ def user_languages(path: str) -> list[Language]:
     return out
 
 
-def user_rules(path: str) -> dict[str, tuple[str, ...]]:
-    """language -> the node types that its query file defines names for."""
+def user_queries(path: str) -> dict[str, str]:
+    """language -> text of its query file, where that names definitions; what cannot be read or taken gives a warning and none."""
     if not path or not os.path.exists(path):
         return {}
     try:
@@ -143,43 +144,27 @@ def user_rules(path: str) -> dict[str, tuple[str, ...]]:
             rows = tomllib.load(f).get("user_grammars", [])
     except (OSError, tomllib.TOMLDecodeError):
         return {}
-    here = os.path.dirname(os.path.abspath(path))
-    files = {r["language_name"]: os.path.join(here, r.get("query_file_path") or "queries.scm") for r in rows}
-    return {name: found for name, file in files.items() if (found := read_rules(name, file))}
-
-
-def read_rules(name: str, file: str) -> tuple[str, ...]:
-    """Node types of the patterns ``(type ... @name ...) @definition.x`` of a query file; what names no known type is warned of."""
-    from ..extract.simple import NODES
-
-    try:
-        with open(file, encoding="utf-8") as f:
-            text = re.sub(r"(?m);.*$", "", f.read())
-    except OSError:
-        return ()
-    out = []
-    for body, kind in top_patterns(text):
-        node = re.match(r"\(\s*(\w+)", body)
-        if kind.startswith("definition") and node and "@name" in body:
-            if (name, node[1]) in NODES:
-                out.append(node[1])
-            else:
-                warn(f"{file}: nothing finds {node[1]} of {name}")
-    return tuple(dict.fromkeys(out))
-
-
-def top_patterns(text: str) -> list[tuple[str, str]]:
-    """The outer lists of a query and the capture that follows each."""
-    out, depth, start = [], 0, 0
-    for i, c in enumerate(text):
-        if c == "(":
-            start = i if depth == 0 else start
-            depth += 1
-        elif c == ")" and depth:
-            depth -= 1
-            if depth == 0:
-                after = re.match(r"\s*@([\w.]+)", text[i + 1 :])
-                out.append((text[start : i + 1], after[1] if after else ""))
+    here, out = os.path.dirname(os.path.abspath(path)), {}
+    for r in rows:
+        name, file = r["language_name"], os.path.join(here, r.get("query_file_path") or "queries.scm")
+        if not os.path.exists(file):
+            if r.get("query_file_path"):
+                warn(f"{file}: no such query file")
+            continue
+        try:
+            with open(file, encoding="utf-8") as f:
+                text = f.read()
+            patterns = parse_patterns(text)
+        except (OSError, ValueError) as e:
+            warn(f"{file}: {e}")
+            continue
+        if name not in DECLARATIONS:
+            warn(f"{file}: there are no trees of {name}")
+        elif patterns:
+            for p in patterns:
+                if p.type and not p.token and p.type not in known_types(name) and any(c.startswith("definition") for c in captures_of(p)):
+                    warn(f"{file}: nothing finds {p.type} of {name}")
+            out[name] = text
     return out
 
 

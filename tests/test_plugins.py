@@ -9,7 +9,7 @@ import pytest
 
 from tagloom import cli
 from tagloom.config import Config, parse_args
-from tagloom.operators.extract import job_of, tags_of
+from tagloom.operators.extract import extract_tags, job_of
 from tagloom.plans.generate import generate
 from tagloom.sources import plugin_store, plugins
 
@@ -77,15 +77,29 @@ def test_a_module_of_a_plugin_extracts(spark, tmp_path, monkeypatch):
     assert [line.split("\t")[0] for line in (tmp_path / "tags").read_text().split("\n")[1:3]] == ["one", "two"]
 
 
-def test_query_files_of_user_grammars(tmp_path, capsys):
+def test_query_files_of_user_grammars(spark, tmp_path, capsys):
     (tmp_path / "g.toml").write_text('[[user_grammars]]\nlanguage_name = "kotlin"\nextensions = ["kt"]\nquery_file_path = "q.scm"\n')
     (tmp_path / "q.scm").write_text("; functions\n(function_declaration (simple_identifier) @name) @definition.function\n(unheard_of (x) @name) @definition.y\n(object_declaration (type_identifier) @name) @definition.object\n(call (x) @name) @reference.call\n")
-    assert plugins.user_rules(str(tmp_path / "g.toml")) == {"kotlin": ("function_declaration", "object_declaration")}
-    assert "unheard_of" in capsys.readouterr().err
     job = job_of(Config(user_grammars=str(tmp_path / "g.toml")))
+    assert list(job.queries) == ["kotlin"] and "unheard_of" in capsys.readouterr().err
     text = b'fun <T> first(a: T) = a // fun no()\nobject Only {\n  fun String.more(): Int { val n = 1 }\n}\nval s = "fun nor()"\n'
-    assert [(t.name, t.kind, a) for t, a in tags_of(text, "a.kt", "kotlin", job)] == [("first", None, '/^fun <T> first(a: T) = a \\/\\/ fun no()$/;"\t'), ("Only", None, '/^object Only {$/;"\t'), ("more", None, '/^  fun String.more(): Int { val n = 1 }$/;"\t')]
-    assert plugins.user_rules("") == {} and plugins.user_rules(str(tmp_path / "none.toml")) == {}
+    files = spark.createDataFrame([(0, "a.kt", "kotlin", text), (1, "b.kt", "kotlin", b"fun \xff"), (2, "c.py", "python", b"def f(): pass\n"), (3, "d", None, b"")], "file_ord long, rel_path string, lang string, content binary")
+    rows = sorted((r["file_ord"], r["tag_ord"], r["name"], r["kind"], r["address"], r["error"]) for r in extract_tags(files, job).collect())
+    assert [r[2:5] for r in rows if r[0] == 0] == [("first", None, '/^fun <T> first(a: T) = a \\/\\/ fun no()$/;"\t'), ("Only", None, '/^object Only {$/;"\t'), ("more", None, '/^  fun String.more(): Int { val n = 1 }$/;"\t')]
+    assert [r[2] for r in rows if r[0] == 2] == ["f"] and [(r[0], r[5].split(":")[0]) for r in rows if r[5]] == [(1, "UnicodeDecodeError")]
+    assert plugins.user_queries("") == {} and plugins.user_queries(str(tmp_path / "none.toml")) == {}
+    (tmp_path / "q.scm").write_text("(function_declaration (simple_identifier) @name")
+    assert plugins.user_queries(str(tmp_path / "g.toml")) == {} and "ends inside" in capsys.readouterr().err
+
+
+def test_a_run_with_user_queries(spark, tmp_path, monkeypatch):
+    (tmp_path / "g.toml").write_text('[[user_grammars]]\nlanguage_name = "kotlin"\nextensions = ["kt"]\nquery_file_path = "q.scm"\n')
+    (tmp_path / "q.scm").write_text('((function_declaration name: (_) @name) @definition.function (#not-match? @name "^_"))')
+    (tmp_path / "a.kt").write_text("fun b() {}\nclass A {\n  fun a() = 1\n  fun _c() = 2\n}\n")
+    (tmp_path / "b.py").write_text("x = 1\n")
+    monkeypatch.chdir(tmp_path)
+    assert generate(spark, parse_args(["-f", "tags", "--user-languages-config", "g.toml", "a.kt", "b.py"]), str(tmp_path)) == 0
+    assert [line.split("\t")[0] for line in (tmp_path / "tags").read_text().split("\n")[1:4]] == ["a", "b", "x"]
 
 
 def test_completions(capsys):
