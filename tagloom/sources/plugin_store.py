@@ -98,20 +98,56 @@ def installed(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(list(found.values()), "name string, version string, folder string")
 
 
+def plain_name(name: str) -> str:
+    """``name`` if it is one component of a path and stays below the folder it is joined to."""
+    if not name or name in (".", "..") or name.startswith(".") or any(c in name for c in "/\\\0:"):
+        raise ValueError(f"{name!r} is no plain name")
+    return name
+
+
 def place(entry: dict, folder: str) -> str:
-    """Fetch a plugin's module and manifest and put them into ``folder/<name>`` together, in one step, once the checksum is right."""
+    """Fetch a plugin's module and manifest and put them into ``folder/<name>`` together, once checksum, name and ABI are right.
+
+    What was there is renamed away first and goes last; if the new folder cannot take its
+    place, it comes back.
+    """
+    name = plain_name(entry["name"])
     module = fetch(entry["wasm_url"])
     if hashlib.sha256(module).hexdigest() != (entry["wasm_sha256"] or "").lower():
-        raise ValueError(f"{entry['name']}: checksum differs")
+        raise ValueError(f"{name}: checksum differs")
     manifest = fetch(entry["manifest_url"])
-    name = tomllib.loads(manifest.decode()).get("wasm_file", "plugin.wasm")
+    said = tomllib.loads(manifest.decode())
+    if said.get("name") != name:
+        raise ValueError(f"{name}: its manifest is that of {said.get('name')!r}")
+    if said.get("abi_version") != plugins.ABI:
+        raise ValueError(f"{name}: its manifest is for ABI {said.get('abi_version')!r}, not {plugins.ABI}")
+    file_name = plain_name(said.get("wasm_file", "plugin.wasm"))
+    if file_name == "plugin.toml":
+        raise ValueError(f"{name}: its module would take the manifest's place")
     os.makedirs(folder, exist_ok=True)
-    draft, target = tempfile.mkdtemp(prefix=".new-", dir=folder), os.path.join(folder, entry["name"])
-    for file, body in ((os.path.basename(name), module), ("plugin.toml", manifest)):
-        with open(os.path.join(draft, file), "wb") as out:
-            out.write(body)
-    shutil.rmtree(target, ignore_errors=True)
-    os.replace(draft, target)
+    target = os.path.join(folder, name)
+    if os.path.islink(target) or os.path.exists(target) and not os.path.exists(os.path.join(target, "plugin.toml")):
+        raise ValueError(f"{target} is no plugin's folder")
+    draft = tempfile.mkdtemp(prefix=".new-", dir=folder)
+    try:
+        for file, body in ((file_name, module), ("plugin.toml", manifest)):
+            with open(os.path.join(draft, file), "wb") as out:
+                out.write(body)
+        old = tempfile.mkdtemp(prefix=".old-", dir=folder)
+        try:
+            if os.path.exists(target):
+                os.rename(target, os.path.join(old, name))
+            try:
+                os.rename(draft, target)
+            except OSError:
+                if os.path.exists(os.path.join(old, name)):
+                    os.rename(os.path.join(old, name), target)
+                raise
+        finally:
+            shutil.rmtree(old, ignore_errors=True)
+    except BaseException:
+        shutil.rmtree(draft, ignore_errors=True)
+        raise
     return target
 
 

@@ -107,3 +107,33 @@ def test_completions(capsys):
         assert cli.main(["completions", shell]) == 0
         assert "list-kinds" in capsys.readouterr().out
     assert cli.main(["completions", "csh"]) == 1
+
+
+def test_only_a_plugins_own_folder_is_replaced(tmp_path, index):
+    """Names that leave the folder, manifests of another name or ABI and folders of something else are refused, and nothing is touched."""
+    here, victim = tmp_path / "plugins", tmp_path / "victim"
+    victim.mkdir()
+    (victim / "kept").write_text("x")
+    entry = {"name": "q", "version": "1.0.0", "wasm_url": str(tmp_path / "site/q.py"), "manifest_url": str(tmp_path / "site/q.toml"), "wasm_sha256": hashlib.sha256(MODULE.encode()).hexdigest()}
+    for name in ("../victim", str(victim), "..", ".", "", ".q", "a/b", "a\\b", "q\0"):
+        with pytest.raises(ValueError, match="plain name"):
+            plugin_store.place({**entry, "name": name}, str(here))
+    for manifest, why in ((MANIFEST.format("other", "1.0.0"), "manifest is that of"), (MANIFEST.format("q", "1.0.0").replace("abi_version = 3", "abi_version = 4"), "ABI 4"), (MANIFEST.format("q", "1.0.0").replace("abi_version = 3\n", ""), "ABI None"), (MANIFEST.format("q", "1.0.0").replace("plugin.py", "../../victim/kept"), "plain name"), (MANIFEST.format("q", "1.0.0").replace("plugin.py", "plugin.toml"), "place")):
+        (tmp_path / "site/q.toml").write_text(manifest)
+        with pytest.raises(ValueError, match=why):
+            plugin_store.place(entry, str(here))
+    (tmp_path / "site/q.toml").write_text(MANIFEST.format("q", "1.0.0"))
+    with pytest.raises(ValueError, match="checksum"):
+        plugin_store.place({**entry, "wasm_sha256": "0"}, str(here))
+    (here / "q").mkdir(parents=True)
+    (here / "q/mine").write_text("x")
+    with pytest.raises(ValueError, match="no plugin's folder"):
+        plugin_store.place(entry, str(here))
+    (here / "q").rename(here / "moved")
+    (here / "q").symlink_to(victim)
+    with pytest.raises(ValueError, match="no plugin's folder"):
+        plugin_store.place(entry, str(here))
+    (here / "q").unlink()
+    for _ in range(2):
+        assert plugin_store.place(entry, str(here)) == str(here / "q")
+    assert sorted(os.listdir(here)) == ["moved", "q"] and os.listdir(victim) == ["kept"]
