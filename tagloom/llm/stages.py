@@ -23,11 +23,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates, that of least doc_id; rows without an id come after all others."""
+    """Keep one document of each group of near duplicates, that of least doc_id; rows without an id come after all others.
+
+    Rows of one doc_id with equal texts are one document: one of them stays, even if other columns differ.
+    """
     from .ngramjoin import near_duplicates
-    from .workspace import Workspace, free_name
+    from .workspace import Workspace, free_name, quoted
 
-    space, key = Workspace(spark, "stage4"), free_name(docs.columns, "key")
+    space, key, names = Workspace(spark, "stage4"), free_name(docs.columns, "key"), [quoted(c) for c in docs.columns]
     nulls = docs.filter("doc_id is null")
     keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
     if not nulls.isEmpty():
@@ -37,12 +40,12 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     found = space.write(near_duplicates(keyed, id_col=key).select(F.col("doc_id").alias(key), "component_id"), "found")
     others = found.filter(F.col(key) != F.col("component_id")).select(key).distinct()
     kept = keyed.join(others, key, "left_anti")
-    # several rows of one doc_id: of those with equal text one stays
+    # several rows of one doc_id: of those with equal text one stays, whatever their other columns hold
     twice = found.groupBy(key).count().filter("count > 1").select(key)
     if twice.isEmpty():
-        return kept.select(*docs.columns)
+        return kept.select(*names)
     once = kept.join(twice, key, "left_anti")
-    return once.select(*docs.columns).union(kept.join(twice, key, "left_semi").dropDuplicates([key, "text"]).select(*docs.columns))
+    return once.select(*names).union(kept.join(twice, key, "left_semi").dropDuplicates([key, "text"]).select(*names))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +67,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a copy of a test item, edited or not; rows without an id are told apart."""
     from .decontam import matches
-    from .workspace import Workspace, free_name
+    from .workspace import Workspace, free_name, quoted
 
     items, key = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), free_name(docs.columns, "key")
     nulls = docs.filter("doc_id is null")
@@ -73,7 +76,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
         nulls = Workspace(spark, "stage9").write(nulls.withColumn(key, F.monotonically_increasing_id() + F.lit(1 << 62)), "nulls")
         keyed = keyed.filter("doc_id is not null").unionByName(nulls)
     leaks = matches(keyed, items, id_col=key).select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(leaks, key, "left_anti").select(*docs.columns)
+    return keyed.join(leaks, key, "left_anti").select(*map(quoted, docs.columns))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

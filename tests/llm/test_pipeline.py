@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_ops import brute_components, tokenizer
 
 import corpus_pipeline
@@ -99,3 +100,22 @@ def test_language_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     got = queries.op1_language_id(spark, SF).filter("held_out and lang_pred <> 'und'").join(docs, "doc_id").toPandas()
     assert (got.lang_pred == got.lang).mean() >= 0.97 and got.score.between(0, 1).all()
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Names with dots and backticks and names that the operators use themselves change nothing and come through."""
+    rows, item = corpus()
+    plain = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = {"a.b": "x", "key": "k", "key_": "l", "score": "0.5", "`c`": "y", "component_id": "z", "block": "b", "rid": "r", "keep_0": "q", "c0": "c", "count": "n"}
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    wide = plain
+    for name, value in odd.items():
+        wide = wide.withColumn(name, F.lit(value))
+    for name, stage in corpus_pipeline.STAGES:
+        plain, wide = (Workspace(spark, "t").write(stage(spark, frame, str(tmp_path)), name) for frame in (plain, wide))
+        if name != "best_fit_packing":
+            assert wide.columns == [*plain.columns, *odd]
+            kept = [tuple(r) for r in wide.collect()]
+            assert {r[len(plain.columns) :] for r in kept} == {tuple(odd.values())}
+            assert sorted((r[: len(plain.columns)] for r in kept), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    assert wide.count() == plain.count()
