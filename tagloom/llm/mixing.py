@@ -182,7 +182,8 @@ def mix(docs: DataFrame, weigh, key: list[str], space: Workspace, seed: int = 12
     numbers = F.sequence(F.expr("at div words"), F.expr("(at + size - 1) div words"))
     cut = at.select(*keys, "sid", "at", "size", "words", F.explode(numbers).alias("block")).withColumn("from", F.greatest(F.lit(0), F.expr("block * words - at")))
     pieces = cut.select("sid", "block", F.expr("at + from - block * words").alias("place"), *keys, F.col("from").alias("start"), F.expr("least(size, (block + 1) * words - at) - from").alias("length"))
-    spans = drawn.join(pieces, ["sid", "block"]).select("shard", "slot", "sid", "pass", "block", "place", *keys, "start", "length")
+    # merged, as sizes guessed from the sources' few rows would have all slots broadcast
+    spans = drawn.hint("merge").join(pieces, ["sid", "block"]).select("shard", "slot", "sid", "pass", "block", "place", *keys, "start", "length")
     return Mix(placed.select(*keys, "id", "source", "size", "sid", "source_size", "target"), sources, spans)
 
 
