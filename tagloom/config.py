@@ -185,6 +185,8 @@ class Config:
     force: str = ""
     guess: bool = False
     plugin_dirs: list[str] = field(default_factory=list)
+    #: Languages, or names of plugins, whose tags are kept from run to run; ``all`` stands for every one.
+    cached: list[str] = field(default_factory=list)
     user_grammars: str = ""
     index: str = ""
     command: str = ""
@@ -294,6 +296,7 @@ def parse_args(argv: list[str]) -> Config:
         guess=a.guess_language_eagerly,
         plugin_dirs=[d for d in (a.plugins_dir, *a.plugin_dir) if d],
         user_grammars=a.user_languages_config,
+        cached=a.plugin_cache,
         index=a.plugin_index_url,
         command=command,
         argument=argument,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
@@ -63,6 +65,18 @@ def job_of(config: Config, plugins: frozenset[str] = frozenset()) -> Job:
     return Job(kinds, config.fields, config.extras.qualified, config.extras.file_scope, plugins, user_queries(config.user_grammars), plugin_modules(config.plugin_dirs))
 
 
+def described(job: Job) -> str:
+    """All that a job's tags depend on besides the files, the same in every run: options, texts of queries and modules, and this package."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = hashlib.sha256()
+    for folder in ("extract", "operators"):
+        for name in sorted(n for n in os.listdir(os.path.join(here, folder)) if n.endswith(".py")):
+            with open(os.path.join(here, folder, name), "rb") as f:
+                code.update(f.read())
+    plain = {k: sorted(v) if isinstance(v, frozenset) else sorted((a, sorted(b) if isinstance(b, frozenset) else b) for a, b in v.items()) if isinstance(v, dict) else v for k, v in vars(job).items()}
+    return repr((sorted(plain.items()), code.hexdigest()))
+
+
 @lru_cache(maxsize=64)
 def module_extract(text: str):
     """``extract(source, options) -> tags`` of a plugin's module, which a user installed; compiled once a worker."""

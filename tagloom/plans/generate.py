@@ -6,14 +6,17 @@ import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import Config
-from ..operators.extract import errors_only, extract_tags, job_of, tags_only
+from ..operators.extract import described, errors_only, extract_tags, job_of, tags_only
 from ..operators.resolve import resolve, resolved_paths
 from ..operators.tags import append
 from ..session import written
 from ..sources.files import balanced, expand_paths, files_table
-from ..sources.plugins import all_languages
+from ..sources.plugin_store import cache_folder
+from ..sources.plugins import all_languages, scan_manifests
+from ..sources.tag_cache import TagCache
 from ..sources.tagfile import is_tags_file, output_path, read_tags, write_tags
 from .languages import Registry, build_registry
 
@@ -32,6 +35,19 @@ def tags_of_files(files: DataFrame, config: Config, registry: Registry | None =
     return extract_tags(resolved_paths(files, registry, config.guess), job_of(config, plugins), content=None)
 
 
+def cached_tags(files: DataFrame, config: Config, base: str) -> DataFrame:
+    """As ``tags_of_files``, for files on paths; of languages that ``config.cached`` names only files that changed are extracted."""
+    registry = registry_of(config)
+    plugins = frozenset(name for (tier, name), won in registry.won.items() if tier == "plugin" and won)
+    job, spark = job_of(config, plugins), files.sparkSession
+    owners = {m["name"]: m["language"] for m in scan_manifests(config.plugin_dirs)}
+    langs = {owners.get(name, name) for name in config.cached}
+    paths = written(resolved_paths(files, registry, config.guess), "resolved")
+    mine = F.lit(True) if "all" in langs else F.coalesce(F.col("lang").isin(*langs), F.lit(False))
+    cache = TagCache(spark, os.path.join(cache_folder(), "tags"), repr((os.path.abspath(base), described(job))))
+    return cache.extract(paths.filter(mine), lambda some: extract_tags(some, job, content=None)).unionByName(extract_tags(paths.filter(~mine), job, content=None))
+
+
 def generate(spark: SparkSession, config: Config, cwd: str = ".") -> int:
     """Write the tags file of a configuration; the exit code is 1 only if nothing was found and something failed."""
     target = output_path(config.tag_file, cwd)
@@ -49,7 +65,7 @@ def generate(spark: SparkSession, config: Config, cwd: str = ".") -> int:
             old = read_tags(spark, target)
     base = cwd if target == "-" else os.path.dirname(os.path.abspath(target))
     files = balanced(files_table(spark, found.files, base), config.workers)
-    rows = written(tags_of_files(files, config), "tags")
+    rows = written(cached_tags(files, config, base) if config.cached else tags_of_files(files, config), "tags")
     for r in errors_only(rows).toLocalIterator():
         print(f"{r['file_name']}: {r['error']}", file=sys.stderr)
     tags = tags_only(rows)

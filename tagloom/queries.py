@@ -6,6 +6,7 @@ template must give is written beside it and is filled in by SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,9 @@ from .operators.extract import errors_only, extract_tags, job_of, tags_only
 from .plans.generate import tags_of_files
 from .plans.patterns import parse_patterns
 from .plans.languages import BUILT_IN, ECHO, GLEAM, KINDS, PLUGINS, Edit, build_registry, first_tier_wins, kinds_of, kinds_table
-from .session import written
+from .session import shared_dir, written
 from .sources import plugin_store, plugins
+from .sources.tag_cache import TagCache
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -602,3 +604,25 @@ def tree_definitions(spark, sf_dir):
     patterns = parse_patterns("(function_declaration (simple_identifier) @name) @definition.function (property_declaration name: (_) @name) @reference.property")
     nodes = _tree_nodes(spark, sf_dir)
     return definitions(nodes.filter("lang = 'kotlin'"), patterns).select((F.col("file") / len(TREES)).cast("long").alias("p_partkey"), "name", "row")
+
+
+@query("""SELECT name, file_name, address, p_partkey % 100 = 0 OR p_partkey % 1000 = 7 AS fresh FROM (
+  SELECT p_partkey, 'parts/p' || p_partkey || '.lua' AS file_name, unnest(CASE WHEN p_partkey % 100 = 0 THEN ['new', 'f' || p_partkey] ELSE ['f' || p_partkey] END) AS name,
+    unnest(CASE WHEN p_partkey % 100 = 0 THEN ['/^function new() end$/;"' || chr(9), '/^function f' || p_partkey || '(x) end$/;"' || chr(9)] ELSE ['/^function f' || p_partkey || '(x) end$/;"' || chr(9)] END) AS address
+  FROM part WHERE p_partkey % 97 <> 0)""")
+def incremental_refresh(spark, sf_dir):
+    """Tags after a second run over a tree of which one file in a hundred changed, some are new and some are gone; ``fresh`` marks what that run extracted."""
+    part = table(spark, sf_dir, "part")
+    own = F.concat(F.lit("function f"), "p_partkey", F.lit("(x) end\n"))
+    files = part.select(F.col("p_partkey").alias("file_ord"), F.concat(F.lit("parts/p"), "p_partkey", F.lit(".lua")).alias("rel_path"), F.lit("lua").alias("lang"), own.alias("text"))
+    before = files.filter("file_ord % 1000 <> 7").withColumn("content", F.col("text").cast("binary"))
+    changed = F.when(F.col("file_ord") % 100 == 0, F.concat(F.lit("function new() end\n"), "text")).otherwise(F.col("text"))
+    after = files.filter("file_ord % 97 <> 0").withColumn("content", changed.cast("binary"))
+    job = job_of(Config())
+    cache = TagCache(spark, f"{shared_dir(spark)}/tag-cache-{uuid.uuid4().hex}", "incremental_refresh")
+    extract = lambda some: extract_tags(some, job)
+    cache.extract(before, extract)
+    first = cache.generations()
+    rows = cache.extract(after, extract)
+    newest = cache.entries().select(F.col("rel_path").alias("file_name"), (~F.col("rows_gen").isin(*first)).alias("fresh"))
+    return rows.join(newest, "file_name").select("name", "file_name", "address", "fresh")

@@ -22,6 +22,7 @@ FILE = T.StructType(
         T.StructField("file_ord", T.LongType()),
         T.StructField("size", T.LongType()),
         T.StructField("is_exec", T.BooleanType()),
+        T.StructField("stat", T.StringType()),
     ]
 )
 EXTRACTED = T.StructType([T.StructField("file_ord", T.LongType()), T.StructField("tag_ord", T.LongType()), *TAG.fields, T.StructField("error", T.StringType())])

@@ -81,7 +81,7 @@ def files_table(spark: SparkSession, paths: list[str], base: str = ".") -> DataF
     rows = []
     for i, p in enumerate(paths):
         st = os.stat(p)
-        rows.append((os.path.abspath(p), relative(p, base), i, st.st_size, bool(st.st_mode & 0o111)))
+        rows.append((os.path.abspath(p), relative(p, base), i, st.st_size, bool(st.st_mode & 0o111), f"{st.st_size}:{st.st_mtime_ns}:{st.st_ino}"))
     return spark.createDataFrame(rows, FILE)
 
 
