@@ -294,7 +294,7 @@ def parse_args(argv: list[str]) -> Config:
         edits=early + edits,
         force=a.language_force,
         guess=a.guess_language_eagerly,
-        plugin_dirs=[d for d in (a.plugins_dir, *a.plugin_dir) if d],
+        plugin_dirs=[*([f"{a.plugins_dir}/**"] if a.plugins_dir else []), *filter(None, a.plugin_dir)],
         user_grammars=a.user_languages_config,
         cached=a.plugin_cache,
         index=a.plugin_index_url,

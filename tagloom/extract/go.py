@@ -77,7 +77,7 @@ class _Walk:
             elif t == "var" and first:
                 i = self.group(i + 1, end, lambda a, b: self.values(a, b, "v"))
             elif t == "type" and first:
-                i = self.group(i + 1, end, self.type_spec)
+                i = self.types(i + 1, end)
             elif t == "func" and first:
                 i = self.function(i, end)
             elif t == ":=":
@@ -133,6 +133,14 @@ class _Walk:
             self.tag(s.text(n), kind, n, b - 1, typeref=typeref)
         self.walk(min(equal + 1, b), b)
 
+    def types(self, i: int, end: int) -> int:
+        """Types first, then the methods of all interfaces among them, as the last type's: none if that is no interface."""
+        self.methods, self.owner = [], None
+        after = self.group(i, end, self.type_spec)
+        for a, b in self.methods if self.owner else ():
+            self.method_spec(a, b, self.owner)
+        return after
+
     def type_spec(self, a: int, b: int) -> None:
         s, name = self.s, self.s.text(a)
         if s.kind(a) != "id":
@@ -140,19 +148,25 @@ class _Walk:
         k = a + 1
         if s.text(k) == "[" and s.kind(k + 1) == "id" and s.close[k] > k + 2:  # type parameters
             k = s.close[k] + 1
-        k += s.text(k) == "="
+        alias = s.text(k) == "="
+        k += alias
         full = f"{self.package}.{name}" if self.package else name
         if s.text(k) in ("struct", "interface") and s.text(k + 1) == "{":
             what, close = s.text(k), s.close[k + 1]
+            if not alias:
+                self.owner = full if what == "interface" else None
             self.tag(name, "s" if what == "struct" else "i", a, close, at=k)
             i = k + 2
             while i < close:
                 i = self.skip_nl(i)
                 e = min(self.line_end(i, close), close)
-                if i < e:
-                    (self.struct_field if what == "struct" else self.method_spec)(i, e, full)
+                if i < e and what == "struct":
+                    self.struct_field(i, e, full)
+                elif i < e:
+                    self.methods.append((i, e))
                 i = e + 1
         elif k < b:
+            self.owner = self.owner if alias else None
             self.tag(name, "t", a, b - 1, at=k, typeref=s.span(k, b - 1))
 
     def struct_field(self, a: int, b: int, owner: str) -> None:

@@ -124,7 +124,8 @@ def strip_version(name: Column) -> Column:
 
 
 def looks_like_cpp(content: Column) -> Column:
-    head = F.substring(content, 1, CPP_PREFIX)
+    """Whether a mark stands in the first CPP_PREFIX bytes."""
+    head = lossy_text(F.substring(content.cast("binary"), 1, CPP_PREFIX))
     return F.greatest(*(head.contains(m) for m in CPP_MARKS))
 
 

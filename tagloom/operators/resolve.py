@@ -64,10 +64,10 @@ def by_name(name: F.Column, registry: Registry) -> F.Column:
     return F.coalesce(F.try_element_at(table, key), F.try_element_at(table, F.regexp_replace(key, "-mode$", "")))
 
 
-def by_content(cands: F.Column, text: F.Column) -> F.Column:
-    """The first candidate, but C++ for the pair of C and C++ whose text looks like it, else C."""
+def by_content(cands: F.Column, content: F.Column) -> F.Column:
+    """The first candidate, but C++ for the pair of C and C++ whose first bytes look like it, else C."""
     pair = (F.size(cands) == 2) & F.array_contains(cands, "c") & F.array_contains(cands, "c++")
-    return F.when(pair, F.when(fx.looks_like_cpp(text), "c++").otherwise("c")).otherwise(F.try_element_at(cands, F.lit(1)))
+    return F.when(pair, F.when(fx.looks_like_cpp(content), "c++").otherwise("c")).otherwise(F.try_element_at(cands, F.lit(1)))
 
 
 def resolve(files: DataFrame, registry: Registry, guess: bool = False, content: str = "content", path: str = "rel_path") -> DataFrame:
@@ -78,10 +78,9 @@ def resolve(files: DataFrame, registry: Registry, guess: bool = False, content:
     line with ``guess`` only.
     """
     named = candidates(files, registry, path)
-    text = fx.lossy_text(F.col(content))
     unsettled = F.size("cands") == 0
     may_run = F.lit(True) if guess else (F.coalesce(F.col("is_exec"), F.lit(False)) if "is_exec" in files.columns else F.lit(False))
-    lang = F.when(unsettled, F.when(may_run, by_interpreter(fx.lossy_text(F.substring(F.col(content), 1, 256)), registry))).otherwise(by_content(F.col("cands"), text))
+    lang = F.when(unsettled, F.when(may_run, by_interpreter(fx.lossy_text(F.substring(F.col(content), 1, 256)), registry))).otherwise(by_content(F.col("cands"), F.col(content)))
     out = named.withColumn("lang", lang)
     if guess:
         mode = modeline_type(F.when(F.col("lang").isNull(), F.col(content).cast("binary")))

@@ -129,7 +129,10 @@ def shebang(spark, sf_dir):
     return head.select("p_partkey", interp.alias("interp"), fx.strip_version(interp).alias("plain"), resolve.by_interpreter(F.col("head"), build_registry()).alias("lang"))
 
 
-@query("SELECT doc_id, " + " OR ".join(f"contains(left(text, 8192), {quoted(m)})" for m in fx.CPP_MARKS) + " AS cpp FROM documents")
+FIRST_BYTES = "coalesce(" + ", ".join(f"try(decode(encode(text)[1:{n}]))" for n in (8192, 8191, 8190, 8189)) + ")"
+
+
+@query("SELECT doc_id, " + " OR ".join(f"contains(head, {quoted(m)})" for m in fx.CPP_MARKS) + f" AS cpp FROM (SELECT doc_id, {FIRST_BYTES} AS head FROM documents)")
 def cpp_marks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", fx.looks_like_cpp(F.col("text")).alias("cpp"))
 

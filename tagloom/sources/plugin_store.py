@@ -162,7 +162,7 @@ def available_lines(spark: SparkSession, base: str, folder: str, refresh: bool =
 
 
 def installed_lines(spark: SparkSession, folders: list[str], folder: str) -> list[str]:
-    rows = plugins.plugin_groups(plugins.manifests_table(spark, [*folders, folder])).select("language", F.array_join("extensions", ", ").alias("extensions"))
+    rows = plugins.plugin_groups(plugins.manifests_table(spark, [*folders, f"{folder}/**"])).select("language", F.array_join("extensions", ", ").alias("extensions"))
     lines = table_lines(rows, ["LANGUAGE", "EXTENSIONS"]) if not rows.isEmpty() else ["No plugins detected."]
     return [f"Plugin directory: {folder}", *lines]
 

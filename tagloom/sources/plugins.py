@@ -79,11 +79,21 @@ def load_manifest(path: str) -> dict | None:
 
 
 def scan_manifests(folders: list[str]) -> list[dict]:
-    """Manifests in scanning order; for an extension the last one counts."""
+    """Manifests in scanning order; for an extension the last one counts.
+
+    A folder is a plugin's own or one level above several; ``<folder>/**`` stands for all below it, at any depth.
+    """
     out = []
     for folder in folders:
-        for here, _, names in sorted(os.walk(folder)):
-            if "plugin.toml" in names and (m := load_manifest(os.path.join(here, "plugin.toml"))):
+        if folder.endswith("/**"):
+            places = [here for here, _, _ in sorted(os.walk(folder[:-3]))]
+        elif os.path.exists(os.path.join(folder, "plugin.toml")):
+            places = [folder]
+        else:
+            places = sorted(e.path for e in os.scandir(folder) if e.is_dir()) if os.path.isdir(folder) else []
+        for here in places:
+            path = os.path.join(here, "plugin.toml")
+            if os.path.exists(path) and (m := load_manifest(path)):
                 out.append(m | {"scan_ord": len(out)})
     return out
 

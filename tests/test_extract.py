@@ -66,6 +66,12 @@ def test_rust():
     ]
 
 
+def test_go_methods_belong_to_the_last_type_of_a_group():
+    src = "package p\ntype (\n\tA interface { One() }\n\tB interface { Two() }\n)\ntype (\n\tC interface { Three() }\n\tD struct { x int }\n)\ntype (\n\tE interface { Four() }\n\tF int\n)\ntype G interface { Five() }\n"
+    found = [(n, k, f) for n, k, f in tags("go", src) if k in "nism"]
+    assert found == [("A", "i", "package=p"), ("B", "i", "package=p"), ("One", "n", "interface=p.B"), ("Two", "n", "interface=p.B"), ("C", "i", "package=p"), ("D", "s", "package=p"), ("x", "m", "struct=p.D;typeref=typename:int"), ("E", "i", "package=p"), ("G", "i", "package=p"), ("Five", "n", "interface=p.G")]
+
+
 def test_go():
     src = "package p\nimport q \"a/b\"\nvar x, y = 1, 2\nfunc (r *T[K]) M(a int) (int, error) {\n\tz := 1\n\t_, w := f()\n}\ntype (\n\tI interface {\n\t\tDo(x int) string\n\t}\n)\n"
     assert tags("go", src) == [

@@ -180,3 +180,22 @@ def test_versions(spark):
     pairs = spark.createDataFrame([(a, b, i, j) for i, a in enumerate(order) for j, b in enumerate(order)], "a string, b string, i int, j int")
     for r in pairs.select("i", "j", version_status(F.col("a"), F.col("b")).alias("s")).collect():
         assert r["s"] == ("update available" if r["i"] < r["j"] else "installed")
+
+
+def test_marks_are_looked_for_in_first_bytes(spark):
+    """8192 bytes, not characters; what the tail of a large file holds does not count."""
+    class_a = "\nclass A {\npublic:\n};\n"
+    cases = [("é" * 4_096 + class_a, "c"), ("é" * 4_000 + class_a, "c++"), ("x" * 8_192 + class_a, "c"), ("x" * 60_000 + class_a, "c"), (class_a, "c++"), ("x" * 8_191 + "é" + class_a, "c")]
+    files = spark.createDataFrame([(i, f"h{i}.h", t.encode()) for i, (t, _) in enumerate(cases)], "file_ord long, rel_path string, content binary")
+    assert [r["lang"] for r in resolve(files, build_registry()).orderBy("file_ord").collect()] == [lang for _, lang in cases]
+
+
+def test_manifests_one_level_down(tmp_path):
+    text = 'name = "{0}"\nversion = "1.0.0"\nabi_version = 3\nlanguage = "l{0}"\nextensions = ["{0}"]\nwasm_file = "m.py"\n'
+    for name, place in (("a", "a"), ("b", "b"), ("deep", "b/c")):
+        (tmp_path / place).mkdir(parents=True)
+        (tmp_path / place / "plugin.toml").write_text(text.format(name))
+        (tmp_path / place / "m.py").write_text("")
+    names = lambda *folders: [m["name"] for m in plugins.scan_manifests(list(folders))]
+    assert names(str(tmp_path)) == ["a", "b"] and names(str(tmp_path / "b")) == ["b"] and names(str(tmp_path / "none")) == []
+    assert names(f"{tmp_path}/**") == ["a", "b", "deep"] and names(f"{tmp_path}/**", str(tmp_path / "a")) == ["a", "b", "deep", "a"]
