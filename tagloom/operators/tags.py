@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 UNSCOPED = ("line", "end", "kind", "file", "signature", "access")
 
 
@@ -69,27 +71,22 @@ def sort_tags(tags: DataFrame) -> DataFrame:
 SORT_KEY = ("name", "file_name", "address", "kind", "fields")
 
 
-def ranked(tags: DataFrame, sampled: int = 4_096) -> DataFrame:
+def ranked(tags: DataFrame) -> DataFrame:
     """All columns and ``rank``, the place from 1 in the order of ``sort_tags``.
 
-    Rows are dealt into ranges of the whole sort key, whose bounds are taken from about
-    ``sampled`` rows (ranges only share out the work); ranges are counted, and each row's
-    place inside its range is added. Equal rows have ranks in any order. No rows give no rows.
+    Rows are dealt by range of the whole sort key and written; each range is counted, and a
+    row's place inside its range is added to the counts of those before. Bounds are Spark's
+    own and no part of the plan. Equal rows lie in one range, in any order. No rows give no
+    rows.
     """
     spark = tags.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.struct(*SORT_KEY[:3])
-    total = tags.count()
-    some = tags.select(key.alias("k")).sample(min(1.0, sampled / max(1, total)), seed=7).distinct().limit(4 * sampled).collect()
-    keys = sorted(tuple(r["k"]) for r in some)
-    bounds = sorted({keys[len(keys) * i // n] for i in range(1, n)}) if keys else []
-    # n - 1 bounds, which are a part of the plan
-    lits = [F.struct(*(F.lit(v).alias(c) for v, c in zip(b, SORT_KEY))) for b in bounds]
-    dealt = tags.withColumn("range", F.size(F.filter(F.array(*lits), lambda b: b <= key)) if lits else F.lit(0))
+    order = [*SORT_KEY[:3], F.col("kind").asc_nulls_first(), F.col("fields").asc_nulls_first()]
+    dealt = written(tags.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "ranges")
+    # a row a range
     ahead = dealt.groupBy("range").agg(F.count("*").alias("size"))
-    ahead = ahead.select("range", (F.coalesce(F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("ahead"))
-    own = Window.partitionBy("range").orderBy(*SORT_KEY[:3], F.col("kind").asc_nulls_first(), F.col("fields").asc_nulls_first())
-    placed = dealt.withColumn("place", F.row_number().over(own)).join(F.broadcast(ahead), "range")
+    ahead = ahead.select("range", F.coalesce(F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    placed = dealt.withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy(*order))).join(F.broadcast(ahead), "range")
     return placed.select(*tags.columns, (F.col("ahead") + F.col("place")).cast("long").alias("rank"))
 
 
