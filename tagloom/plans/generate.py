@@ -17,7 +17,7 @@ from ..sources.files import balanced, expand_paths, files_table
 from ..sources.plugin_store import cache_folder
 from ..sources.plugins import all_languages, scan_manifests
 from ..sources.tag_cache import TagCache
-from ..sources.tagfile import is_tags_file, output_path, read_tags, write_tags
+from ..sources.tagfile import is_tags_file, output_path, read_tags, write_tags, write_tags_distributed
 from .languages import Registry, build_registry
 
 
@@ -63,11 +63,12 @@ def generate(spark: SparkSession, config: Config, cwd: str = ".") -> int:
                 print(f"{target} is no tags file", file=sys.stderr)
                 return 1
             old = read_tags(spark, target)
-    base = cwd if target == "-" else os.path.dirname(os.path.abspath(target))
+    base = cwd if target == "-" else os.path.dirname(os.path.abspath(target.rstrip("/")))
     files = balanced(files_table(spark, found.files, base), config.workers)
     rows = written(cached_tags(files, config, base) if config.cached else tags_of_files(files, config), "tags")
     for r in errors_only(rows).toLocalIterator():
         print(f"{r['file_name']}: {r['error']}", file=sys.stderr)
     tags = tags_only(rows)
-    write_tags(append(tags, old) if old is not None else tags, target, config.sort)
+    # a name that ends with a slash asks for a folder of parts
+    (write_tags_distributed if target.endswith("/") else write_tags)(append(tags, old) if old is not None else tags, target, config.sort)
     return 0

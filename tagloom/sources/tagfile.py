@@ -54,5 +54,24 @@ def write_tags(tags: DataFrame, path: str, is_sorted: bool = True) -> None:
 
 
 def write_tags_distributed(tags: DataFrame, folder: str, is_sorted: bool = True) -> None:
-    """The lines as text parts in order, for results too large for one file."""
-    tag_lines(tags, is_sorted).write.mode("overwrite").text(folder)
+    """Header and lines as text parts whose names are in order, for results too large for one file.
+
+    Executors write the parts into a draft, which takes the folder's place by a rename once it
+    is whole; what was there goes after that, so a run that fails leaves the old tags.
+    """
+    spark, folder = tags.sparkSession, folder.rstrip("/")
+    top = spark.createDataFrame([(header(is_sorted),)], "value string").coalesce(1)
+    draft, old = (f"{folder}.{kind}-{uuid.uuid4().hex[:8]}" for kind in ("draft", "old"))
+    # partitions of a union stand one behind the other, and parts are named by partition
+    top.union(tag_lines(tags, is_sorted)).write.text(draft)
+    place = lambda name: spark._jvm.org.apache.hadoop.fs.Path(name)
+    fs = place(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    had = fs.exists(place(folder))
+    if had and not fs.rename(place(folder), place(old)):
+        raise OSError(f"{folder} cannot be moved away")
+    if not fs.rename(place(draft), place(folder)):
+        if had:
+            fs.rename(place(old), place(folder))
+        raise OSError(f"{folder} cannot be put in place")
+    if had:
+        fs.delete(place(old), True)

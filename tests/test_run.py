@@ -199,3 +199,28 @@ def test_manifests_one_level_down(tmp_path):
     names = lambda *folders: [m["name"] for m in plugins.scan_manifests(list(folders))]
     assert names(str(tmp_path)) == ["a", "b"] and names(str(tmp_path / "b")) == ["b"] and names(str(tmp_path / "none")) == []
     assert names(f"{tmp_path}/**") == ["a", "b", "deep"] and names(f"{tmp_path}/**", str(tmp_path / "a")) == ["a", "b", "deep", "a"]
+
+
+def test_a_folder_of_parts(spark, tmp_path, monkeypatch):
+    """The parts, one behind the other, are the tags file; a second run replaces or appends, and leaves nothing else."""
+    (tmp_path / "src").mkdir()
+    monkeypatch.chdir(tmp_path / "src")
+    for i in range(12):
+        (tmp_path / f"src/f{i}.py").write_text("".join(f"name_{(i * 7 + k * 5) % 97} = 1\n" for k in range(30)))
+    lines = lambda: [line for part in sorted((tmp_path / "parts").glob("part-*")) for line in part.read_text().splitlines()]
+    run = lambda *more: generate(spark, parse_args([*more, "."]), str(tmp_path / "src"))
+    for more in ([], ["--sort", "no"], []):
+        assert run("-f", "../one", *more) == 0 and run("-f", "../parts/", *more) == 0
+        assert lines() == (tmp_path / "one").read_text().splitlines() and len(lines()) == 361
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several parts, small as they are
+    try:
+        assert run("-f", "../parts/") == 0 and lines() == (tmp_path / "one").read_text().splitlines()
+        assert len(list((tmp_path / "parts").glob("part-*"))) > 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert run("--append", "-f", "../parts/") == 0 and len(lines()) == 721 and run("--append", "-f", "../one") == 0
+    assert lines() == (tmp_path / "one").read_text().splitlines()
+    assert sorted(os.listdir(tmp_path)) == ["one", "parts", "src"]
+    empty = tagfile.read_tags(spark, str(tmp_path / "one")).limit(0)
+    tagfile.write_tags_distributed(empty, str(tmp_path / "none"))
+    assert [line for part in (tmp_path / "none").glob("part-*") for line in part.read_text().splitlines()] == ["!_TAG_FILE_SORTED\t1\t/0=unsorted, 1=sorted/"]
