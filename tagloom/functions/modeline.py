@@ -81,20 +81,3 @@ def modeline_type(content: Column) -> Column:
         return bodies.map(lambda b: None if b is None else modeline(bytes(b[:REACH]), bytes(b[-REACH:]) if len(b) > REACH else b""))
 
     return run(content)
-
-
-def fnv1a_64(text: str) -> str:
-    h = 0xCBF29CE484222325
-    for b in text.encode():
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return f"{h:016x}"
-
-
-def fnv_hex(name: Column) -> Column:
-    """FNV-1a needs wrapping 64-bit products, which ANSI arithmetic refuses."""
-
-    @F.pandas_udf("string")
-    def run(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: None if n is None else fnv1a_64(n))
-
-    return run(name)

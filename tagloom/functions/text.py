@@ -129,11 +129,35 @@ def looks_like_cpp(content: Column) -> Column:
     return F.greatest(*(head.contains(m) for m in CPP_MARKS))
 
 
+def byte_values(text: Column) -> Column:
+    """The UTF-8 bytes of a text as numbers."""
+    one = lambda i: F.ascii(F.decode(F.substring(F.encode(text, "utf-8"), i, F.lit(1)), "iso-8859-1"))
+    values = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(text), F.lit(1))), one)
+    return F.when(F.octet_length(text) == 0, F.array().cast("array<int>")).when(F.octet_length(text) > 0, values)
+
+
 def djb2_hex(name: Column) -> Column:
     """Bernstein's hash modulo 2**32 over the bytes of the name, 8 hex digits."""
-    byte = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(name), F.lit(1))), lambda i: F.ascii(F.decode(F.substring(F.encode(name, "utf-8"), i, F.lit(1)), "iso-8859-1")))
-    h = F.aggregate(byte, F.lit(5381).cast("long"), lambda a, b: F.pmod(a * 33 + b, F.lit(4294967296)))
-    return F.lower(F.lpad(F.hex(F.when(F.octet_length(name) == 0, F.lit(5381).cast("long")).otherwise(h)), 8, "0"))
+    h = F.aggregate(byte_values(name), F.lit(5381).cast("long"), lambda a, b: F.pmod(a * 33 + b, F.lit(4294967296)))
+    return F.lower(F.lpad(F.hex(h), 8, "0"))
+
+
+def fnv_hex(name: Column) -> Column:
+    """64-bit FNV-1a over the bytes of the name, 16 hex digits.
+
+    The hash is held in two halves of 32 bits, whose products with the prime 2**40 + 435 do
+    not wrap: ANSI arithmetic refuses 64-bit products that do.
+    """
+    half = 1 << 32
+
+    def step(h: Column, b: Column) -> Column:
+        low = h["low"].bitwiseXOR(b.cast("long"))
+        high = h["high"] * 435 + F.shiftright(low * 435, 32) + low * 256
+        return F.struct((high % half).alias("high"), (low * 435 % half).alias("low"))
+
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("high"), F.lit(0x84222325).cast("long").alias("low"))
+    part = lambda n: F.lpad(F.hex(n), 8, "0")
+    return F.aggregate(byte_values(name), start, step, lambda h: F.lower(F.concat(part(h["high"]), part(h["low"]))))
 
 
 def escape_identifier(text: Column) -> Column:

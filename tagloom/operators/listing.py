@@ -38,12 +38,15 @@ def list_maps(spark: SparkSession, registry: Registry, language: str = "") -> li
     return [f"{r['lang']:<12} {r['items']}" for r in maps_table(spark, registry, language).collect()]
 
 
-def languages_table(spark: SparkSession, registry: Registry) -> DataFrame:
-    """name and label of every source, those that won before those they overrule."""
+def _label() -> F.Column:
     native = F.col("kind").isin("native", "query")
     kind = F.when(native, "native").otherwise(F.col("kind"))
-    label = F.when(~F.col("won"), F.concat(F.lit("["), kind, F.lit(", overridden]"))).when(native, "").otherwise(F.concat(F.lit("["), kind, F.lit("]")))
-    return tables(spark, registry)["sources"].select("name", label.alias("label"), "won").orderBy(F.lower("name"), F.desc("won")).drop("won")
+    return F.when(~F.col("won"), F.concat(F.lit("["), kind, F.lit(", overridden]"))).when(native, "").otherwise(F.concat(F.lit("["), kind, F.lit("]")))
+
+
+def languages_table(spark: SparkSession, registry: Registry) -> DataFrame:
+    """name and label of every source, those that won before those they overrule."""
+    return tables(spark, registry)["sources"].select("name", _label().alias("label"), "won").orderBy(F.lower("name"), F.desc("won")).drop("won")
 
 
 def list_languages(spark: SparkSession, registry: Registry) -> list[str]:
@@ -61,4 +64,28 @@ def extensions_in(files: DataFrame, path: str = "rel_path") -> DataFrame:
     return files.select(F.lower(extension(F.col(path))).alias("ext")).filter("ext <> ''").distinct()
 
 
-__all__ = ["kinds_table", "list_kinds", "list_languages", "list_maps", "languages_table", "maps_table", "print_languages", "extensions_in"]
+def _extensions_counted(files: DataFrame, path: str) -> DataFrame:
+    """ext and files: how many names have an extension. Shuffles a row an extension and task."""
+    return files.select(extension(F.col(path)).alias("ext")).filter("ext <> ''").groupBy("ext").agg(F.count("*").alias("files"))
+
+
+def maps_of_files(files: DataFrame, registry: Registry, path: str = "rel_path") -> DataFrame:
+    """lang, items, files: the map of each language that claims the extension of some file."""
+    claims = tables(files.sparkSession, registry)["lang_ext"].select("ext", "lang")
+    counted = _extensions_counted(files, path).join(F.broadcast(claims), "ext").groupBy("lang").agg(F.sum("files").alias("files"))
+    return counted.join(F.broadcast(maps_table(files.sparkSession, registry)), "lang").select("lang", "items", "files")
+
+
+def languages_of_files(files: DataFrame, registry: Registry, path: str = "rel_path") -> DataFrame:
+    """name, label, files: every source of a language, overruled or not, whose extensions some file has."""
+    ours = tables(files.sparkSession, registry)["sources"].select("name", _label().alias("label"), F.explode("extensions").alias("ext"))
+    return _extensions_counted(files, path).join(F.broadcast(ours), "ext").groupBy("name", "label").agg(F.sum("files").alias("files"))
+
+
+def kinds_of_tags(tags: DataFrame) -> DataFrame:
+    """lang, letter, name, is_default, canonical, tags: tags counted by kind; a letter that its language lacks has no name."""
+    counted = tags.groupBy("lang", "letter").agg(F.count("*").alias("tags"))
+    return counted.join(F.broadcast(kinds_table(tags.sparkSession).drop("ord")), ["lang", "letter"], "left").select("lang", "letter", "name", "is_default", "canonical", "tags")
+
+
+__all__ = ["kinds_of_tags", "kinds_table", "languages_of_files", "list_kinds", "list_languages", "list_maps", "languages_table", "maps_of_files", "maps_table", "print_languages", "extensions_in"]

@@ -9,27 +9,145 @@ from pyspark.sql import functions as F
 
 from ..functions.text import glob_regex
 
-# Fixed values: (letter, name) of each language's kinds; optional ones are off unless asked for.
-_C = "d macro, e enumerator, f function, g enum, h header, m member, s struct, t typedef, u union, v variable"
-_C_MORE = "l local, p prototype, x externvar, z parameter, L label, D macroparam"
-KINDS: dict[str, tuple[str, str]] = {
-    "rust": ("n module, s struct, g enum, u union, i trait/interface, c impl/implementation, f function, P method/procedure, m field, e enumerator/variant, T typedef/associated_type, C constant, v variable/static, t type/alias, M macro", ""),
-    "go": ("p package, f function, c constant, t type, v variable, s struct, i interface, m member, M anonymous, n method, P import, a alias", ""),
-    "c++": (_C + ", c class", _C_MORE + ", n namespace, A alias, N name, U using, Z tparam, M module"),
-    "c": (_C, _C_MORE),
-    "javascript": ("f function, c classes, m methods, p properties, C constants, v global variables, g generators, G getters, S setters, M fields", ""),
+# Fixed values: (letter, names, whether on unless asked otherwise) of each language's kinds.
+KINDS: dict[str, tuple[tuple[str, tuple[str, ...], bool], ...]] = {
+    "rust": (
+        ("n", ("module",), True),
+        ("s", ("struct",), True),
+        ("g", ("enum",), True),
+        ("u", ("union",), True),
+        ("i", ("trait", "interface"), True),
+        ("c", ("impl", "implementation"), True),
+        ("f", ("function",), True),
+        ("P", ("method", "procedure"), True),
+        ("m", ("field",), True),
+        ("e", ("enumerator", "variant"), True),
+        ("T", ("typedef", "associated_type"), True),
+        ("C", ("constant",), True),
+        ("v", ("variable", "static"), True),
+        ("t", ("type", "alias"), True),
+        ("M", ("macro",), True),
+    ),
+    "go": (
+        ("p", ("package",), True),
+        ("f", ("function",), True),
+        ("c", ("constant",), True),
+        ("t", ("type",), True),
+        ("v", ("variable",), True),
+        ("s", ("struct",), True),
+        ("i", ("interface",), True),
+        ("m", ("member",), True),
+        ("M", ("anonymous",), True),
+        ("n", ("method",), True),
+        ("P", ("import",), True),
+        ("a", ("alias",), True),
+    ),
+    "c++": (
+        ("d", ("macro",), True),
+        ("e", ("enumerator",), True),
+        ("f", ("function",), True),
+        ("g", ("enum",), True),
+        ("h", ("header",), True),
+        ("m", ("member",), True),
+        ("s", ("struct",), True),
+        ("t", ("typedef",), True),
+        ("u", ("union",), True),
+        ("v", ("variable",), True),
+        ("c", ("class",), True),
+        ("l", ("local",), False),
+        ("p", ("prototype",), False),
+        ("x", ("externvar",), False),
+        ("z", ("parameter",), False),
+        ("L", ("label",), False),
+        ("D", ("macroparam",), False),
+        ("n", ("namespace",), False),
+        ("A", ("alias",), False),
+        ("N", ("name",), False),
+        ("U", ("using",), False),
+        ("Z", ("tparam",), False),
+        ("M", ("module",), False),
+    ),
+    "c": (
+        ("d", ("macro",), True),
+        ("e", ("enumerator",), True),
+        ("f", ("function",), True),
+        ("g", ("enum",), True),
+        ("h", ("header",), True),
+        ("m", ("member",), True),
+        ("s", ("struct",), True),
+        ("t", ("typedef",), True),
+        ("u", ("union",), True),
+        ("v", ("variable",), True),
+        ("l", ("local",), False),
+        ("p", ("prototype",), False),
+        ("x", ("externvar",), False),
+        ("z", ("parameter",), False),
+        ("L", ("label",), False),
+        ("D", ("macroparam",), False),
+    ),
+    "javascript": (
+        ("f", ("function",), True),
+        ("c", ("classes",), True),
+        ("m", ("methods",), True),
+        ("p", ("properties",), True),
+        ("C", ("constants",), True),
+        ("v", ("global variables",), True),
+        ("g", ("generators",), True),
+        ("G", ("getters",), True),
+        ("S", ("setters",), True),
+        ("M", ("fields",), True),
+    ),
     "python": (
-        "c classes, f function, m class members, v variables, I name referring a module defined in other file, i module, Y name referring to a class/variable/function/module defined in other module",
-        "z function parameters, l local variables",
+        ("c", ("classes",), True),
+        ("f", ("function",), True),
+        ("m", ("class members",), True),
+        ("v", ("variables",), True),
+        ("I", ("name referring a module defined in other file",), True),
+        ("i", ("module",), True),
+        ("Y", ("name referring to a class/variable/function/module defined in other module",), True),
+        ("z", ("function parameters",), False),
+        ("l", ("local variables",), False),
+    ),
+    "typescript": (
+        ("f", ("function",), True),
+        ("c", ("class",), True),
+        ("i", ("interface",), True),
+        ("g", ("enum",), True),
+        ("e", ("enumarator",), True),
+        ("m", ("method",), True),
+        ("n", ("namespace",), True),
+        ("p", ("property",), True),
+        ("v", ("global variables",), True),
+        ("C", ("constants",), True),
+        ("G", ("generators",), True),
+        ("a", ("alias",), True),
+        ("z", ("function parameter",), False),
+        ("l", ("local variable",), False),
+    ),
+    "java": (
+        ("a", ("annotation",), True),
+        ("c", ("class",), True),
+        ("e", ("enumConstant",), True),
+        ("f", ("field",), True),
+        ("g", ("enum",), True),
+        ("i", ("interface",), True),
+        ("m", ("method",), True),
+        ("p", ("package",), True),
+        ("l", ("local",), False),
+    ),
+    "kotlin": (
+        ("C", ("constant",), True),
+        ("T", ("typealias",), True),
+        ("c", ("class",), True),
+        ("i", ("interface",), True),
+        ("m", ("method",), True),
+        ("o", ("object",), True),
+        ("p", ("package",), True),
+        ("v", ("variable",), True),
     ),
-    "typescript": ("f function, c class, i interface, g enum, e enumarator, m method, n namespace, p property, v global variables, C constants, G generators, a alias", "z function parameter, l local variable"),
-    "java": ("a annotation, c class, e enumConstant, f field, g enum, i interface, m method, p package", "l local"),
-    "kotlin": ("C constant, T typealias, c class, i interface, m method, o object, p package, v variable", ""),
 }
 #: Kinds whose letter stands for another kind's canonical letter.
 CANONICAL = {("typescript", "C"): "p", ("typescript", "G"): "g"}
-#: A slash parts aliases in these; elsewhere it belongs to the name.
-_SLASHED = {"rust"}
 
 TIERS = ("plugin", "native", "query", "user")
 
@@ -47,34 +165,30 @@ class Language:
     internal: bool = False
 
 
-def _w(text: str) -> tuple[str, ...]:
-    return tuple(text.split())
-
-
 # Languages in order of rank inside their tier.
 BUILT_IN: tuple[Language, ...] = (
-    Language("rust", "native", _w("rs")),
-    Language("go", "native", _w("go"), aliases=_w("golang")),
-    Language("c++", "native", _w("cc cpp CPP cxx c++ cp C cppm ixx ii H hh hpp HPP hxx h++ tcc"), aliases=_w("cpp cxx cplusplus")),
-    Language("c", "native", _w("c h i")),
-    Language("javascript", "native", _w("js jsx mjs cjs"), interpreters=_w("node nodejs"), aliases=_w("js")),
-    Language("python", "native", _w("py pyw pyi"), _w("SConstruct SConscript wscript"), _w("python python2 python3")),
-    Language("typescript", "native", _w("ts tsx"), aliases=_w("ts")),
-    Language("ruby", "query", _w("rb"), _w("Rakefile Gemfile Guardfile Vagrantfile Podfile Berksfile Brewfile Capfile *.gemspec *.podspec *.rake"), _w("ruby")),
-    Language("java", "query", _w("java")),
-    Language("ocaml", "query", _w("ml")),
-    Language("php", "query", _w("php"), interpreters=_w("php")),
-    Language("elixir", "query", _w("ex")),
-    Language("lua", "query", _w("lua"), interpreters=_w("lua")),
-    Language("c#", "query", _w("cs"), aliases=_w("csharp")),
-    Language("shell", "query", _w("sh bash"), _w(".bashrc .bash_profile .bash_logout .zshrc .zprofile .zshenv .profile PKGBUILD *.zsh"), _w("sh bash dash zsh ksh"), _w("sh bash")),
-    Language("scala", "query", _w("scala"), interpreters=_w("scala")),
-    Language("julia", "query", _w("jl"), interpreters=_w("julia")),
+    Language("rust", "native", ("rs",)),
+    Language("go", "native", ("go",), aliases=("golang",)),
+    Language("c++", "native", ("cc", "cpp", "CPP", "cxx", "c++", "cp", "C", "cppm", "ixx", "ii", "H", "hh", "hpp", "HPP", "hxx", "h++", "tcc"), aliases=("cpp", "cxx", "cplusplus")),
+    Language("c", "native", ("c", "h", "i")),
+    Language("javascript", "native", ("js", "jsx", "mjs", "cjs"), interpreters=("node", "nodejs"), aliases=("js",)),
+    Language("python", "native", ("py", "pyw", "pyi"), ("SConstruct", "SConscript", "wscript"), ("python", "python2", "python3")),
+    Language("typescript", "native", ("ts", "tsx"), aliases=("ts",)),
+    Language("ruby", "query", ("rb",), ("Rakefile", "Gemfile", "Guardfile", "Vagrantfile", "Podfile", "Berksfile", "Brewfile", "Capfile", "*.gemspec", "*.podspec", "*.rake"), ("ruby",)),
+    Language("java", "query", ("java",)),
+    Language("ocaml", "query", ("ml",)),
+    Language("php", "query", ("php",), interpreters=("php",)),
+    Language("elixir", "query", ("ex",)),
+    Language("lua", "query", ("lua",), interpreters=("lua",)),
+    Language("c#", "query", ("cs",), aliases=("csharp",)),
+    Language("shell", "query", ("sh", "bash"), (".bashrc", ".bash_profile", ".bash_logout", ".zshrc", ".zprofile", ".zshenv", ".profile", "PKGBUILD", "*.zsh"), ("sh", "bash", "dash", "zsh", "ksh"), ("sh", "bash")),
+    Language("scala", "query", ("scala",), interpreters=("scala",)),
+    Language("julia", "query", ("jl",), interpreters=("julia",)),
 )
 #: Rule languages that plugins or user grammars bring.
-PLUGINS: tuple[Language, ...] = (Language("java", "plugin", _w("java")), Language("kotlin", "plugin", _w("kt kts")))
-ECHO = Language("echo", "plugin", _w("echo"))
-GLEAM = Language("gleam", "user", _w("gleam"))
+PLUGINS: tuple[Language, ...] = (Language("java", "plugin", ("java",)), Language("kotlin", "plugin", ("kt", "kts")))
+ECHO = Language("echo", "plugin", ("echo",))
+GLEAM = Language("gleam", "user", ("gleam",))
 #: Extensions that stay candidates of two languages until a file's content is seen.
 SHARED_EXTENSIONS = {"h": ("c", "c++")}
 
@@ -88,13 +202,7 @@ class Kind:
 
 
 def kinds_of(language: str) -> list[Kind]:
-    out = []
-    for text, on in zip(KINDS.get(language, ("", "")), (True, False)):
-        for item in filter(None, text.split(", ")):
-            letter, name = item.split(" ", 1)
-            names = tuple(name.split("/")) if language in _SLASHED else (name,)
-            out.append(Kind(letter, names, on, CANONICAL.get((language, letter), letter)))
-    return out
+    return [Kind(letter, names, on, CANONICAL.get((language, letter), letter)) for letter, names, on in KINDS.get(language, ())]
 
 
 def kinds_table(spark: SparkSession) -> DataFrame:

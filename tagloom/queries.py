@@ -20,7 +20,7 @@ from .operators.match import definitions, match, node_table
 from .operators.extract import errors_only, extract_tags, job_of, tags_only
 from .plans.generate import tags_of_files
 from .plans.patterns import parse_patterns
-from .plans.languages import BUILT_IN, ECHO, GLEAM, KINDS, PLUGINS, Edit, build_registry, first_tier_wins, kinds_of, kinds_table
+from .plans.languages import BUILT_IN, ECHO, GLEAM, PLUGINS, Edit, build_registry, first_tier_wins
 from .session import shared_dir, written
 from .sources import plugin_store, plugins
 from .sources.tag_cache import TagCache
@@ -109,9 +109,11 @@ def filename_hash(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", fx.djb2_hex(F.col("p_name")).alias("hash"))
 
 
-@query()
+@query("""SELECT p_partkey, format('{:08x}{:08x}', CAST(h // 4294967296 AS BIGINT), CAST(h % 4294967296 AS BIGINT)) AS hash FROM (
+  SELECT p_partkey, list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), list_transform(string_split(p_name, ''), lambda c: CAST(ascii(c) AS HUGEINT))),
+    lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS h FROM part)""")
 def fnv_hash(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", modeline.fnv_hex(F.col("p_name")).alias("hash"))
+    return table(spark, sf_dir, "part").select("p_partkey", fx.fnv_hex(F.col("p_name")).alias("hash"))
 
 
 @query("SELECT doc_id, sha256(text) AS hash FROM documents")
@@ -224,28 +226,48 @@ def mapped_languages(spark, sf_dir):
 # --- listings -------------------------------------------------------------------------
 
 
-def _maps_sql() -> str:
-    rows = []
-    r = build_registry()
-    for name in sorted({lang.name for lang in BUILT_IN}):
-        exts = sorted(e for e, who in r.ext.items() if name in who)
-        rows.append(f"({quoted(name)}, {quoted(' '.join(['.' + e for e in exts] + [g for g, n in r.patterns if n == name]))})")
-    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") t(lang, items)"
+LISTED = "SELECT CASE p_partkey % 10 WHEN 0 THEN 'rs' WHEN 1 THEN 'go' WHEN 2 THEN 'C' WHEN 3 THEN 'h' WHEN 4 THEN 'py' WHEN 5 THEN 'H' WHEN 6 THEN 'jsx' WHEN 7 THEN 'tsx' WHEN 8 THEN 'rb' END AS ext FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 13 <> 0"
 
 
-@query(_maps_sql())
+@query(f"""SELECT lang, items, count(*) AS files FROM ({LISTED}) JOIN (VALUES
+  ('rust', '.rs', ['rs']),
+  ('go', '.go', ['go']),
+  ('c++', '.C .CPP .H .HPP .c++ .cc .cp .cpp .cppm .cxx .h .h++ .hh .hpp .hxx .ii .ixx .tcc', ['C', 'h', 'H']),
+  ('c', '.c .h .i', ['h']),
+  ('python', '.py .pyi .pyw SConstruct SConscript wscript', ['py']),
+  ('javascript', '.cjs .js .jsx .mjs', ['jsx']),
+  ('typescript', '.ts .tsx', ['tsx']),
+  ('ruby', '.rb Rakefile Gemfile Guardfile Vagrantfile Podfile Berksfile Brewfile Capfile *.gemspec *.podspec *.rake', ['rb'])
+  ) t(lang, items, exts) ON list_contains(exts, ext) GROUP BY lang, items""")
 def list_maps(spark, sf_dir):
-    return listing.maps_table(spark, build_registry())
+    """The map of each language that claims the extension of some file, and how many files that are."""
+    return listing.maps_of_files(named_files(spark, sf_dir), build_registry())
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({quoted(n)}, '')" for n in sorted({lang.name for lang in BUILT_IN})) + ", ('java', '[plugin]'), ('kotlin', '[plugin]')) t(name, label) WHERE NOT (name = 'java' AND label = '') UNION ALL VALUES ('java', '[native, overridden]')")
+@query("""SELECT name, label, count(*) AS files FROM (SELECT ['java', 'kt', 'py', 'rb', 'zip'][s_suppkey % 5 + 1] AS ext FROM supplier) JOIN (VALUES
+  ('java', '[plugin]', 'java'), ('java', '[native, overridden]', 'java'), ('kotlin', '[plugin]', 'kt'), ('python', '', 'py'), ('ruby', '', 'rb')) t(name, label, ext) USING (ext) GROUP BY name, label""")
 def list_languages(spark, sf_dir):
-    return listing.languages_table(spark, build_registry([*PLUGINS, *BUILT_IN]))
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({quoted(lang)}, {i}, {quoted(k.letter)}, {quoted(k.names[0])}, {str(k.default).lower()}, {quoted(k.canonical)})" for lang in KINDS for i, k in enumerate(kinds_of(lang))) + ") t(lang, ord, letter, name, is_default, canonical)")
+    """Every source of a language for the files of a tree: those that won and those that a higher tier overrules."""
+    ends = F.array(*(F.lit(e) for e in ("java", "kt", "py", "rb", "zip")))
+    files = table(spark, sf_dir, "supplier").select(F.concat(F.lit("a.b/f."), F.element_at(ends, (F.col("s_suppkey") % 5 + 1).cast("int"))).alias("rel_path"))
+    return listing.languages_of_files(files, build_registry([*PLUGINS, *BUILT_IN]))
+
+
+@query("""SELECT lang, letter, name, is_default, canonical, count(*) AS tags
+  FROM (SELECT ['python', 'rust', 'typescript', 'java'][l_orderkey % 4 + 1] AS lang, ['c', 'f', 'm', 'l', 'C'][l_linenumber % 5 + 1] AS letter FROM lineitem) LEFT JOIN (VALUES
+  ('python', 'c', 'classes', true, 'c'), ('python', 'f', 'function', true, 'f'), ('python', 'm', 'class members', true, 'm'), ('python', 'l', 'local variables', false, 'l'),
+  ('rust', 'c', 'impl', true, 'c'), ('rust', 'f', 'function', true, 'f'), ('rust', 'm', 'field', true, 'm'), ('rust', 'C', 'constant', true, 'C'),
+  ('typescript', 'c', 'class', true, 'c'), ('typescript', 'f', 'function', true, 'f'), ('typescript', 'm', 'method', true, 'm'), ('typescript', 'l', 'local variable', false, 'l'),
+  ('typescript', 'C', 'constants', true, 'p'),
+  ('java', 'c', 'class', true, 'c'), ('java', 'f', 'field', true, 'f'), ('java', 'm', 'method', true, 'm'), ('java', 'l', 'local', false, 'l')
+  ) t(lang, letter, name, is_default, canonical) USING (lang, letter) GROUP BY ALL""")
 def list_kinds(spark, sf_dir):
-    return kinds_table(spark)
+    """Tags counted by kind, with the kind's name, where its language has one of that letter."""
+    pick = lambda values, n: F.element_at(F.array(*(F.lit(v) for v in values)), (n + 1).cast("int"))
+    made = table(spark, sf_dir, "lineitem").select(
+        pick(("python", "rust", "typescript", "java"), F.col("l_orderkey") % 4).alias("lang"), pick(("c", "f", "m", "l", "C"), F.col("l_linenumber") % 5).alias("letter")
+    )
+    return listing.kinds_of_tags(made)
 
 
 @query("SELECT DISTINCT lower(regexp_extract(url, '[^/]\\.([^./]*)$', 1)) AS ext FROM pages WHERE regexp_extract(url, '[^/]\\.([^./]*)$', 1) <> ''")

@@ -33,8 +33,34 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_fnv(spark):
-    from tagloom.functions.modeline import fnv1a_64
+    from pyspark.sql import functions as F
 
-    assert fnv1a_64("") == "cbf29ce484222325"
-    assert fnv1a_64("a") == "af63dc4c8601ec8c"
-    assert q.QUERIES["fnv_hash"](spark, SF).count() == 200
+    from tagloom.functions.text import byte_values, djb2_hex, fnv_hex
+
+    def plain(text):
+        h = 0xCBF29CE484222325
+        for b in text.encode():
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        return f"{h:016x}"
+
+    texts = ["", "a", "foobar", "\0", "é", "日本語" * 50, "\uffff𝄞", "z" * 5000, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fnv_hex(F.col("t")).alias("h"), byte_values(F.col("t")).alias("b"), djb2_hex(F.col("t")).alias("d")).collect()
+    assert [r["h"] for r in rows] == [None if t is None else plain(t) for t in texts]
+    assert [r["b"] for r in rows] == [None if t is None else list(t.encode()) for t in texts]
+    assert rows[0]["h"] == "cbf29ce484222325" and rows[1]["h"] == "af63dc4c8601ec8c" and rows[0]["d"] == "00001505"
+
+
+def test_every_query_reads_a_table(spark):
+    """No query runs on rows of its own alone: each plan, or a file that it made, comes from the tables."""
+    for name in ("list_kinds", "list_languages", "list_maps"):
+        plan = q.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "parquet" in plan, name
+
+
+def test_kinds_are_the_languages_own():
+    from tagloom.plans.languages import KINDS, kinds_of
+
+    for lang in KINDS:
+        letters = [k.letter for k in kinds_of(lang)]
+        assert len(set(letters)) == len(letters) and {k.canonical for k in kinds_of(lang)} <= set(letters)
+    assert [k.names for k in kinds_of("rust") if k.letter == "c"] == [("impl", "implementation")] and not kinds_of("cobol")
