@@ -13,7 +13,7 @@ from .operators import listing
 from .plans.generate import generate, registry_of
 from .plans.languages import UnknownLanguage, tables
 from .sources import plugin_store
-from .sources.files import expand_paths, files_table
+from .sources.files import discover
 from .sources.plugins import manifests_table, read_index, suggest
 
 
@@ -24,8 +24,8 @@ def _session(config: Config) -> SparkSession:
 
 def suggestions(spark: SparkSession, config: Config) -> list[str]:
     registry = registry_of(config)
-    found = expand_paths(config.files, config.excludes, config.recurse).files
-    plugins, rest = suggest(read_index(spark, config.index), manifests_table(spark, config.plugin_dirs), listing.extensions_in(files_table(spark, found)), tables(spark, registry)["lang_ext"].select("ext"))
+    found = discover(spark, config.files, config.excludes, config.recurse)[0]
+    plugins, rest = suggest(read_index(spark, config.index), manifests_table(spark, config.plugin_dirs), listing.extensions_in(found), tables(spark, registry)["lang_ext"].select("ext"))
     return [f"{r['name']}  {r['globs']}  {r['label']}" for r in plugins.collect()] + [f"*.{r['ext']}  nothing" for r in rest.collect()]
 
 
@@ -73,7 +73,7 @@ def main(argv: list[str] | None = None) -> int:
         elif config.command == "suggest_plugins":
             lines = suggestions(spark, config)
         elif config.command == "print_language":
-            files = files_table(spark, expand_paths(config.files, config.excludes, config.recurse).files)
+            files = discover(spark, config.files, config.excludes, config.recurse)[0]
             rows = listing.print_languages(files, registry_of(config), config.guess).orderBy("file_ord").select(F.concat_ws(": ", "rel_path", "lang").alias("line"))
             lines = [r["line"] for r in rows.collect()]
         else:

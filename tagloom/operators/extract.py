@@ -21,6 +21,7 @@ from ..schema import EXTRACTED
 from ..plans.patterns import parse_patterns
 from ..session import written
 from ..sources.plugins import plugin_modules, user_queries
+from ..sources.storage import opened
 from .match import definitions, node_table
 
 NATIVE = {"python": python.extract, "rust": rust.extract, "go": go.extract, "javascript": js.extract, "typescript": typescript.extract}
@@ -144,7 +145,7 @@ def extract_tags(files: DataFrame, job: Job, name: str = "rel_path", content: st
                 try:
                     data = r.content
                     if data is None:
-                        with open(r.path, "rb") as f:
+                        with opened(r.path) as f:
                             data = f.read()
                     for k, (t, where) in enumerate(tags_of(bytes(data), r.name, r.lang, job)):
                         fields = [{"key": a, "value": b} for a, b in t.fields] or None

@@ -13,7 +13,7 @@ from ..operators.extract import described, errors_only, extract_tags, job_of, ta
 from ..operators.resolve import resolve, resolved_paths
 from ..operators.tags import append
 from ..session import written
-from ..sources.files import balanced, expand_paths, files_table
+from ..sources.files import balanced, discover
 from ..sources.plugin_store import cache_folder
 from ..sources.plugins import all_languages, scan_manifests
 from ..sources.tag_cache import TagCache
@@ -51,10 +51,13 @@ def cached_tags(files: DataFrame, config: Config, base: str) -> DataFrame:
 def generate(spark: SparkSession, config: Config, cwd: str = ".") -> int:
     """Write the tags file of a configuration; the exit code is 1 only if nothing was found and something failed."""
     target = output_path(config.tag_file, cwd)
-    found = expand_paths(config.files, config.excludes, config.recurse)
-    for e in found.errors:
-        print(e, file=sys.stderr)
-    if not found.files and found.errors:
+    base = cwd if target == "-" else os.path.dirname(os.path.abspath(target.rstrip("/")))
+    files, errors = discover(spark, config.files, config.excludes, config.recurse, base)
+    failed = False
+    for e in errors.toLocalIterator():
+        failed = True
+        print(e["error"], file=sys.stderr)
+    if failed and files.isEmpty():
         return 1
     old = None
     if config.append and target != "-":
@@ -63,8 +66,7 @@ def generate(spark: SparkSession, config: Config, cwd: str = ".") -> int:
                 print(f"{target} is no tags file", file=sys.stderr)
                 return 1
             old = read_tags(spark, target)
-    base = cwd if target == "-" else os.path.dirname(os.path.abspath(target.rstrip("/")))
-    files = balanced(files_table(spark, found.files, base), config.workers)
+    files = balanced(files, config.workers)
     rows = written(cached_tags(files, config, base) if config.cached else tags_of_files(files, config), "tags")
     for r in errors_only(rows).toLocalIterator():
         print(f"{r['file_name']}: {r['error']}", file=sys.stderr)

@@ -21,8 +21,9 @@ from .operators.extract import errors_only, extract_tags, job_of, tags_only
 from .plans.generate import tags_of_files
 from .plans.patterns import parse_patterns
 from .plans.languages import BUILT_IN, ECHO, GLEAM, PLUGINS, Edit, build_registry, first_tier_wins
-from .session import shared_dir, written
-from .sources import plugin_store, plugins
+from .session import scratch, shared_dir, written
+from .sources import plugin_store, plugins, storage
+from .sources.files import discover
 from .sources.tag_cache import TagCache
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,6 +224,25 @@ def mapped_languages(spark, sf_dir):
     return got.select("p_partkey", plain.alias("lang"))
 
 
+TREE = "'d' || s_suppkey % 7 || '/s' || s_suppkey % 3 || '/x' || s_suppkey % 2 || '/f' || s_suppkey || CASE s_suppkey % 5 WHEN 0 THEN '.o' ELSE '.py' END"
+
+
+@query(f"SELECT {TREE} AS rel_path, s_suppkey % 50 AS size FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 4")
+def discovered_files(spark, sf_dir):
+    """A tree of files, one for each supplier, as executors find it: without objects and without one folder."""
+    root = scratch(spark, "tree")
+
+    def make(batches):
+        for batch in batches:
+            for name, size in zip(batch.column("name").to_pylist(), batch.column("size").to_pylist()):
+                storage.put(f"{root}/{name}", b"x" * size)
+            yield batch
+
+    rows = table(spark, sf_dir, "supplier").select(F.expr(TREE).alias("name"), (F.col("s_suppkey") % 50).alias("size"))
+    rows.mapInArrow(make, rows.schema).write.format("noop").mode("overwrite").save()
+    return discover(spark, [root], ["*.o", "/d4/"], base=root, ahead=200)[0].select("rel_path", "size")
+
+
 # --- listings -------------------------------------------------------------------------
 
 

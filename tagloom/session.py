@@ -37,11 +37,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[key]}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is put there goes when the driver ends."""
+    target = f"{shared_dir(spark)}/tagloom-{name}-{uuid.uuid4().hex[:12]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+    return target
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df``, written to the shared folder and read again: made once, and kept when executors are lost. It goes when the driver ends."""
     spark = df.sparkSession
-    target = f"{shared_dir(spark)}/tagloom-{name}-{uuid.uuid4().hex[:12]}"
+    target = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(target)
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(target)

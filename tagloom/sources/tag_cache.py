@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..schema import EXTRACTED
 from ..session import written
+from .storage import opened
 
 ENTRY = "rel_path string, lang string, stat string, hash string, rows_gen string, gen string"
 ROWS = "rel_path string, tag_ord long, name string, file_name string, address string, kind string, fields array<struct<key:string,value:string>>, gen string"
@@ -38,7 +39,7 @@ def content_hash(files: DataFrame) -> DataFrame:
             out = []
             for path in batch.column("path").to_pylist():
                 try:
-                    with open(path, "rb") as f:
+                    with opened(path) as f:
                         out.append(hashlib.file_digest(f, "sha256").hexdigest())
                 except OSError:
                     out.append(None)

@@ -22,19 +22,76 @@ def make(tmp_path, **texts):
         p.write_bytes(text if isinstance(text, bytes) else text.encode())
 
 
-def test_scan_finds_hidden_names_and_excludes(tmp_path):
+def found_in(spark, *args, **more):
+    """Names and errors, in order."""
+    rows, errors = files.discover(spark, *args, **more)
+    return [r["path"] for r in rows.orderBy("file_ord").collect()], [r["error"] for r in errors.collect()]
+
+
+def test_scan_finds_hidden_names_and_excludes(spark, tmp_path):
     for n in (".bashrc", "_x.py", "sub/a.py", "sub/b.o", "skip/c.py"):
         (tmp_path / n).parent.mkdir(exist_ok=True)
         (tmp_path / n).write_text("")
     os.symlink(tmp_path / "_x.py", tmp_path / "link.py")
-    found = files.expand_paths([str(tmp_path)], ["*.o", "skip"])
-    assert [os.path.relpath(f, tmp_path) for f in found.files] == [".bashrc", "_x.py", "sub/a.py"]
-    given = files.expand_paths([str(tmp_path / "sub/b.o")] * 2 + [str(tmp_path / "gone")], ["*.o"])
-    assert len(given.files) == 2 and len(given.errors) == 1
-    assert files.expand_paths([str(tmp_path)], recurse=False).errors
+    found, _ = found_in(spark, [str(tmp_path)], ["*.o", "skip"])
+    assert [os.path.relpath(f, tmp_path) for f in found] == [".bashrc", "_x.py", "sub/a.py"]
+    given, errors = found_in(spark, [str(tmp_path / "sub/b.o")] * 2 + [str(tmp_path / "gone")], ["*.o"])
+    assert len(given) == 2 and len(errors) == 1
+    assert found_in(spark, [str(tmp_path)], recurse=False)[1]
     assert files.relative("./a/b.py", ".") == "a/b.py" and files.relative(os.path.abspath("q/z.py"), "q") == "z.py"
 
 
+@pytest.mark.parametrize("ahead", [1, 12, 10_000])
+def test_discovery_equals_a_walk(spark, tmp_path, monkeypatch, ahead):
+    """However far a task walks on: deep chains, wide folders, empty ones, links in circles, odd names and facts of files."""
+    names = ["a/" * 9 + "deep.py", "é/ü b.py", "w/%20#?.py", "w/x.o", "it's.py", ".git/HEAD"] + [f"w/k{i}/f{i}.py" for i in range(30)]
+    for i, n in enumerate(names):
+        make(tmp_path, **{n.replace("__", "/"): "x" * i})
+    (tmp_path / "empty/er").mkdir(parents=True)
+    (tmp_path / "it's.py").chmod(0o755)
+    os.symlink(tmp_path, tmp_path / "w/round")
+    os.symlink(tmp_path / "w", tmp_path / "linked")
+    with open(os.path.join(os.fsencode(tmp_path), b"w", b"\xff.py"), "wb"):
+        pass
+    rows, errors = files.discover(spark, [str(tmp_path)], ["*.o"], base=str(tmp_path), ahead=ahead)
+    got = rows.orderBy("file_ord").collect()
+    assert [r["rel_path"] for r in got] == sorted((n for n in names if not n.endswith(".o")), key=str.encode)
+    for r in got:
+        st = os.stat(r["path"])
+        assert (r["size"], r["is_exec"], r["stat"]) == (st.st_size, bool(st.st_mode & 0o111), f"{st.st_size}:{st.st_mtime_ns}:{st.st_ino}")
+    assert [r["error"].endswith("not UTF-8") for r in errors.collect()] == [True]
+    # a link that is named is followed, a URI is a path, names stay as they were written
+    monkeypatch.chdir(tmp_path)
+    linked = files.discover(spark, ["linked", "./é", f"file://{tmp_path}/it's.py", "a"], ahead=ahead, base="/nowhere")[0].orderBy("file_ord").collect()
+    shown = [r["rel_path"] for r in linked]
+    assert shown[0] == "linked/%20#?.py" and shown[-3:] == ["é/ü b.py", f"{tmp_path}/it's.py", "a/" * 9 + "deep.py"] and len(shown) == 35
+    assert found_in(spark, [str(tmp_path / "empty")], ahead=ahead) == ([], [])
+
+
+def test_files_are_dealt_by_size(spark):
+    rows = spark.createDataFrame([(f"f{i}", i, 1 << (i % 20)) for i in range(100)], "path string, file_ord long, size long")
+    dealt = files.balanced(rows, 5).withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count("*").alias("n"), F.max("size").alias("most")).collect()
+    assert len(dealt) == 5 and sum(r["n"] for r in dealt) == 100 and all(r["most"] == 1 << 19 for r in dealt)
+    large = spark.createDataFrame([(f"f{i}", i, files.TASK_BYTES) for i in range(7)], "path string, file_ord long, size long")
+    assert files.balanced(large, 2).rdd.getNumPartitions() == 7 and files.balanced(rows.limit(0), 3).count() == 0
+
+
+def test_file_systems_of_other_schemes(tmp_path):
+    from pyarrow import fs
+
+    from tagloom.sources import storage
+
+    make(tmp_path, **{"d__x.py": "abc", "y": ""})
+    assert sorted((e.name, e.is_folder, e.is_file, e.size) for e in storage.entries_in(fs.LocalFileSystem(), str(tmp_path)) if not e.is_folder) == [("y", False, True, 0)]
+    assert [e.size for e in storage.entries_in(fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), "d")] == [3]
+    assert storage.is_remote("hdfs://n:8020/a b") and not storage.is_remote("file:///a") and not storage.is_remote("c:x") and not storage.is_remote("/a:/b")
+    assert storage.local("file:///a%20b") == "/a%20b" and storage.local("file:/a") == "/a" and storage.local("a/b") == "a/b"
+    assert files.relative("s3://b/t/x.py", "s3://b/t") == "x.py" and files.relative("s3://b/u/x.py", "s3://b/t") == "s3://b/u/x.py"
+    storage.put(f"file://{tmp_path}/n/m/z", b"12")
+    with storage.opened(f"file://{tmp_path}/n/m/z") as f:
+        assert f.read() == b"12"
+
+
 @pytest.mark.parametrize("pattern, name, want", [("*.py", "a.py", True), ("a?c", "abc", True), ("[!a]x", "bx", True), ("[]]", "]", True), ("[a", "[a", True), ("[a-c]*", "dx", False), ("a.b", "axb", False)])
 def test_globs(spark, pattern, name, want):
     assert spark.range(1).select(F.lit(name).rlike(fx.glob_regex(pattern))).first()[0] is want
