@@ -7,7 +7,6 @@ import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..extract import cfamily, go, java, js, kotlin, python, rust, simple, typescript
 from ..extract.base import Options, Source, Tag
+from ..extract.sandbox import Limits, PluginFailed, close_all, process_of
 from ..plans.languages import KINDS
 from ..schema import EXTRACTED
 from ..plans.patterns import parse_patterns
@@ -59,6 +59,7 @@ class Job:
     queries: dict[str, str] = field(default_factory=dict)
     #: language -> the Python text of its plugin's module
     modules: dict[str, str] = field(default_factory=dict)
+    limits: Limits = Limits()
 
 
 def job_of(config: Config, plugins: frozenset[str] = frozenset()) -> Job:
@@ -78,23 +79,15 @@ def described(job: Job) -> str:
     return repr((sorted(plain.items()), code.hexdigest()))
 
 
-@lru_cache(maxsize=64)
-def module_extract(text: str):
-    """``extract(source, options) -> tags`` of a plugin's module, which a user installed; compiled once a worker."""
-    names: dict = {"Tag": Tag}
-    exec(compile(text, "<plugin>", "exec"), names)
-    return names["extract"]
-
-
 def tags_of(content: bytes, name: str, lang: str, job: Job) -> Iterator[tuple[Tag, str]]:
-    """(tag, address) of a file. Raises UnicodeDecodeError for what is not UTF-8."""
+    """(tag, address) of a file. Raises UnicodeDecodeError for what is not UTF-8, PluginFailed for what a plugin's module cannot do."""
     src = Source(content.decode("utf-8"))
     opt = Options(job.kinds.get(lang, frozenset()), job.fields, job.qualified, job.file_scope, name)
     if lang in PLUGIN and lang in job.plugins:
         opt = Options(opt.kinds or frozenset("f"), *(getattr(opt, a) for a in ("fields", "qualified", "file_scope", "file_name")))
         found, style = PLUGIN[lang](src, opt), "plugin"
     elif lang in job.modules:
-        found, style = module_extract(job.modules[lang])(src, opt), "plugin"
+        found, style = process_of(job.modules[lang], job.limits).extract(src, opt), "plugin"
     elif lang in NATIVE:
         found, style = NATIVE[lang](src, opt), "native"
     elif lang in ("c", "c++"):
@@ -127,8 +120,8 @@ def query_tags(files: DataFrame, job: Job, langs: list[str], name: str) -> DataF
 def extract_tags(files: DataFrame, job: Job, name: str = "rel_path", content: str | None = "content") -> DataFrame:
     """Tags (with file_ord, tag_ord, error) of resolved files: columns ``name``, lang, file_ord and content, or path to read.
 
-    Files without a language give nothing. What cannot be read or is not UTF-8 gives one row
-    with ``error`` and no tag; the run goes on. Content travels no further than this task.
+    Files without a language give nothing. What cannot be read, is not UTF-8 or lets its
+    plugin's module fail, hang or die gives one row with ``error`` and no tag; the run goes on. Content travels no further than this task.
     """
     if langs := queried(job):
         others = extract_tags(files.filter(~F.coalesce(F.col("lang").isin(*langs), F.lit(False))), replace(job, queries={}), name, content)
@@ -137,7 +130,7 @@ def extract_tags(files: DataFrame, job: Job, name: str = "rel_path", content: st
     path = F.col("path") if "path" in files.columns else F.lit(None).cast("string")
     rows = files.filter("lang is not null").select(F.col("file_ord").cast("long"), F.col(name).alias("name"), path.alias("path"), "lang", body.alias("content"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [f.name for f in EXTRACTED.fields]
         for batch in batches:
             out = []
@@ -150,13 +143,19 @@ def extract_tags(files: DataFrame, job: Job, name: str = "rel_path", content: st
                     for k, (t, where) in enumerate(tags_of(bytes(data), r.name, r.lang, job)):
                         fields = [{"key": a, "value": b} for a, b in t.fields] or None
                         out.append((r.file_ord, k, t.name, r.name, where, t.kind, fields, None))
-                except (OSError, UnicodeDecodeError) as e:
+                except (OSError, UnicodeDecodeError, PluginFailed) as e:
                     out.append((r.file_ord, -1, None, r.name, None, None, None, f"{type(e).__name__}: {e}"))
                 if len(out) >= BATCH_TAGS:
                     yield pd.DataFrame(out, columns=columns)
                     out = []
             yield pd.DataFrame(out, columns=columns)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from extracted(batches)
+        finally:
+            close_all()
+
     return rows.mapInPandas(run, EXTRACTED)
 
 
@@ -180,7 +179,10 @@ def register_udtf(spark, job: Job, name: str = "code_tags") -> None:
             try:
                 for t, where in tags_of(bytes(content), file_name, lang, job):
                     yield t.name, where, t.kind, json.dumps(dict(t.fields), ensure_ascii=False)
-            except UnicodeDecodeError:
+            except (UnicodeDecodeError, PluginFailed):
                 return
 
+        def terminate(self):
+            close_all()
+
     spark.udtf.register(name, CodeTags)

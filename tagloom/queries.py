@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -566,6 +567,37 @@ def unreadable_files(spark, sf_dir):
     return errors_only(extract_tags(broken, job_of(Config()))).select("file_name")
 
 
+#: A module whose lines say what it does: a name is a tag.
+ODD_MODULE = """
+import os, re
+
+def extract(source, options):
+    print("nobody reads this")
+    for row, line in enumerate(source.lines):
+        word, _, rest = line.partition(" ")
+        if word == "die":
+            os._exit(3)
+        if word == "open":
+            open("/etc/hostname")
+        if word == "fill":
+            "x" * (1 << 40)
+        if word == "wrong":
+            yield Tag(7, row)
+        yield Tag(re.sub("[^a-z]", "_", rest), row, "d", [("word", word)])
+"""
+
+
+@query("""SELECT 'p' || p_partkey || '.odd' AS file_name, CASE WHEN p_partkey % 97 > 4 OR p_partkey % 97 = 3 THEN regexp_replace(p_name, '[^a-z]', '_', 'g') END AS name,
+  CASE p_partkey % 97 WHEN 0 THEN 'its process ended' WHEN 1 THEN 'PermissionError' WHEN 2 THEN 'MemoryError' WHEN 4 THEN 'no tag' END AS error FROM part""")
+def isolated_plugins(spark, sf_dir):
+    """A plugin's module that dies, opens files, fills the memory or sends nonsense fails for that file only."""
+    word = F.element_at(F.array(*(F.lit(w) for w in ("die", "open", "fill", "define", "wrong"))), (F.least(F.col("p_partkey") % 97, F.lit(3)) + 1).cast("int"))
+    word = F.when(F.col("p_partkey") % 97 == 4, "wrong").otherwise(word)
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_ord"), F.concat(F.lit("p"), "p_partkey", F.lit(".odd")).alias("rel_path"), F.lit("odd").alias("lang"), F.concat(word, F.lit(" "), "p_name").cast("binary").alias("content"))
+    rows = extract_tags(files, replace(job_of(Config()), modules={"odd": ODD_MODULE}))
+    return rows.select("file_name", "name", F.regexp_extract(F.regexp_replace("error", "^PluginFailed: ", ""), "^[^:]*", 0).alias("error"))
+
+
 # --- user queries ---------------------------------------------------------------------
 
 # language -> source and patterns, each with its captures as (match, capture, text); {odd:x} is x for odd keys only

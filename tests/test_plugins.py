@@ -137,3 +137,87 @@ def test_only_a_plugins_own_folder_is_replaced(tmp_path, index):
     for _ in range(2):
         assert plugin_store.place(entry, str(here)) == str(here / "q")
     assert sorted(os.listdir(here)) == ["moved", "q"] and os.listdir(victim) == ["kept"]
+
+
+HANGS = """
+import sys
+calls = 0
+
+def extract(source, options):
+    global calls
+    calls += 1
+    act = source.text
+    if act == "hang":
+        while True:
+            pass
+    if act == "die":
+        import os
+        os._exit(1)
+    if act == "raise":
+        raise KeyError("odd")
+    if act == "exit":
+        sys.exit(0)
+    if act in ("write", "spawn", "net", "remove", "list", "read"):
+        import os, socket, subprocess
+        {"write": lambda: open("/tmp/x", "w"), "spawn": lambda: subprocess.run(["true"]), "net": lambda: socket.socket(), "remove": lambda: os.remove("/tmp/x"), "list": lambda: os.listdir("/etc"), "read": lambda: open("/etc/passwd")}[act]()
+    if act == "fill":
+        return [Tag("x" * (1 << 31), 0)]
+    if act == "nonsense":
+        return [Tag("a", "b")]
+    if act == "bytes":
+        return [Tag(b"a", 0)]
+    import fractions, json
+    sys.stdout.write("noise")
+    return [Tag(act, 0, "k", [("calls", str(calls)), ("on", ",".join(sorted(options.kinds)))], 3)]
+"""
+
+
+def test_modules_run_in_processes_with_limits():
+    from tagloom.extract.base import Options, Source
+    from tagloom.extract.sandbox import Limits, PluginFailed, PluginProcess
+
+    plugin = PluginProcess(HANGS, Limits(seconds=8.0, memory=256 << 20))
+    ask = lambda text: plugin.extract(Source(text), Options(frozenset("ab")))
+
+    def fails(text, why):
+        with pytest.raises(PluginFailed, match=why):
+            ask(text)
+
+    try:
+        assert [(t.name, t.row, t.kind, t.fields, t.end) for t in ask("é")] == [("é", 0, "k", [("calls", "1"), ("on", "a,b")], 3)]
+        for text, why in (("raise", "KeyError"), ("exit", "SystemExit"), ("write", "PermissionError"), ("spawn", "PermissionError"), ("net", "PermissionError"), ("remove", "PermissionError"), ("list", "PermissionError"), ("read", "PermissionError"), ("fill", "MemoryError"), ("nonsense", "no tag"), ("bytes", "TypeError")):
+            fails(text, why)
+        first = plugin.process.pid
+        assert ask("x")[0].fields[0] == ("calls", "13")  # the process outlived them all
+        fails("die", "its process ended")
+        assert ask("x")[0].fields[0] == ("calls", "1") and plugin.process.pid != first
+        large = "é\n" * 2_000_000
+        assert len(plugin.extract(Source(large), Options())[0].name) == len(large)
+        started = time.time()
+        plugin.limits = Limits(seconds=1.0)
+        fails("hang", "took more than 1 s")
+        assert time.time() - started < 6 and plugin.process is None
+    finally:
+        plugin.close()
+    broken = PluginProcess("def extract(", Limits(seconds=8.0))
+    for _ in range(2):
+        with pytest.raises(PluginFailed, match="SyntaxError"):
+            broken.extract(Source("x"), Options())
+    assert broken.process is None
+    empty = PluginProcess("", Limits(seconds=8.0))
+    with pytest.raises(PluginFailed, match="KeyError"):
+        empty.extract(Source("x"), Options())
+    empty.close()
+
+
+def test_a_hanging_module_gives_error_rows(spark):
+    from dataclasses import replace
+
+    from tagloom.extract.sandbox import Limits
+
+    texts = ["ok", "hang", "die", "fine", None, "\0"]
+    files = spark.createDataFrame([(i, f"f{i}", "odd", t and t.encode(), "/nowhere") for i, t in enumerate(texts)], "file_ord long, rel_path string, lang string, content binary, path string")
+    job = replace(job_of(Config()), modules={"odd": HANGS}, limits=Limits(seconds=2.0))
+    rows = {r["file_ord"]: (r["name"], r["error"]) for r in extract_tags(files.coalesce(1), job).collect()}
+    assert rows[0] == ("ok", None) and rows[3] == ("fine", None) and rows[5] == ("\0", None) and len(rows) == 6
+    assert "2 s" in rows[1][1] and "ended" in rows[2][1] and rows[4][1].startswith("FileNotFoundError")
