@@ -55,31 +55,55 @@ def basename(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/\\]*$", 0)
 
 
+def byte_text(text: Column) -> Column:
+    """A text with a character for each byte of its UTF-8, for patterns that count in bytes."""
+    return F.decode(F.encode(text, "utf-8"), "iso-8859-1")
+
+
+def _byte_class(members: set[int]) -> str:
+    """A regex class of bytes; one without members matches nothing."""
+    return "[" + "".join(f"\\x{b:02x}" for b in sorted(members)) + "]" if members else "(?!)"
+
+
 def glob_regex(pattern: str) -> str:
-    """A shell name pattern as an anchored regex. ``[`` without an end is itself; ``[!`` and ``[^`` negate."""
-    out, i = [], 0
-    while i < len(pattern):
-        c = pattern[i]
+    """A shell name pattern as an anchored regex over ``byte_text``.
+
+    ``?`` and classes take one byte. ``[`` without an end is itself, ``]`` may be a class's
+    first member, ``[!`` and ``[^`` negate, and a range that runs backwards has no members.
+    """
+    p, out, i = pattern.encode(), [], 0
+    every = set(range(256))
+    while i < len(p):
+        c = p[i : i + 1]
         i += 1
-        if c == "*":
-            out.append(".*")
-        elif c == "?":
-            out.append(".")
-        elif c == "[":
-            j = i + (pattern[i : i + 1] in ("!", "^") and 1)
-            j = pattern.find("]", j + 1)
-            if j < 0:
+        if c == b"*":
+            out.append(r"[\x00-\xff]*")
+        elif c == b"?":
+            out.append(r"[\x00-\xff]")
+        elif c == b"[":
+            negate = p[i : i + 1] in (b"!", b"^")
+            start = i + negate
+            end = p.find(b"]", start + 1)
+            if end < 0:
                 out.append(r"\[")
                 continue
-            body = pattern[i:j]
-            negate = body[:1] in ("!", "^")
-            body = body[1:] if negate else body
-            safe = "".join("\\" + x if x in r"\[]^&" else x for x in body)
-            out.append(f"[{'^' if negate else ''}{safe}]")
-            i = j + 1
+            members, j = set(), start
+            while j < end:
+                if j + 2 < end and p[j + 1 : j + 2] == b"-":
+                    members.update(range(p[j], p[j + 2] + 1))
+                    j += 3
+                else:
+                    members.add(p[j])
+                    j += 1
+            out.append(_byte_class(every - members if negate else members))
+            i = end + 1
         else:
-            out.append("\\" + c if not c.isalnum() and c != "_" and ord(c) < 128 else c)
-    return "(?s)^" + "".join(out) + "$"
+            out.append(c.decode() if c.isalnum() else f"\\x{c[0]:02x}")
+    return r"\A" + "".join(out) + r"\z"
+
+
+def glob_match(name: Column, pattern: str) -> Column:
+    return byte_text(name).rlike(glob_regex(pattern))
 
 
 def exclude_regex(pattern: str) -> str:

@@ -186,3 +186,55 @@ def register_udtf(spark, job: Job, name: str = "code_tags") -> None:
             close_all()
 
     spark.udtf.register(name, CodeTags)
+
+
+def register_table_function(spark, job: Job, name: str = "tags_of_files") -> str:
+    """A table function for SQL over a table of rel_path, lang and content, whose columns follow the fields asked for.
+
+    ``select * from tags_of_files(table(files) partition by (rel_path), 'line,class')`` gives
+    file_name, name, address, kind and a text column for each field, null where a tag lacks
+    it. Files without a language or content, not in UTF-8 or that a plugin fails for give nothing.
+    Rows travel as Arrow batches; functions that take whole batches cannot choose their columns.
+    """
+    from pyspark.sql import Row
+    from pyspark.sql import types as T
+    from pyspark.sql.functions import udtf
+    from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
+
+    own = ("file_name", "name", "address", "kind")
+
+    @dataclass
+    class Asked(AnalyzeResult):
+        keys: tuple[str, ...] = ()
+
+    @udtf(useArrow=True)
+    class TagsOfFiles:
+        def __init__(self, asked: Asked):
+            self.keys = asked.keys
+            self.job = replace(job, fields=job.fields | frozenset(asked.keys))
+
+        @staticmethod
+        def analyze(files: AnalyzeArgument, fields: AnalyzeArgument) -> Asked:
+            missing = {"rel_path", "lang", "content"} - set(files.dataType.names if files.isTable else ())
+            if missing:
+                raise ValueError(f"a table with columns rel_path, lang and content is needed; missing: {', '.join(sorted(missing))}")
+            if not fields.isConstantExpression or not isinstance(fields.value, str):
+                raise ValueError("the fields asked for are a constant text, with commas between them")
+            keys = tuple(dict.fromkeys(k.strip() for k in fields.value.split(",") if k.strip() and k.strip() not in own))
+            return Asked(T.StructType([T.StructField(c, T.StringType()) for c in (*own, *keys)]), keys=keys)
+
+        def eval(self, files: Row, fields: str) -> Iterator[tuple]:
+            if files["rel_path"] is None or files["lang"] is None or files["content"] is None:
+                return
+            try:
+                for t, where in tags_of(bytes(files["content"]), files["rel_path"], files["lang"], self.job):
+                    held = dict(t.fields)
+                    yield files["rel_path"], t.name, where, t.kind, *(held.get(k) for k in self.keys)
+            except (UnicodeDecodeError, PluginFailed):
+                return
+
+        def terminate(self):
+            close_all()
+
+    spark.udtf.register(name, TagsOfFiles)
+    return name

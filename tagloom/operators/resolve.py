@@ -21,7 +21,7 @@ def candidates(files: DataFrame, registry: Registry, path: str = "rel_path") ->
     if registry.forced:
         return files.withColumn("cands", F.array(F.lit(registry.forced)))
     t = tables(files.sparkSession, registry)
-    base = F.regexp_extract(F.col(path), r"[^/]*$", 0)
+    base = fx.byte_text(F.regexp_extract(F.col(path), r"[^/]*$", 0))
     own = files.columns
     matched = files.withColumn("_ext", fx.extension(F.col(path))).withColumn("_base", base)
     found = []
@@ -33,7 +33,9 @@ def candidates(files: DataFrame, registry: Registry, path: str = "rel_path") ->
         matched = matched.crossJoin(rexprs)
         found.append(F.expr(f"array_distinct(transform(filter(_rexprs, x -> {path} rlike x.rx), x -> x.lang))"))
     matched = matched.crossJoin(globs).join(exts, "_ext", "left")
-    found.append(F.expr("array_distinct(transform(filter(_globs, x -> _base rlike x.rx), x -> x.lang))"))
+    # one pattern of all, compiled once, lets few names through to the patterns one by one
+    some = F.col("_base").rlike("|".join(fx.glob_regex(g) for g, _ in registry.patterns)) if registry.patterns else F.lit(False)
+    found.append(F.when(some, F.expr("array_distinct(transform(filter(_globs, x -> _base rlike x.rx), x -> x.lang))")))
     found.append(F.array_distinct("_by_ext"))
     first = F.coalesce(*(F.when(F.size(c) > 0, c) for c in found), F.array().cast("array<string>"))
     return matched.withColumn("cands", first).select(*own, "cands")

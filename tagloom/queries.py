@@ -18,7 +18,7 @@ from .functions import modeline
 from .functions import text as fx
 from .operators import listing, resolve, tags
 from .operators.match import definitions, match, node_table
-from .operators.extract import errors_only, extract_tags, job_of, tags_only
+from .operators.extract import errors_only, extract_tags, job_of, register_table_function, tags_only
 from .plans.generate import tags_of_files
 from .plans.patterns import parse_patterns
 from .plans.languages import BUILT_IN, ECHO, GLEAM, PLUGINS, Edit, build_registry, first_tier_wins
@@ -101,8 +101,19 @@ def exclude_filter(spark, sf_dir):
 @query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^[a-m].*(et|l.)$') AND NOT regexp_matches(p_name, '^.e')")
 def glob_match(spark, sf_dir):
     name = F.col("p_name")
-    one = name.rlike(fx.glob_regex("[a-m]*et")) | name.rlike(fx.glob_regex("[!n-zA-Z0-9]*l?"))
-    return table(spark, sf_dir, "part").filter(one & ~name.rlike(fx.glob_regex("?e*"))).select("p_partkey", "p_name")
+    one = fx.glob_match(name, "[a-m]*et") | fx.glob_match(name, "[!n-zA-Z0-9]*l?")
+    return table(spark, sf_dir, "part").filter(one & ~fx.glob_match(name, "?e*")).select("p_partkey", "p_name")
+
+
+@query("""SELECT p_partkey, regexp_matches(p_name, '^.[a-m]') AND p_size % 3 <> 1 AS first, p_size % 3 <> 0 AS wide, regexp_matches(p_name, '^[^ ]*[t-v][^ ]*( .*)?$') AND p_size % 3 = 2 AS last FROM part""")
+def glob_bytes(spark, sf_dir):
+    """Patterns count in bytes: two for é, which stands behind every third name, and one for a line feed."""
+    end = F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, "é").otherwise("\n")
+    name = F.concat("p_name", end)
+    first = fx.glob_match(name, "?[a-m]*") & ~fx.glob_match(name, "*[\x80-ÿ]")
+    wide = fx.glob_match(F.concat(F.lit("x"), end), "x??") | fx.glob_match(end, "\n")
+    last = fx.glob_match(F.concat(F.regexp_extract("p_name", "^[^ ]*", 0), end), "*[t-v]*\n")
+    return table(spark, sf_dir, "part").select("p_partkey", first.alias("first"), wide.alias("wide"), last.alias("last"))
 
 
 @query("""SELECT p_partkey, lpad(printf('%x', list_reduce(list_prepend(CAST(5381 AS BIGINT),
@@ -598,6 +609,16 @@ def isolated_plugins(spark, sf_dir):
     return rows.select("file_name", "name", F.regexp_extract(F.regexp_replace("error", "^PluginFailed: ", ""), "^[^:]*", 0).alias("error"))
 
 
+@query("""SELECT 'parts/p' || p_partkey || '.py' AS file_name, unnest(['P' || p_partkey, replace(p_name, ' ', '_'), 'TOTAL_' || p_partkey]) AS name, unnest(['c', 'm', 'v']) AS kind,
+  unnest([NULL, 'P' || p_partkey, NULL]) AS class, unnest(['1', '2', '6']) AS line FROM part WHERE p_name NOT LIKE '% % %'""")
+def tags_by_sql(spark, sf_dir):
+    """The table function in SQL, over a table of files; its columns follow the fields asked for."""
+    name = register_table_function(spark, job_of(Config()))
+    view = f"files_{uuid.uuid4().hex[:8]}"
+    source_files(spark, sf_dir, ["python"]).withColumn("lang", F.lit("python")).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT file_name, name, kind, class, line FROM {name}(TABLE(SELECT rel_path, lang, content FROM {view}) PARTITION BY (rel_path), 'class,line')")
+
+
 # --- user queries ---------------------------------------------------------------------
 
 # language -> source and patterns, each with its captures as (match, capture, text); {odd:x} is x for odd keys only

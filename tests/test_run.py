@@ -97,6 +97,45 @@ def test_globs(spark, pattern, name, want):
     assert spark.range(1).select(F.lit(name).rlike(fx.glob_regex(pattern))).first()[0] is want
 
 
+def test_globs_count_in_bytes(spark):
+    """Against a plain matcher of bytes that tries every split at a star."""
+
+    def one(p, c):
+        """(whether the token that p begins with takes c, what follows it)."""
+        if p[:1] == b"[":
+            k = 1 + (p[1:2] in (b"!", b"^"))
+            end = p.find(b"]", k + 1)
+            if end > 0:
+                body, hit, i = p[k:end], False, 0
+                while i < len(body):
+                    if i + 2 < len(body) and body[i + 1] == 45:
+                        hit |= body[i] <= c <= body[i + 2]
+                        i += 3
+                    else:
+                        hit |= body[i] == c
+                        i += 1
+                return hit != (k == 2), p[end + 1 :]
+        return p[:1] == b"?" or p[0] == c, p[1:]
+
+    def plain(p, n):
+        if not p:
+            return not n
+        if p[:1] == b"*":
+            return any(plain(p[1:], n[i:]) for i in range(len(n) + 1))
+        if not n:
+            return False
+        hit, rest = one(p, n[0])
+        return hit and plain(rest, n[1:])
+
+    patterns = ["*", "?", "??", "é", "?é", "[é]", "[é]?", "*[!a-z]", "[z-a]x", "[!z-a]x", "[]x]", "[!]]", "[^]a]*", "[a-]", "[-a]", "a[", "[", "[]", "[!", "a\\b", "a.b", "*.gem?pec", "a*b*c", "[&&x]", "\n", "", "x$", "(a|b)", "日*", "?本", "[^\x00]"]
+    names = ["", "a", "é", "aé", "ab", "x", "]", "-", "a[", "[", "[]", "[!", "a\\b", "a.b", "axb", "foo.gemspec", "aXbYc", "abc\n", "\n", "a\n", "&", "x$", "(a|b)", "日本", "本", "zx", "!x", "x\n"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string")
+    got = rows.select("n", *(fx.glob_match(F.col("n"), p).alias(str(i)) for i, p in enumerate(patterns))).collect()
+    for r in got:
+        for i, p in enumerate(patterns):
+            assert r[str(i)] is plain(p.encode(), r["n"].encode()), (p, r["n"])
+
+
 RESOLVED = [
     ("a.rs", b"", False, "rust"),
     ("a.h", b"int x;", False, "c"),
@@ -180,6 +219,22 @@ def test_plugins_and_user_grammars(spark, tmp_path):
     assert plugins.uninstall(str(tmp_path / "p")) and not plugins.uninstall(str(tmp_path / "p"))
 
 
+def test_table_function(spark):
+    from tagloom.operators.extract import job_of, register_table_function
+
+    register_table_function(spark, job_of(Config()))
+    text = b"class A:\n    def f(self): pass\n"
+    rows = [("x.py", "python", text), ("y", None, text), (None, "python", text), ("z.py", "python", b"\xff"), ("n.py", "python", None), ("e.py", "python", b"")]
+    spark.createDataFrame(rows, "rel_path string, lang string, content binary").createOrReplaceTempView("some_files")
+    got = spark.sql("select * from tags_of_files(table(some_files) partition by (rel_path), 'class, line,nothing')")
+    assert got.columns == ["file_name", "name", "address", "kind", "class", "line", "nothing"]
+    assert sorted(tuple(r) for r in got.collect()) == [("x.py", "A", "/^class A:$/;\"", "c", None, "1", None), ("x.py", "f", "/^    def f(self): pass$/;\"", "m", "A", "2", None)]
+    assert spark.sql("select * from tags_of_files(table(some_files), '')").columns == ["file_name", "name", "address", "kind"]
+    for bad in ("table(select 1 as x), ''", "table(some_files), 7"):
+        with pytest.raises(Exception, match="needed|constant text"):
+            spark.sql(f"select * from tags_of_files({bad})").collect()
+
+
 def test_udtf(spark):
     from tagloom.operators.extract import job_of, register_udtf
 
