@@ -27,6 +27,7 @@ class _Walk:
         self.scopes: list[tuple[str, str]] = []
 
     def tag(self, name: str, kind: str, i: int, extra: list[tuple[str, str]] = (), end: int | None = None) -> Tag | None:
+        """A tag on the row of token ``i``; ``end`` is the last row of a statement that holds no block."""
         if kind not in self.opt.kinds or not name:
             return None
         o, f, row = self.opt, Fields(), self.s.row(i)
@@ -37,11 +38,12 @@ class _Walk:
         f.put("roles", "def", o.on("roles"))
         for k, v in extra:
             f.put(k, v)
-        if o.scope:
+        if o.on("scope"):
             inner = next(((k, n) for k, n in reversed(self.scopes) if k == "class"), None) if kind == "m" else (self.scopes[-1] if self.scopes else None)
             if inner:
                 f.put(*inner)
-        f.put("file", "", o.on("file") and o.file_scope)
+        f.put("file", "", o.file_scope)
+        f.put("end", str((end or 0) + 1), end is not None and o.on("end"))
         tag = Tag(name, row, kind, f.list(), end if end is not None else row)
         self.tags.append(tag)
         return tag
@@ -175,22 +177,22 @@ class _Walk:
             if s.text(a) in ("(", "[") and s.close[a] == b - 1:
                 continue
             if b - a == 1 and s.kind(a) == "id":
-                made = self.tag(s.text(a), "l" if local else "v", a, extra)
+                self.tag(s.text(a), "l" if local else "v", i, extra, s.end_row(j - 1))
                 if s.text(equal + 1) == "lambda" and equal < j:
-                    self.lambdas(a, made, equal + 1, j)
+                    self.lambdas(a, i, equal + 1, j)
         if equal < j:  # a = b = c
             rest = s.find(equal + 1, j, {"="})
             if rest < j:
                 self.one(equal + 1, j)
 
-    def lambdas(self, a: int, made: Tag | None, k: int, j: int) -> None:
+    def lambdas(self, a: int, i: int, k: int, j: int) -> None:
         """A name for a lambda is a function; a tag of its name made just before gives way."""
         if self.tags and self.tags[-1].name == self.s.text(a):
             self.tags.pop()
         colon = self.s.find(k, j, {":"})
         params = self.s.span(k + 1, colon - 1) if colon > k + 1 else ""
         kind = "m" if any(x == "class" for x, _ in self.scopes) else "f"
-        self.tag(self.s.text(a), kind, a, [("signature", f"({params})")])
+        self.tag(self.s.text(a), kind, i, [("signature", f"({params})")], self.s.end_row(j - 1))
 
     def imports(self, i: int, j: int) -> None:
         s = self.s
@@ -204,7 +206,7 @@ class _Walk:
             if len(names) >= 3 and s.text(names[-2]) == "as":
                 name, alias = s.span(names[0], names[-3]), names[-1]
                 where = f"unknown:{name}" if module in ("", ".") else f"module:{module}.{name}"
-                self.tag(s.text(alias), "Y", alias, [("nameref", where)])
+                self.tag(s.text(alias), "Y", i, [("nameref", where)], s.end_row(j - 1))
 
 
 def extract(src: Source, opt: Options) -> list[Tag]:
