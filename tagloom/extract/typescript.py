@@ -20,7 +20,7 @@ class _Walk(Walk):
         f.put("roles", "def", o.on("roles"))
         for k, v in extra:
             f.put(k, v, k != "access" or o.on("access"))
-        if o.scope and self.scopes:
+        if o.on("scope") and self.scopes:
             f.put(*self.scopes[-1])
         f.put("end", str(self.s.end_row(last) + 1), o.on("end"))
         self.tags.append(Tag(name, row, kind, f.list()))

@@ -37,6 +37,9 @@ CASES = {
     "pointers and arrays of C are no variables": ("c", "int *f(void) { return 0; }\nint *p;\nint a[3];\nint n;\n", (), [("n", "v", "typeref=typename:int")]),
     "typeref of Python has no switch": ("python", "def f(a) -> int: pass\nx: str = 1\n", ("--fields=-t",), [("f", "f", "typeref=typename:int"), ("x", "v", "typeref=typename:str")]),
     "nor has that of C++": ("c++", "int v;\n", ("--fields=-t",), [("v", "v", "typeref=typename:int")]),
+    "scopes of TypeScript go by their field alone": ("typescript", "class A { f() {} }\n", ("--fields=-s", "--extras=+q"), [("A", "c", ""), ("f", "m", "")]),
+    "scopes of Rust go by their field or by qualified tags": ("rust", "impl T for A { fn f() {} }\n", ("--fields=-s", "--extras=+q"), [("A", "c", "trait=T"), ("f", "P", "implementation=A")]),
+    "and what a trait or a variant adds goes with them": ("rust", "impl T for A { fn f() {} }\nenum E { V }\n", ("--fields=-s",), [("A", "c", ""), ("f", "P", ""), ("E", "g", ""), ("V", "e", "")]),
     "scopes of Python go by their field alone": ("python", "class A:\n    def f(self): pass\n", ("--fields=-s", "--extras=+q"), [("A", "c", ""), ("f", "m", "")]),
 }
 
