@@ -24,6 +24,17 @@ from . import plugins
 TTL = 3_600
 BASE_VARIABLE = "TAGLOOM_PLUGIN_INDEX"
 
+# Lines that the plugin commands print, which scripts may look for.
+NONE_AVAILABLE = "No plugins available for ABI {abi}."
+NONE_DETECTED = "No plugins detected."
+FOLDER = "Plugin directory: {folder}"
+INSTALLED = "Installed `{name}` {version} to {folder}"
+NOT_INSTALLED = "`{name}` is not installed under {folder}"
+UNINSTALLED = "Uninstalled `{name}` from {folder}"
+NONE_INSTALLED = "No plugins installed under {folder}."
+UPDATED = "Updated `{name}` {old} -> {new}"
+UP_TO_DATE = "All plugins up to date."
+
 
 def base_of(flag: str, default: str = "") -> str:
     """Where the index is: the flag, else the environment, else the default; empty values do not count."""
@@ -154,7 +165,7 @@ def place(entry: dict, folder: str) -> str:
 def available_lines(spark: SparkSession, base: str, folder: str, refresh: bool = False) -> list[str]:
     index = plugins.read_index(spark, cached_index(base, refresh))
     if index.isEmpty():
-        return [f"No plugins available for ABI {plugins.ABI}."]
+        return [NONE_AVAILABLE.format(abi=plugins.ABI)]
     mine = installed(spark, folder).select("name", F.col("version").alias("mine"))
     status = plugins.status_label(F.col("mine"), F.col("version"))
     rows = index.join(mine, "name", "left").orderBy("name").select("name", "version", F.coalesce("language", F.lit("")).alias("language"), F.array_join("extensions", ", ").alias("extensions"), status.alias("status"))
@@ -163,8 +174,8 @@ def available_lines(spark: SparkSession, base: str, folder: str, refresh: bool =
 
 def installed_lines(spark: SparkSession, folders: list[str], folder: str) -> list[str]:
     rows = plugins.plugin_groups(plugins.manifests_table(spark, [*folders, f"{folder}/**"])).select("language", F.array_join("extensions", ", ").alias("extensions"))
-    lines = table_lines(rows, ["LANGUAGE", "EXTENSIONS"]) if not rows.isEmpty() else ["No plugins detected."]
-    return [f"Plugin directory: {folder}", *lines]
+    lines = table_lines(rows, ["LANGUAGE", "EXTENSIONS"]) if not rows.isEmpty() else [NONE_DETECTED]
+    return [FOLDER.format(folder=folder), *lines]
 
 
 def install_lines(spark: SparkSession, base: str, folder: str, name: str, force: bool = False, refresh: bool = False) -> list[str]:
@@ -174,26 +185,26 @@ def install_lines(spark: SparkSession, base: str, folder: str, name: str, force:
     mine = installed(spark, folder).filter(F.col("name") == name).select("version", plugins.newer(F.lit(entry["version"]), F.col("version")).alias("order")).first()
     if mine and not force and mine["order"] is not None and mine["order"] <= 0:
         return [f"`{name}` {mine['version']} is installed and {'up to date' if mine['order'] == 0 else 'newer than ' + entry['version'] + ' (--force replaces it)'}."]
-    return [f"Installed `{name}` {entry['version']} to {place(entry.asDict(), folder)}"]
+    return [INSTALLED.format(name=name, version=entry["version"], folder=place(entry.asDict(), folder))]
 
 
 def uninstall_lines(spark: SparkSession, folder: str, name: str) -> list[str]:
     mine = installed(spark, folder).filter(F.col("name") == name).first()
     if mine is None:
-        return [f"`{name}` is not installed under {folder}"]
+        return [NOT_INSTALLED.format(name=name, folder=folder)]
     plugins.uninstall(mine["folder"])
-    return [f"Uninstalled `{name}` from {mine['folder']}"]
+    return [UNINSTALLED.format(name=name, folder=mine["folder"])]
 
 
 def update_lines(spark: SparkSession, base: str, folder: str, name: str = "", refresh: bool = False) -> list[str]:
     mine = installed(spark, folder)
     if mine.isEmpty():
-        return [f"No plugins installed under {folder}."]
+        return [NONE_INSTALLED.format(folder=folder)]
     if name and mine.filter(F.col("name") == name).isEmpty():
-        raise LookupError(f"`{name}` is not installed under {folder}")
+        raise LookupError(NOT_INSTALLED.format(name=name, folder=folder))
     index = plugins.read_index(spark, cached_index(base, refresh))
     old = plugins.updates(index, mine).filter((F.col("name") == name) | F.lit(not name)).collect()
     entries = {r["name"]: r.asDict() for r in index.collect()}
     for r in old:
         place(entries[r["name"]], folder)
-    return [f"Updated `{r['name']}` {r['installed_version']} -> {r['version']}" for r in old] or ["All plugins up to date."]
+    return [UPDATED.format(name=r["name"], old=r["installed_version"], new=r["version"]) for r in old] or [UP_TO_DATE]
